@@ -50,7 +50,7 @@ def default_tokenizer() -> tuple[str, str]:
 class Encoder:
     """text -> token ids as little-endian unsigned 32-bit bytes."""
 
-    LIMIT = 400_000
+    LIMIT = 1_000_000
 
     def __init__(self, path: str, ranks: str | None):
         self.path, self.ranks, self._hf, self._tk = path, ranks, None, None
