@@ -1,15 +1,26 @@
-"""Ordinals over a whole table without a single-partition window."""
+"""Ordinals and running sums over a whole table, or over groups of any size, without a one-task window.
+
+Tables that Catalyst estimates as small use one window. Larger ones are range-partitioned by group and order; each range
+is summed, the sums of the ranges (one row for each range and group) give the offsets, and a window runs inside a range.
+"""
 
 from __future__ import annotations
 
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .shared import materialize
+from .shared import checked_broadcast, materialize
 
 _LOW = (1 << 33) - 1
+#: Estimated bytes up to which one window (per group) is used.
+ONE_WINDOW_BYTES = 2 << 30
+
+
+def estimated_bytes(df: DataFrame) -> int:
+    return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
 
 
 def global_ordinal(df: DataFrame, order: Sequence[Column], name: str = "pos") -> DataFrame:
@@ -27,3 +38,25 @@ def global_ordinal(df: DataFrame, order: Sequence[Column], name: str = "pos") ->
         total += n
     starts = spark.createDataFrame(offsets or [(0, 0)], "_slice int, _start long")
     return sliced.join(F.broadcast(starts), "_slice").withColumn(name, F.col("_start") + F.col("_at")).drop("_slice", "_at", "_start")
+
+
+def running(df: DataFrame, by: Sequence[str], order: Sequence[Column], sums: dict[str, Column], *, distributed: bool | None = None) -> DataFrame:
+    """`df` with, for each name, the sum of its column over the group's rows up to this one in the order given."""
+    if distributed is None:
+        distributed = estimated_bytes(df) > ONE_WINDOW_BYTES
+    w = W.partitionBy(*by).orderBy(*order).rowsBetween(W.unboundedPreceding, 0)
+    if not distributed:
+        return df.withColumns({name: F.sum(c).over(w) for name, c in sums.items()})
+    keyed = df.withColumns({f"_v_{name}": c for name, c in sums.items()})
+    keys = [F.col(b).asc_nulls_first() for b in by] + list(order)
+    sliced = materialize(keyed.repartitionByRange(*keys).withColumn("_slice", F.spark_partition_id()), "sliced")
+    totals = sliced.groupBy(*by, "_slice").agg(*[F.sum(f"_v_{name}").alias(f"_t_{name}") for name in sums])
+    before = W.partitionBy(*by).orderBy("_slice").rowsBetween(W.unboundedPreceding, -1)
+    totals = totals.select(F.col("_slice").alias("_s"), *[F.col(b).alias(f"_k{i}") for i, b in enumerate(by)], *[F.coalesce(F.sum(f"_t_{name}").over(before), F.lit(0)).alias(f"_b_{name}") for name in sums])
+    same = F.col("_slice") == F.col("_s")
+    for i, b in enumerate(by):
+        same = same & F.col(b).eqNullSafe(F.col(f"_k{i}"))
+    joined = sliced.join(checked_broadcast(materialize(totals, "offsets")), same)
+    inside = W.partitionBy("_slice", *by).orderBy(*order).rowsBetween(W.unboundedPreceding, 0)
+    out = joined.withColumns({name: F.sum(f"_v_{name}").over(inside) + F.col(f"_b_{name}") for name in sums})
+    return out.select(*df.columns, *sums)
