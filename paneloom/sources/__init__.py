@@ -1 +1 @@
-"""Part of paneloom."""
+"""Sources and sinks: text tables with typed headers, CSV tables, keyed stores, array files."""

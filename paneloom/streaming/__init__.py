@@ -1 +1 @@
-"""Part of paneloom."""
+"""Structured Streaming forms of the incremental operators."""
