@@ -214,9 +214,11 @@ def repeated_spans(df: DataFrame, *, id_col: str = "doc_id", text_col: str = "te
     docs = df.select(F.coalesce(F.col(id_col).cast("long"), F.lit(_NO_ID)).alias("doc"), F.col(text_col).cast("string").alias("text")).withColumn("tag", F.xxhash64("text"))
     anchors = materialize(docs.mapInArrow(partial(_anchors, window=window, gram=gram), "anchor long, doc long, tag long, first int"), "anchors")
     shared = anchors.groupBy("anchor").agg(F.min("doc").alias("lo"), F.max("doc").alias("hi")).where("lo < hi").select("anchor")
+    shared = materialize(shared, "shared")  # a table of its own, so that Spark may split a hot anchor in the join
     places = anchors.join(shared, "anchor").groupBy("doc", "tag").agg(F.collect_set("first").alias("places"))
     places = materialize(places, "places")
-    chosen = docs.join(checked_broadcast(places, 256), ["doc", "tag"]).select("doc", "text", "tag", "places")
+    # places are about a tenth of the texts at every size, so this join always shuffles
+    chosen = docs.join(places.hint("merge"), ["doc", "tag"]).select("doc", "text", "tag", "places")
     segments = chosen.mapInArrow(partial(_segments, window=window, gram=gram), "anchor long, doc long, tag long, first int, n int, g1 long, g2 long, words binary")
     segments = materialize(segments, "segments")
 
