@@ -217,7 +217,7 @@ def repeated_spans(df: DataFrame, *, id_col: str = "doc_id", text_col: str = "te
     shared = materialize(shared, "shared")  # a table of its own, so that Spark may split a hot anchor in the join
     places = anchors.join(shared, "anchor").groupBy("doc", "tag").agg(F.collect_set("first").alias("places"))
     places = materialize(places, "places")
-    # places are about a tenth of the texts at every size, so this join always shuffles
+    # What is shared is a steady part of the texts, so these joins shuffle at every size rather than switch at a bound.
     chosen = docs.join(places.hint("merge"), ["doc", "tag"]).select("doc", "text", "tag", "places")
     segments = chosen.mapInArrow(partial(_segments, window=window, gram=gram), "anchor long, doc long, tag long, first int, n int, g1 long, g2 long, words binary")
     segments = materialize(segments, "segments")
@@ -228,11 +228,11 @@ def repeated_spans(df: DataFrame, *, id_col: str = "doc_id", text_col: str = "te
     repeated = kinds.where("owner < top").select("anchor", "g1", "g2", "owner")
     keys = ["anchor", "g1", "g2"]
     light = segments.drop("words")
-    whole = light.join(checked_broadcast(materialize(repeated, "repeated"), 48), keys).where("doc > owner").select("doc", "tag", F.col("first").alias("a"), (F.col("first") + F.col("n")).alias("b"))
+    whole = light.join(materialize(repeated, "repeated").hint("merge"), keys).where("doc > owner").select("doc", "tag", F.col("first").alias("a"), (F.col("first") + F.col("n")).alias("b"))
 
     mixed = materialize(by_anchor.where("kinds > 1 AND lowest < highest"), "mixed")
-    owners = kinds.join(checked_broadcast(mixed, 48), "anchor").select(*keys, F.col("owner").alias("doc"), "kinds", "lowest")
-    contexts = segments.join(checked_broadcast(materialize(owners, "owners"), 64), [*keys, "doc"]).drop("g1", "g2")
+    owners = kinds.join(mixed.hint("merge"), "anchor").select(*keys, F.col("owner").alias("doc"), "kinds", "lowest")
+    contexts = segments.join(materialize(owners, "owners").hint("merge"), [*keys, "doc"]).drop("g1", "g2")
     contexts = materialize(contexts, "contexts")
     small, large = contexts.where(F.col("kinds") <= shard_rows), contexts.where(F.col("kinds") > shard_rows)
     words = small.agg(F.sum("n")).first()[0] or 0
