@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, extraction, fingerprints, jaccard, language, mixing, packing, quality, rules, substrings
+from . import chat, extraction, fingerprints, jaccard, language, mixing, oracles, packing, quality, rules, substrings
 from .common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -74,3 +74,6 @@ def op8_language(spark: SparkSession, sf_dir: str) -> DataFrame:
 @_query
 def op4_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
     return extraction.extract_pages(table(spark, sf_dir, "pages"))
+
+
+ORACLES |= {"op5_substrings": oracles.OP5, "op7_rules": oracles.OP7, "op10_jaccard": oracles.OP10}
