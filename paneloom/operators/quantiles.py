@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from paneloom.functions.missing import known, valid
 from paneloom.plans.ranking import running
+from paneloom.plans.shared import materialize
 
 PERCENTILES = (0.99, 0.95, 0.9, 0.75, 0.5, 0.25, 0.1, 0.05, 0.01)
 
@@ -59,6 +60,7 @@ def weighted_quantiles(df: DataFrame, value: str | Column, weight: str | Column
     lone = F.col("_tn") == 1
     out = got.select(*by, "_tn", *[(F.col(percentile_name(q)) if q == 0.5 else F.when(~lone, F.col(percentile_name(q)))).alias(percentile_name(q)) for q in wanted])
     if mad:
+        out = materialize(out, "medians")  # a row for each group, needed twice: the sort behind it is not to run again
         centred = _on(base, out.select(*by, F.col("median").alias("_md")), by).select(*by, F.abs(F.col("_x") - F.col("_md")).alias("_x"), "_w")
         spread = _quantiles(centred, by, [0.5]).select(*by, F.when(~lone, F.col("median")).alias("mad"))
         out = _on(out, spread, by)
