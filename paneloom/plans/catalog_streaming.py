@@ -22,10 +22,10 @@ def _events(spark, d):
 
 
 def _rounded(df, *by):
-    return df.select(*by, "count", F.round("mean", 4).alias("mean"), F.round("std_dev", 4).alias("std_dev"), "min", "max")
+    return df.select(*by, "count", F.round("mean", 9).alias("mean"), F.round("std_dev", 4).alias("std_dev"), "min", "max")
 
 
-_SQL = "count(*) AS count, round(avg(value), 4) AS mean, CASE WHEN count(*) > 1 THEN round(stddev_pop(value), 4) END AS std_dev, min(value) AS min, max(value) AS max"
+_SQL = "count(*) AS count, round(avg(value), 9) AS mean, CASE WHEN count(*) > 1 THEN round(stddev_pop(value), 4) END AS std_dev, min(value) AS min, max(value) AS max"
 
 
 @query("st1_incremental_moments", f"SELECT event_type, {_SQL} FROM events GROUP BY 1")
