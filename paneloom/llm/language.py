@@ -7,8 +7,10 @@ left neighbours, as Kneser-Ney asks, by further aggregates on those.
 
 The model is sorted arrays of n-gram codes (four 16-bit units in one 64-bit integer) with a row of log probabilities, one
 for each language, already interpolated; unseen n-grams fall back through sorted arrays of contexts with their weights.
-It is broadcast. Its size is checked: if the n-grams exceed `max_grams`, the order falls by one until they do not; at order
-1 there are at most 65,536 for each language.
+It is broadcast while the distinct pairs of language and n-gram are at most `max_grams`. Beyond, the order and the
+probabilities are the same but stay in tables: the n-grams that the texts ask for get their probabilities order by order
+in joins. Those that make up at least one in `max_grams / languages` of all asked for are broadcast, and at most that many
+can be; the rest are joined to their documents, where no n-gram is frequent. Entropies agree to single precision.
 
 A text's language is the one of lowest cross-entropy per character. The score is a softmax over the languages of
 -entropy * sqrt(characters) * b, and b is fitted on at most `calibration_rows` learning texts, which also give, for each
@@ -38,6 +40,7 @@ UNDETERMINED = "und"
 _HELD = 300_000
 #: Characters of text scored at once.
 _SLICE = 4_000_000
+_SCHEMA = "doc_id long, held_out boolean, lang_pred string, score double, entropy double, accepted boolean"
 
 
 def held_out(doc_id: Column) -> Column:
@@ -138,7 +141,9 @@ class Model:
         return -total / np.maximum(chars, 1)[:, None], chars
 
     def predict(self, texts: list[str | None]) -> tuple[list[str], np.ndarray, np.ndarray, np.ndarray]:
-        h, chars = self.entropies(texts)
+        return self.decide(*self.entropies(texts))
+
+    def decide(self, h: np.ndarray, chars: np.ndarray) -> tuple[list[str], np.ndarray, np.ndarray, np.ndarray]:
         best = h.argmin(1)
         z = -h * np.sqrt(chars)[:, None] * self.beta
         p = np.exp(z - z.max(1, keepdims=True))
@@ -206,20 +211,25 @@ def kneser_ney(languages: list[str], order: int, counts: list[list[tuple[np.ndar
     return Model(languages, order, tables, np.full(len(languages), -np.log(symbols), np.float32))
 
 
-def train(learn: DataFrame, *, order: int = 4, max_grams: int = 4_000_000, calibration_rows: int = 4000) -> Model | None:
-    """`learn`: doc_id, text, lang, neither of the last two null. None if there is nothing to learn from."""
-    top = materialize(learn.select("text", "lang").mapInArrow(partial(_counted, order=order), "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n")), "grams")
-    # tables[m] holds order m; counts of a model's highest order are frequencies, of lower ones distinct left neighbours
-    seen = {order: top}
+def count_grams(learn: DataFrame, order: int) -> dict[int, DataFrame]:
+    """Tables lang, gram, n by order: frequencies at the highest, distinct left neighbours below."""
+    counted = learn.select("text", "lang").mapInArrow(partial(_counted, order=order), "lang string, gram long, n long")
+    seen = {order: materialize(counted.groupBy("lang", "gram").agg(F.sum("n").alias("n")), "grams")}
     for m in range(order - 1, 0, -1):
         code = F.col("gram").bitwiseAND(F.lit((1 << (16 * m)) - 1))
-        seen[m] = seen[m + 1].groupBy("lang", code.alias("gram")).agg(F.count(F.lit(1)).alias("n"), F.sum("total" if m < order - 1 else "n").alias("total"))
-    for m in range(order, 0, -1):
-        seen[m] = materialize(seen[m], f"order{m}") if m < order else seen[m]
-    while order > 1 and seen[order].count() > max_grams:
-        order -= 1
-        seen[order] = seen[order].select("lang", "gram", F.col("total").alias("n"))
-    frames = [seen[m].select("lang", "gram", "n").toPandas() for m in range(order, 0, -1)]
+        seen[m] = materialize(seen[m + 1].groupBy("lang", code.alias("gram")).agg(F.count(F.lit(1)).alias("n")), f"order{m}")
+    return seen
+
+
+def _calibration(learn: DataFrame, rows: int) -> DataFrame:
+    sample = learn.orderBy(F.xxhash64(F.lit("calibration"), "doc_id"), "doc_id").select("doc_id", "lang").limit(rows)
+    return F.broadcast(materialize(sample.select("doc_id").distinct(), "calibration"))
+
+
+def train(learn: DataFrame, seen: dict[int, DataFrame], *, calibration_rows: int = 4000) -> Model | None:
+    """`learn`: doc_id, text, lang, neither of the last two null; `seen`: its n-grams. None if there is nothing to learn from."""
+    order = max(seen)
+    frames = [seen[m].toPandas() for m in range(order, 0, -1)]
     languages = sorted(set(frames[0]["lang"]))
     if not languages:
         return None
@@ -229,13 +239,100 @@ def train(learn: DataFrame, *, order: int = 4, max_grams: int = 4_000_000, calib
         parts = dict(iter(f.groupby("lang")))
         counts.append([(parts[x]["gram"].to_numpy(np.uint64), parts[x]["n"].to_numpy(np.int64)) for x in languages])
     model = kneser_ney(languages, order, counts)
-    sample = learn.orderBy(F.xxhash64(F.lit("calibration"), "doc_id"), "doc_id").select("doc_id", "lang").limit(calibration_rows)
-    rows = learn.join(F.broadcast(materialize(sample.select("doc_id").distinct(), "calibration")), "doc_id")
+    rows = learn.join(_calibration(learn, calibration_rows), "doc_id")
     h = rows.select("text", "lang").mapInArrow(partial(_entropy_rows, model=learn.sparkSession.sparkContext.broadcast(model.state())), "lang string, h array<double>, chars long").toPandas()
     model.calibrate_on(h)
     return model
 
 
+def gram_logs(asked: DataFrame, seen: dict[int, DataFrame], languages: list[str]) -> DataFrame:
+    """gram, logs (a log probability for each language) for each n-gram of `asked`, as `kneser_ney` defines them."""
+    order = max(seen)
+    symbols = seen[1].select("gram").distinct().count() + 1
+
+    def suffix(m: int) -> Column:
+        return F.col("gram").bitwiseAND(F.lit((1 << (16 * m)) - 1))
+
+    def by_language(value: str, missing: float) -> Column:
+        return F.array(*[F.coalesce(F.max(F.when(F.col("lang") == x, F.col(value))), F.lit(missing)) for x in languages])
+
+    wanted = {order: asked.select("gram")}
+    for m in range(order - 1, 0, -1):
+        wanted[m] = materialize(wanted[m + 1].select(suffix(m).alias("gram")).distinct(), f"wanted{m}")
+    lower = None
+    for m in range(1, order + 1):
+        ones, twos = F.count_if(F.col("n") == 1), F.count_if(F.col("n") == 2)
+        found = {r["lang"]: float(np.clip(r["ones"] / max(1.0, r["ones"] + 2.0 * r["twos"]), 0.1, 0.95)) for r in seen[m].groupBy("lang").agg(ones.alias("ones"), twos.alias("twos")).collect()}
+        discount = F.element_at(F.create_map(*[F.lit(v) for pair in found.items() for v in pair]), F.col("lang"))
+        level = seen[m].withColumn("context", F.shiftrightunsigned("gram", 16)).withColumn("d", discount)
+        contexts = materialize(level.groupBy("lang", "context", "d").agg(F.sum("n").alias("s"), F.count(F.lit(1)).alias("c")), "contexts")
+        own = level.join(contexts.drop("d", "c"), ["lang", "context"]).withColumn("own", F.greatest(F.col("n") - F.col("d"), F.lit(0.0)) / F.col("s"))
+        own = own.groupBy("gram").agg(by_language("own", 0.0).alias("own"))
+        weights = contexts.withColumn("weight", F.col("d") * F.col("c") / F.col("s")).groupBy("context").agg(by_language("weight", 1.0).alias("weight"))
+        rows = wanted[m].withColumn("context", F.shiftrightunsigned("gram", 16)).join(own, "gram", "left").join(weights, "context", "left")
+        if lower is None:
+            rows = rows.withColumn("below", F.array_repeat(F.lit(1.0 / symbols), len(languages)))
+        else:
+            rows = rows.withColumn("suffix", suffix(m - 1)).join(lower.select(F.col("gram").alias("suffix"), F.col("p").alias("below")), "suffix")
+        kept = F.coalesce("own", F.array_repeat(F.lit(0.0), len(languages)))
+        passed = F.coalesce("weight", F.array_repeat(F.lit(1.0), len(languages)))
+        p = F.zip_with(kept, F.zip_with(passed, "below", lambda w, b: w * b), lambda o, b: o + b)
+        lower = materialize(rows.select("gram", p.alias("p")), f"p{m}")
+    return lower.select("gram", F.transform("p", lambda x: F.log(x)).alias("logs"))
+
+
+def _parts(batches: Iterator[pa.RecordBatch], order: int, frequent) -> Iterator[pa.RecordBatch]:
+    """Sums over the frequent n-grams of each text, and the other n-grams with their counts."""
+    keys, logs = frequent.value
+    for b in batches:
+        chars, sums, rare = [], [], []
+        for text in b.column(b.num_columns - 1):
+            words = _LETTERS.findall((text.as_py() or "").lower())
+            codes, n = np.unique(grams(words, order)[0], return_counts=True) if words else (np.zeros(0, np.uint64), np.zeros(0, np.int64))
+            at, known = Model._find(keys, codes) if len(keys) else (np.zeros(len(codes), np.int64), np.zeros(len(codes), bool))
+            chars.append(int(n.sum()))
+            sums.append(n[known] @ logs[at[known]])
+            rare.append([{"gram": g, "n": c} for g, c in zip(codes[~known].view(np.int64).tolist(), n[~known].tolist())])
+        columns = [pa.array(chars, pa.int64()), pa.array([x.tolist() for x in sums], pa.list_(pa.float64())), pa.array(rare, pa.list_(pa.struct([("gram", pa.int64()), ("n", pa.int64())])))]
+        yield pa.RecordBatch.from_arrays([*b.columns[:-1], *columns], names=[*b.schema.names[:-1], "chars", "sums", "rare"])
+
+
+def _decided(batches: Iterator[pa.RecordBatch], model) -> Iterator[pa.RecordBatch]:
+    known = Model.of(model.value)
+    names = ["doc_id", "held_out", "lang_pred", "score", "entropy", "accepted"]
+    for b in batches:
+        if b.num_rows:
+            pred, score, h, ok = known.decide(np.array(b.column(2).to_pylist()), b.column(3).to_numpy())
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(pred, pa.string()), pa.array(score, pa.float64()), pa.array(h, pa.float64(), from_pandas=True), pa.array(ok, pa.bool_())], names=names)
+
+
+def _by_joins(base: DataFrame, learn: DataFrame, seen: dict[int, DataFrame], max_grams: int, calibration_rows: int) -> DataFrame:
+    """What `identify` returns, with a model of any size."""
+    spark, order = base.sparkSession, max(seen)
+    languages = sorted(r["lang"] for r in seen[1].select("lang").distinct().collect())
+    texts = base.where("text IS NOT NULL").select("text", F.lit("").alias("lang"))
+    asked = texts.mapInArrow(partial(_counted, order=order), "lang string, gram long, n long").groupBy("gram").agg(F.sum("n").alias("n"))
+    asked = materialize(asked, "asked")
+    logs = materialize(gram_logs(asked, seen, languages).join(asked, "gram"), "logs")
+    often = logs.where(F.col("n") * F.lit(max(1, max_grams // len(languages))) >= F.lit(asked.agg(F.sum("n")).first()[0]))
+    held = often.select("gram", *[F.col("logs")[i].alias(f"l{i}") for i in range(len(languages))]).toPandas()
+    keys = held.pop("gram").to_numpy(np.int64).view(np.uint64)
+    at = np.argsort(keys)
+    frequent = spark.sparkContext.broadcast((keys[at], held.to_numpy(np.float64)[at]))
+    rows = base.select(F.monotonically_increasing_id().alias("row"), "doc_id", "held_out", "lang", "text")
+    schema = f"row long, doc_id {base.schema['doc_id'].dataType.simpleString()}, held_out boolean, lang string, chars long, sums array<double>, rare array<struct<gram:long,n:long>>"
+    rows = materialize(rows.mapInArrow(partial(_parts, order=order, frequent=frequent), schema), "parts")
+    rest = rows.select("row", F.inline("rare")).join(logs.select("gram", "logs"), "gram")
+    rest = rest.groupBy("row").agg(*[F.sum(F.col("n") * F.col("logs")[i]).alias(f"s{i}") for i in range(len(languages))])
+    h = F.array(*[-(F.col("sums")[i] + F.coalesce(f"s{i}", F.lit(0.0))) / F.greatest("chars", F.lit(1)) for i in range(len(languages))])
+    entropies = materialize(rows.drop("rare").join(rest, "row", "left").select("doc_id", "held_out", "lang", "chars", h.alias("h")), "entropies")
+    model = Model(languages, order, [], np.zeros(len(languages), np.float32))
+    sample = entropies.where("NOT held_out AND lang IS NOT NULL").join(_calibration(learn, calibration_rows), "doc_id")
+    model.calibrate_on(sample.select("lang", "h", "chars").toPandas())
+    rows = entropies.select(F.col("doc_id").cast("long").alias("doc_id"), "held_out", "h", "chars")
+    return rows.mapInArrow(partial(_decided, model=spark.sparkContext.broadcast(model.state())), _SCHEMA)
+
+
 def _entropy_rows(batches: Iterator[pa.RecordBatch], model) -> Iterator[pa.RecordBatch]:
     known = Model.of(model.value)
     for b in batches:
@@ -264,9 +361,11 @@ def identify(df: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", l
     """doc_id, held_out, lang_pred, score, entropy, accepted for each row; learns from rows not held out."""
     base = df.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text"), F.col(lang_col).cast("string").alias("lang"), held_out(F.col(id_col)).alias("held_out"))
     learn = base.where("NOT held_out AND text IS NOT NULL AND lang IS NOT NULL").select("doc_id", "text", "lang")
-    model = train(learn, order=order, max_grams=max_grams, calibration_rows=calibration_rows)
+    seen = count_grams(learn, order)
+    if seen[order].count() > max_grams:
+        return _by_joins(base, learn, seen, max_grams, calibration_rows)
+    model = train(learn, seen, calibration_rows=calibration_rows)
     rows = base.select(F.col("doc_id").cast("long").alias("doc_id"), "held_out", "text")
-    schema = "doc_id long, held_out boolean, lang_pred string, score double, entropy double, accepted boolean"
     if model is None:
         return rows.selectExpr("doc_id", "held_out", f"'{UNDETERMINED}' AS lang_pred", "0D AS score", "CAST(NULL AS DOUBLE) AS entropy", "false AS accepted")
-    return rows.mapInArrow(partial(_predicted, model=df.sparkSession.sparkContext.broadcast(model.state())), schema)
+    return rows.mapInArrow(partial(_predicted, model=df.sparkSession.sparkContext.broadcast(model.state())), _SCHEMA)

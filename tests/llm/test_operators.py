@@ -267,6 +267,21 @@ def test_language(spark, empty, order):
     assert {r["lang_pred"] for r in language.identify(nothing).collect()} == {"und"}
 
 
+@pytest.mark.parametrize("max_grams", [1, 60])
+def test_language_keeps_its_order_beyond_the_broadcast(spark, max_grams):
+    alphabets = {"aa": "abcde", "bb": "defgh", "cc": "éüßñø"}
+    rows = [(i, " ".join(words(20, i, alphabets[lang])), lang, "s", 0) for i, lang in enumerate(list(alphabets) * 20)]
+    rows += [(1000, None, "aa", "s", 0), (1001, "12 !!", "bb", "s", 0), (1002, "", None, "s", 0), (1003, "abcxyz Ω", None, "s", 0), rows[2]]
+    df = spark.createDataFrame(rows, DOCS).repartition(3)
+    key = lambda r: (r["doc_id"], r["score"])
+    whole = sorted(language.identify(df).collect(), key=key)
+    tables = sorted(language.identify(df, max_grams=max_grams).collect(), key=key)
+    assert len(whole) == len(tables) == len(rows)
+    for a, b in zip(whole, tables):
+        assert [a[c] for c in ("doc_id", "held_out", "lang_pred", "accepted")] == [b[c] for c in ("doc_id", "held_out", "lang_pred", "accepted")]
+        assert b["score"] == pytest.approx(a["score"], abs=1e-4) and b["entropy"] == (a["entropy"] and pytest.approx(a["entropy"], rel=1e-5))
+
+
 def test_kneser_ney_sums_to_one():
     codes, _ = language.grams(["abba", "abab", "bab"], 3)
     keys, n = np.unique(codes, return_counts=True)
