@@ -2,15 +2,19 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
+from functools import partial
 
 import numpy as np
+import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from paneloom.functions.missing import col, known
 from paneloom.functions.scalars import reciprocal_weights
+from paneloom.plans.shared import materialize
 
 EARTH_KM = 6371.0
 
@@ -40,6 +44,70 @@ def knn(distances: DataFrame, k: int, cutoff: float | None = None) -> DataFrame:
     return rows.withColumn("place", F.row_number().over(W.partitionBy("i").orderBy("d", "j"))).where(F.col("place") <= k)
 
 
+def _packed(batches: Iterator[pa.RecordBatch], rows: int) -> Iterator[pa.RecordBatch]:
+    """Blocks of ids and of their features, as bytes."""
+    ids, x = [], []
+
+    def block() -> pa.RecordBatch:
+        values = np.array(x, np.float64)
+        return pa.RecordBatch.from_arrays([pa.array([np.array(ids, np.int64).tobytes()]), pa.array([values.tobytes()])], names=["ids", "x"])
+
+    for b in batches:
+        for i, f in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
+            ids.append(i)
+            x.append(f)
+            if len(ids) == rows:
+                yield block()
+                ids, x = [], []
+    if ids:
+        yield block()
+
+
+def _nearest(batches: Iterator[pa.RecordBatch], k: int, power: float, weights: list[float] | None, cutoff: float | None) -> Iterator[pa.RecordBatch]:
+    """The k nearest of each row of one block among the rows of another. Candidates come from a matrix product where the
+    power is 2, with a margin above its rounding; their distances are then summed feature by feature."""
+    for b in batches:
+        for columns in zip(*(c.to_pylist() for c in b.columns)):
+            i, j = (np.frombuffer(columns[at], np.int64) for at in (0, 2))
+            x, y = (np.frombuffer(columns[at], np.float64).reshape(len(n), -1) for at, n in ((1, i), (3, j)))
+            if weights is not None:
+                x, y = (v * (np.array(weights) / sum(weights)) for v in (x, y))
+            if power == 2:
+                xx, yy = (x * x).sum(1), (y * y).sum(1)
+                near = xx[:, None] + yy - 2 * (x @ y.T)
+                margin = 8 * np.finfo(float).eps * (x.shape[1] + 8) * (xx + yy.max())
+            else:
+                near, margin = np.zeros((len(i), len(j))), np.zeros(len(i))
+                for f in range(x.shape[1]):
+                    near += np.abs(x[:, f, None] - y[:, f]) ** power
+            if len(np.intersect1d(i, j)):
+                near[i[:, None] == j] = np.inf
+            bound = np.partition(near, k - 1, axis=1)[:, k - 1] if k < len(j) else np.full(len(i), np.inf)
+            a, c = np.nonzero((near <= (bound + margin)[:, None]) & (near < np.inf))
+            d = np.zeros(len(a))
+            for f in range(x.shape[1]):
+                d += np.abs(x[a, f] - y[c, f]) ** power
+            got = pd.DataFrame({"i": i[a], "j": j[c], "d": d ** (1.0 / power)})
+            got = (got if cutoff is None else got[got["d"] <= cutoff]).sort_values(["i", "d", "j"])
+            yield pa.RecordBatch.from_pandas(got[got.groupby("i").cumcount() < k], preserve_index=False)
+
+
+def nearest(df: DataFrame, id_col: str, features: str, k: int, *, power: float = 2.0, weights: Sequence[float] | None = None, cutoff: float | None = None, block: int = 1024) -> DataFrame:
+    """What `knn` gives on the whole `distance_matrix`, without its rows: i, j, d, place. Ids are integers and unique.
+
+    Every pair of blocks of rows is compared once in a task, which keeps k for each row and block. Rows with missing
+    features are nobody's neighbours and have none.
+    """
+    whole = df.where(F.col(features).isNotNull() & ~F.exists(features, lambda x: x.isNull() | F.isnan(x)))
+    # equal sizes of blocks, however many files the table has
+    parts = max(1, -(-whole.count() // block))
+    packed = whole.select(F.col(id_col).cast("long").alias("i"), F.col(features).cast("array<double>").alias("x")).repartition(parts)
+    packed = materialize(packed.mapInArrow(partial(_packed, rows=2 * block), "ids binary, x binary"), "blocks")
+    pairs = packed.crossJoin(packed.select(F.col("ids").alias("ids2"), F.col("x").alias("x2")))
+    close = partial(_nearest, k=k, power=float(power), weights=None if weights is None else [float(w) for w in weights], cutoff=cutoff)
+    return knn(pairs.mapInArrow(close, "i long, j long, d double"), k)
+
+
 def knn_stats(df: DataFrame, id_col: str, response: str, distances: DataFrame, k: int, *, weight: str | None = None, cutoff: float | None = None, reciprocal: tuple[float, float] | None = None) -> DataFrame:
     """For each row: count of neighbours, mean distance, weighted mean and deviation of their responses."""
     own = df.select(F.col(id_col).alias("j"), known(response).alias("_y"), (known(weight) if weight else F.lit(1.0)).alias("_w"))

@@ -142,3 +142,26 @@ def test_step_list_starts(spark):
 def test_gini(spark):
     df = spark.createDataFrame([(3.0, 1.0), (2.0, 4.0), (5.0, 9.0)], "n double, m double")
     assert stats.gini(df, "n", "m").first()[0] == pytest.approx(0.3357142857)
+
+
+def test_neighbours_cover_the_whole_table(spark):
+    from paneloom.operators import spatial
+
+    r = np.random.default_rng(3)
+    x = np.vstack([r.normal(size=(230, 6)), np.tile(r.normal(size=6), (40, 1))]).astype(np.float32).astype(float)
+    df = spark.createDataFrame([(i * 3, v.tolist()) for i, v in enumerate(x)], "k long, v array<float>").repartition(4)
+    for power in (2.0, 1.0):
+        d = (np.abs(x[:, None] - x) ** power).sum(2) ** (1 / power)
+        np.fill_diagonal(d, np.inf)
+        want = {(3 * i, p + 1): 3 * j for i in range(len(x)) for p, j in enumerate(np.lexsort((np.arange(len(x)), d[i].round(12)))[:5])}
+        got = spatial.nearest(df, "k", "v", 5, power=power, block=50).collect()
+        assert {(g["i"], g["place"]): g["j"] for g in got} == want
+        assert all(abs(g["d"] - d[g["i"] // 3, g["j"] // 3]) < 1e-9 for g in got)
+
+
+def test_vector_queries_cover_the_whole_table(spark):
+    from paneloom.plans import registry
+
+    n = spark.read.parquet("/root/testdata/sf0.001/embeddings.parquet").count()
+    assert registry.queries()["n1_minkowski"](spark, "/root/testdata/sf0.001").count() == n * (n - 1)
+    assert registry.queries()["n2_knn_stats"](spark, "/root/testdata/sf0.001").count() == n
