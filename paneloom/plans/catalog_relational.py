@@ -222,16 +222,18 @@ def j8(spark, d):
     return joins.dict_diff(c.where("c_custkey % 10 <> 0").withColumn("v", F.col("c_mktsegment")), new, "c_custkey", "v")
 
 
-@query("j9_sincat", "SELECT CAST(CASE WHEN event_id < 100 THEN 0 WHEN event_id < 150 THEN 1 ELSE 2 END AS INTEGER) AS segment, count(*) AS n, round(sum(value), 4) AS total FROM events WHERE event_id < 400 GROUP BY 1")
+@query("j9_sincat", "SELECT CAST(event_id // 400 * 3 + CASE WHEN event_id % 400 < 100 THEN 0 WHEN event_id % 400 < 150 THEN 1 ELSE 2 END AS INTEGER) AS segment, count(*) AS n, round(sum(value), 4) AS total FROM events GROUP BY 1")
 def j9(spark, d):
-    return joins.segments(table(spark, d, "events"), "event_id", [100, 50, 250]).groupBy("segment").agg(F.count(F.lit(1)).alias("n"), F.round(F.sum("value"), 4).alias("total"))
+    events = table(spark, d, "events")
+    return joins.segments(events, "event_id", joins.repeated_lengths(events.count(), [100, 50, 250])).groupBy("segment").agg(F.count(F.lit(1)).alias("n"), F.round(F.sum("value"), 4).alias("total"))
 
 
-@query("z4_user_function", "SELECT CAST(CASE WHEN event_id < 100 THEN 0 ELSE 1 END AS INTEGER) AS segment, round(max(value) - min(value), 6) AS span FROM events WHERE event_id < 300 GROUP BY 1")
+@query("z4_user_function", "SELECT CAST(event_id // 300 * 2 + CASE WHEN event_id % 300 < 100 THEN 0 ELSE 1 END AS INTEGER) AS segment, round(max(value) - min(value), 6) AS span FROM events GROUP BY 1")
 def z4(spark, d):
     import pandas as pd
 
     def span(g):
         return pd.DataFrame({"segment": [int(g["segment"].iloc[0])], "span": [round(float(g["value"].max() - g["value"].min()), 6)]})
 
-    return joins.apply_segments(table(spark, d, "events").select("event_id", "value"), "event_id", [100, 200], span, "segment int, span double")
+    events = table(spark, d, "events").select("event_id", "value")
+    return joins.apply_segments(events, "event_id", joins.repeated_lengths(events.count(), [100, 200]), span, "segment int, span double")

@@ -165,3 +165,20 @@ def test_vector_queries_cover_the_whole_table(spark):
     n = spark.read.parquet("/root/testdata/sf0.001/embeddings.parquet").count()
     assert registry.queries()["n1_minkowski"](spark, "/root/testdata/sf0.001").count() == n * (n - 1)
     assert registry.queries()["n2_knn_stats"](spark, "/root/testdata/sf0.001").count() == n
+
+
+def test_segments_cover_all_rows(spark):
+    from paneloom.operators import joins
+    from paneloom.plans import registry
+
+    df = spark.range(10)
+    got = {r["id"]: r["segment"] for r in joins.segments(df, "id", [3, 0, 5, 2]).collect()}
+    assert got == dict(enumerate([0, 0, 0, 2, 2, 2, 2, 2, 3, 3]))
+    for lengths in ([3, 5], [3, 5, 3]):
+        with pytest.raises(ValueError):
+            joins.segments(df, "id", lengths)
+    assert joins.repeated_lengths(10, [3, 4]) == [3, 4, 3] and joins.repeated_lengths(0, [3]) == []
+    sf = "/root/testdata/sf0.001"
+    n = spark.read.parquet(f"{sf}/events.parquet").count()
+    assert registry.queries()["j9_sincat"](spark, sf).agg(F.sum("n")).first()[0] == n
+    assert registry.queries()["z4_user_function"](spark, sf).count() == len(joins.repeated_lengths(n, [100, 200]))
