@@ -182,3 +182,15 @@ def test_segments_cover_all_rows(spark):
     n = spark.read.parquet(f"{sf}/events.parquet").count()
     assert registry.queries()["j9_sincat"](spark, sf).agg(F.sum("n")).first()[0] == n
     assert registry.queries()["z4_user_function"](spark, sf).count() == len(joins.repeated_lengths(n, [100, 200]))
+
+
+def test_event_queries_cover_all_rows(spark):
+    from paneloom.plans import registry
+
+    sf = "/root/testdata/sf0.001"
+    value = {r["event_id"]: r["value"] for r in spark.read.parquet(f"{sf}/events.parquet").collect()}
+    got = registry.queries()["z6_table_function"](spark, sf).collect()
+    assert sorted((r["event_id"], r["k"]) for r in got) == sorted((i, k) for i in value for k in range(i % 3 + 1))
+    got = {r["k"]: r["value"] for r in registry.queries()["w12_interp"](spark, sf).collect()}
+    assert sorted(got) == sorted(i for i in value if i + 1 in value)
+    assert all(got[i] == pytest.approx(0.75 * value[i] + 0.25 * value[i + 1], abs=1e-6) for i in got)
