@@ -124,8 +124,8 @@ def w13(spark, d):
 @query(
     "r12_autocorr",
     """WITH c AS (SELECT date_diff('day', DATE '2024-01-01', ts::date) AS p, count(*)::double AS n FROM events GROUP BY 1)
-SELECT CAST(k AS INTEGER) AS lag, round(corr(a.n, b.n), 6) AS corr FROM c a JOIN c b ON b.p > a.p AND b.p <= a.p + 14 CROSS JOIN LATERAL (SELECT b.p - a.p AS k) GROUP BY k""",
+SELECT CAST(k AS INTEGER) AS lag, round(corr(a.n, b.n), 6) AS corr FROM c a JOIN c b ON b.p > a.p AND b.p <= a.p + (SELECT count(*) // 2 FROM c) CROSS JOIN LATERAL (SELECT b.p - a.p AS k) GROUP BY k""",
 )
 def r12(spark, d):
     days = table(spark, d, "events").groupBy(F.datediff(F.to_date("ts"), F.lit("2024-01-01").cast("date")).alias("p")).agg(F.count(F.lit(1)).alias("n"))
-    return windows.autocorrelation(days, "p", "n", 14).select("lag", F.round("corr", 6).alias("corr"))
+    return windows.autocorrelation(days, "p", "n").select("lag", F.round("corr", 6).alias("corr"))

@@ -184,6 +184,17 @@ def test_segments_cover_all_rows(spark):
     assert registry.queries()["z4_user_function"](spark, sf).count() == len(joins.repeated_lengths(n, [100, 200]))
 
 
+def test_autocorrelation_has_all_lags(spark):
+    from paneloom.operators import windows
+
+    x = np.random.default_rng(4).normal(size=41)
+    df = spark.createDataFrame([(i, float(v)) for i, v in enumerate(x)], "p long, x double")
+    got = {r["lag"]: r["corr"] for r in windows.autocorrelation(df, "p", "x").collect()}
+    assert sorted(got) == list(range(1, 21))
+    assert all(got[k] == pytest.approx(np.corrcoef(x[:-k], x[k:])[1, 0]) for k in got)
+    assert windows.autocorrelation(df.limit(1), "p", "x").count() == 0
+
+
 def test_event_queries_cover_all_rows(spark):
     from paneloom.plans import registry
 
