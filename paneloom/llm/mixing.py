@@ -7,7 +7,9 @@ Within a source every document is due e = target / size copies: floor(e) whole c
 drawn by Pareto order sampling. A document's random odds U / (1 - U) are divided by its inclusion odds p / (1 - p), and
 documents are taken in ascending order of the quotient while the words fit into what the target leaves. U comes from
 md5(seed, doc_id), so reruns agree. One more document, the one whose size comes closest to the words still missing, is
-taken if that brings the source nearer to its target.
+taken if that brings the source nearer to its target. Where this leaves more than a thousandth of the target, the order goes
+on past the documents that are larger than what is left, again and again until none fits; of these states, each with its
+own last document, the one nearest to the target counts.
 
 The cut in each source's order is found without sorting the source: words are summed over 4096 ranges of the quotient
 (pre-aggregated before the shuffle), the range that holds the cut is divided by 4096 again, and only what lies in that
@@ -72,6 +74,65 @@ def mix_plan(df: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", s
     return _plan(materialize(rows.withColumn("_row", F.monotonically_increasing_id()), "sizes"), weights, share, max_copies, seed)
 
 
+def of_source(left: DataFrame, right: DataFrame) -> DataFrame:
+    return left.join(checked_broadcast(right), "_key", "left")
+
+
+def _cell() -> Column:
+    return F.floor(F.col("_v") * _RANGES * _RANGES).cast("long")
+
+
+def _cut(contested: DataFrame, start: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Where each source's order crosses its `_rest`, and the rows of that last range: those that still fit are taken."""
+    cell = _cell()
+    cut = start.select("_key", "_rest", F.lit(0).cast("long").alias("_from"), F.lit(0.0).alias("_before"))
+    for width in (_RANGES, 1):  # cells in a range of this level
+        inside = contested if width == _RANGES else of_source(contested, cut.select("_key", "_from")).where(F.floor(cell / _RANGES) == F.col("_from")).drop("_from")
+        sums = inside.groupBy("_key", F.floor(cell / width).cast("long").alias("_range")).agg(F.sum("size").alias("_sum"))
+        sums = sums.join(cut.select("_key", "_rest", "_before"), "_key")
+        upto = F.sum("_sum").over(W.partitionBy("_key").orderBy("_range").rowsBetween(W.unboundedPreceding, 0)) + F.col("_before")
+        crossing = sums.withColumn("_upto", upto).where(F.col("_upto") > F.col("_rest"))
+        first = crossing.groupBy("_key", "_rest").agg(F.min(F.struct("_range", F.expr("_upto - _sum").alias("_before"))).alias("_c"))
+        cut = materialize(first.select("_key", "_rest", F.col("_c._range").alias("_from"), F.col("_c._before").alias("_before")), "cut")
+    last = of_source(contested, cut).where(cell == F.col("_from"))
+    upto = F.sum("size").over(W.partitionBy("_key").orderBy("_v", "doc_id", "size", "_row").rowsBetween(W.unboundedPreceding, 0)) + F.col("_before")
+    return cut, materialize(last.withColumn("_fits", upto <= F.col("_rest")).select("_row", "_fits"), "last")
+
+
+def _marked(rows: DataFrame, cut: DataFrame, last: DataFrame) -> DataFrame:
+    """`rows` with _taken."""
+    marked = of_source(rows, cut.select("_key", "_from")).join(checked_broadcast(last), "_row", "left")
+    taken = F.when(F.col("_v").isNull(), F.lit(False)).when(F.col("_from").isNull(), F.lit(True)).otherwise((_cell() < F.col("_from")) | F.coalesce(F.col("_fits"), F.lit(False)))
+    return marked.withColumn("_taken", taken).drop("_from", "_fits")
+
+
+def _filled(left: DataFrame, gap: DataFrame, targets: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Rows taken past the cut (_key, _row, _round), and for each source and round the last document and what it misses."""
+    extra, ends, n = None, None, 0
+    while True:
+        # what is no nearer than nothing is no last document now or later, for the gap only falls
+        left = materialize(of_source(left, gap).where(F.col("size") < 2 * F.col("_gap")), "left")
+        near = left.groupBy("_key").agg(F.min(F.struct(F.abs(F.col("size") - F.col("_gap")).alias("m"), "_v", "doc_id", "_row")).alias("_f"))
+        end = of_source(gap, materialize(near, "near")).select("_key", "_gap", F.coalesce("_f.m", "_gap").alias("_error"), F.lit(n).alias("_round"), F.col("_f._row").alias("_fill"))
+        end = materialize(end, "end")
+        ends = end if ends is None else ends.unionByName(end)
+        short = of_source(end, targets).where("_error * 1000 > target").select("_key", F.col("_gap").alias("_rest"))
+        short = materialize(short, "short")
+        left = left.drop("_gap").join(checked_broadcast(short), "_key")
+        fit = left.where("size <= _rest").drop("_rest")
+        if fit.isEmpty():
+            break
+        more = materialize(_marked(fit, *_cut(fit, short)).where("_taken").select("_key", "_row", "size", F.lit(n).alias("_round")), "more")
+        extra = more if extra is None else extra.unionByName(more)
+        taken = materialize(more.groupBy("_key").agg(F.sum("size").alias("_more")), "taken")
+        gap = materialize(of_source(short, taken).select("_key", (F.col("_rest") - F.coalesce("_more", F.lit(0))).alias("_gap")), "gap")
+        left = left.drop("_rest").join(checked_broadcast(more.select("_row")), "_row", "left_anti")
+        n += 1
+    if extra is None:
+        extra = ends.limit(0).select("_key", F.col("_fill").alias("_row"), "_round")
+    return extra, ends
+
+
 def _plan(rows: DataFrame, weights: Sequence[float], share: float, max_copies: int, seed: str) -> DataFrame:
     sizes = rows.groupBy("source").agg(F.sum("size").alias("source_size"))
     targets = source_targets(materialize(sizes, "sizes"), weights, share, max_copies)
@@ -81,9 +142,6 @@ def _plan(rows: DataFrame, weights: Sequence[float], share: float, max_copies: i
     targets = targets.withColumn("_p", F.when(F.col("source_size") > 0, F.col("_rest") / F.nullif(F.col("source_size"), F.lit(0))).otherwise(F.lit(0.0)))
     targets = materialize(targets.withColumn("_key", F.coalesce(F.concat(F.lit("s"), F.col("source")), F.lit("n"))), "targets")
 
-    def of_source(left: DataFrame, right: DataFrame) -> DataFrame:
-        return left.join(checked_broadcast(right), "_key", "left")
-
     u = uniform(F.col("doc_id"), seed)
     odds = (u / (F.lit(1.0) - u)) * ((F.lit(1.0) - F.col("_p")) / F.col("_p"))
     # v is the quotient brought into (0, 1); sources with nothing left to draw need none
@@ -91,35 +149,21 @@ def _plan(rows: DataFrame, weights: Sequence[float], share: float, max_copies: i
     keyed = rows.withColumn("_key", F.coalesce(F.concat(F.lit("s"), F.col("source")), F.lit("n"))).drop("source")
     drawn = materialize(of_source(keyed, targets.select("_key", "_p")).withColumn("_v", v).drop("_p"), "drawn")
 
-    cell = F.floor(F.col("_v") * _RANGES * _RANGES).cast("long")
     contested = drawn.where(F.col("_v").isNotNull())
-    cut = targets.select("_key", "_rest", F.lit(0).cast("long").alias("_from"), F.lit(0.0).alias("_before"))
-    for width in (_RANGES, 1):  # cells in a range of this level
-        inside = contested if width == _RANGES else of_source(contested, cut.select("_key", "_from")).where(F.floor(cell / _RANGES) == F.col("_from")).drop("_from")
-        sums = inside.groupBy("_key", F.floor(cell / width).cast("long").alias("_range")).agg(F.sum("size").alias("_sum"))
-        sums = sums.join(cut.select("_key", "_rest", "_before"), "_key")
-        upto = F.sum("_sum").over(W.partitionBy("_key").orderBy("_range").rowsBetween(W.unboundedPreceding, 0)) + F.col("_before")
-        crossing = sums.withColumn("_upto", upto).where(F.col("_upto") > F.col("_rest"))
-        first = crossing.groupBy("_key", "_rest").agg(F.min(F.struct("_range", F.expr("_upto - _sum").alias("_before"))).alias("_c"))
-        cut = materialize(first.select("_key", "_rest", F.col("_c._range").alias("_from"), F.col("_c._before").alias("_before")), "cut")
-    # Rows of the last range in order: those that still fit are taken.
-    last = of_source(contested, cut).where(cell == F.col("_from"))
-    upto = F.sum("size").over(W.partitionBy("_key").orderBy("_v", "doc_id", "size", "_row").rowsBetween(W.unboundedPreceding, 0)) + F.col("_before")
-    last = materialize(last.withColumn("_fits", upto <= F.col("_rest")).select("_key", "_row", "size", "_fits"), "last")
-    gap = last.where("_fits").groupBy("_key").agg(F.sum("size").alias("_more"))
-    gap = cut.join(gap, "_key", "left").select("_key", "_from", (F.col("_rest") - F.col("_before") - F.coalesce("_more", F.lit(0))).alias("_gap"))
-    gap = materialize(gap, "gap")
-
-    marked = of_source(drawn, gap)
-    marked = marked.join(checked_broadcast(last.select("_row", "_fits")), "_row", "left")
-    taken = F.when(F.col("_v").isNull(), F.lit(False)).when(F.col("_from").isNull(), F.lit(True)).otherwise((cell < F.col("_from")) | F.coalesce(F.col("_fits"), F.lit(False)))
-    marked = marked.withColumn("_taken", taken)
-    missing = F.abs(F.col("size") - F.col("_gap"))
-    fill = marked.where(~F.col("_taken") & F.col("_gap").isNotNull() & (missing < F.col("_gap")))
-    fill = fill.groupBy("_key").agg(F.min(F.struct(missing.alias("m"), "_v", "doc_id", "_row")).alias("_f")).select("_key", F.col("_f._row").alias("_fill"))
-    marked = of_source(marked, materialize(fill, "fill"))
+    cut, last = _cut(contested, targets.select("_key", "_rest"))
+    marked = _marked(drawn, cut, last)
+    taken = marked.where("_taken").groupBy("_key").agg(F.sum("size").alias("_more"))
+    gap = of_source(cut.select("_key", "_rest"), materialize(taken, "gap")).select("_key", (F.col("_rest") - F.coalesce("_more", F.lit(0))).alias("_gap"))
+    left = marked.where(~F.col("_taken") & F.col("_v").isNotNull() & (F.col("size") > 0)).select("_key", "_row", "_v", "doc_id", "size")
+    extra, ends = _filled(left, materialize(gap, "gap"), targets.select("_key", "target"))
+
+    best = ends.groupBy("_key").agg(F.min(F.struct("_error", "_round", "_fill")).alias("_b")).select("_key", "_b._round", "_b._fill")
+    best = materialize(best, "best")
+    also = of_source(extra, best.select("_key", F.col("_round").alias("_end"))).where("_round < _end").select("_row")
+    also = materialize(also.unionByName(best.where("_fill IS NOT NULL").select(F.col("_fill").alias("_row"))).withColumn("_also", F.lit(True)), "also")
+    marked = marked.join(checked_broadcast(also), "_row", "left")
     marked = of_source(marked, targets.select("_key", "source", "source_size", "target", "_whole"))
-    copies = F.col("_whole") + (F.col("_taken") | F.coalesce(F.col("_row") == F.col("_fill"), F.lit(False))).cast("long")
+    copies = F.col("_whole") + (F.col("_taken") | F.coalesce("_also", F.lit(False))).cast("long")
     out = marked.withColumn("copies", F.least(copies, F.lit(max_copies).cast("long")))
     return materialize(out.select("doc_id", "size", "source", "source_size", "target", (F.col("size") * F.col("copies")).alias("taken"), "copies", "_row"), "mix")
 

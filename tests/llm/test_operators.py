@@ -228,6 +228,17 @@ def test_mixing(docs, empty, both_ways):
     assert mixing.mix_plan(empty).count() == 0 and mixing.mix_documents(empty).count() == 0
 
 
+def test_mixing_past_one_long_document(spark):
+    sizes = [2770, *(30 + 7 * i % 50 for i in range(55))]
+    df = spark.createDataFrame([(1000 * s + i, "w " * n, "en", f"s{s:02d}", 0) for s in range(12) for i, n in enumerate(sizes)], DOCS)
+    taken, target = collections.Counter(), {}
+    for r in mixing.mix_plan(df, weights=(1,), share=0.45).collect():
+        taken[r["source"]] += r["taken"]
+        target[r["source"]] = r["target"]
+    assert len(target) == 12
+    assert all(abs(taken[s] - target[s]) <= 0.01 * target[s] for s in target), [(taken[s], target[s]) for s in target]
+
+
 def test_quality(spark, empty, both_ways):
     r = random.Random(4)
     rows = [(i, " ".join(words(60, i)) if i % 4 else " ".join(w + "***" for w in words(60, i)), "en", f"s{i % 5}" if i % 7 else None, 0) for i in range(200)] + [(900, None, None, None, None), (901, "", "en", "s1", 0)]
