@@ -1,23 +1,32 @@
-"""Substring deduplication by suffix automata of reference shards.
+"""Substring deduplication by broadcast suffix automata of reference shards.
 
 A window of `window` consecutive words goes if the same words also stand in a document of smaller id; a word goes if any
 such window covers it.
 
-1. Anchors. Of each window's `gram`-word pieces the one of least hash is the window's anchor, so equal windows have equal
-   anchors, wherever they stand. Only anchors that two documents share go on (counted with partial sums).
-2. Segments. A document is cut into the stretches of words whose windows one shared anchor owns. Equal segments are
+1. Reference. Passages that many documents share are found in one document of `rate` (by a hash of its id): pieces of
+   `gram` words that at least `least` of those hold. The text around the `most` commonest, as it stands in the smallest of
+   those documents, is the reference: at most `most` stretches of 2 * window words, whatever the input. Its suffix
+   automaton, with the smallest document that each state's words occur in, is broadcast.
+2. Streaming. Every document runs past the automaton wherever all its pieces are the reference's. The state of the last
+   `window` words (matching statistics) says whether they stand in a smaller document; maximal spans of such windows are
+   the document's, one row each, and nothing else of them is ever shuffled. A passage that all documents share costs a row
+   for each document.
+3. Anchors. Of the pieces of each window that is left, the one of least hash is the window's anchor, pieces of the
+   reference only where there is no other. So equal windows have equal anchors, wherever they stand, and a window that
+   reaches out of a common passage has an anchor of its own. Only anchors that two documents share go on (counted with
+   partial sums). The smallest document of a window never loses it to the reference, so it is always among them.
+4. Segments. A document is cut into the stretches of words whose windows one shared anchor owns. Equal segments are
    grouped by a 128-bit digest: each but the one of smallest id is covered whole, since that document has all its windows.
-   So copies, however many, come down to one text for each context.
-3. Shards. What is left are the different segments around one anchor. They are dealt to shards by anchor; a shard is
-   bounded in words, and one suffix automaton over its segments has, for each state, the smallest document that its words
-   occur in. Streaming a segment through it gives, at each word, the state of the last `window` words (matching
-   statistics), and that state's document says whether the window goes. Words are compared as they are, not by hash.
-4. An anchor with more than `shard_rows` different segments (a passage in a great many contexts) would fill a shard by
-   itself. Its windows are grouped by a 128-bit digest with the smallest document instead, which has partial sums and no
-   bound on the group: the exact way for what no shard may hold.
-
-A shard goes to the one task that streams its segments rather than to all of them: what is shared grows with the input,
-and a broadcast may not.
+   So copies come down to one text for each context.
+5. Shards. What is left are the different segments around one anchor. They are dealt to shards by anchor; a shard is
+   bounded in words, and one suffix automaton over its segments decides on their windows as that of the reference does.
+   What is shared by few grows with the input, so these shards are built in the task that streams their segments rather
+   than broadcast.
+6. An anchor with more than `shard_rows` different segments (a passage in many contexts, too rare for the reference) would
+   fill a shard by itself. Its windows are grouped by a 128-bit digest with the smallest document instead, which has
+   partial sums and no bound on the group: the exact way for what no shard may hold.
+
+Steps 2 and 5 compare words; steps 4 and 6 compare 128-bit digests of words.
 
 Defined results: words are runs of anything but space and \\t to \\r; a null text has none; a null id counts as larger than
 all; rows of equal id are never deduplicated against one another; an empty table gives no rows.
@@ -36,18 +45,20 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from paneloom.plans.shared import checked_broadcast, materialize
+from paneloom.plans.shared import materialize
 
 _ODD = np.uint64(0x9E3779B97F4A7C15)
 _NO_ID = (1 << 63) - 1
+#: Mean length of word up to which a stretch may be in the reference.
+_LONG = 32
 
 
 def _words(text: str | None) -> list[bytes]:
     return (text or "").encode("utf-8", "replace").split()
 
 
-def _owned(words: list[bytes], window: int, gram: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Anchors of a document of at least `window` words: hash, first and last start of the windows that each owns."""
+def _grams(words: list[bytes], gram: int) -> np.ndarray:
+    """Hashes of the pieces of `gram` words, by the place of their first word."""
     from xxhash import xxh3_64_intdigest
 
     h = np.fromiter(map(xxh3_64_intdigest, words), np.uint64, len(words))
@@ -55,9 +66,23 @@ def _owned(words: list[bytes], window: int, gram: int) -> tuple[np.ndarray, np.n
     for j in range(1, gram):
         acc = acc * _ODD + h[j : len(h) - gram + 1 + j]
     acc = (acc ^ (acc >> np.uint64(33))) * np.uint64(0xFF51AFD7ED558CCD)
-    acc = (acc ^ (acc >> np.uint64(33))) * np.uint64(0xC4CEB9FE1A85EC53)
-    # the least hash of each window, the leftmost of equal ones: hash above, place below
-    low = (acc & ~np.uint64(0xFFFFFFFF)) | np.arange(len(acc), dtype=np.uint64)
+    return (acc ^ (acc >> np.uint64(33))) * np.uint64(0xC4CEB9FE1A85EC53)
+
+
+def _among(keys: np.ndarray, wanted: np.ndarray) -> np.ndarray:
+    """Which of `wanted` are in the sorted `keys`."""
+    if not len(keys):
+        return np.zeros(len(wanted), bool)
+    at = np.searchsorted(keys, wanted)
+    at[at == len(keys)] = 0
+    return keys[at] == wanted
+
+
+def _owned(acc: np.ndarray, common: np.ndarray, window: int, gram: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Anchors of a document of at least `window` words: hash, first and last start of the windows that each owns."""
+    # the least hash of each window, those of the reference last, the leftmost of equal ones: hash above, place below
+    low = (acc >> np.uint64(1)) | (common.astype(np.uint64) << np.uint64(63))
+    low = (low & ~np.uint64(0xFFFFFFFF)) | np.arange(len(acc), dtype=np.uint64)
     span, wide = window - gram + 1, 1
     while 2 * wide <= span:
         low = np.minimum(low[: len(low) - wide], low[wide:])
@@ -69,35 +94,110 @@ def _owned(words: list[bytes], window: int, gram: int) -> tuple[np.ndarray, np.n
     return acc[place[first]].view(np.int64), first, np.r_[first[1:] - 1, len(place) - 1]
 
 
-def _anchors(batches: Iterator[pa.RecordBatch], window: int, gram: int) -> Iterator[pa.RecordBatch]:
+def _stretches(marked: np.ndarray) -> list[tuple[int, int]]:
+    """Runs of true places: first, and one past the last."""
+    edges = np.flatnonzero(np.diff(np.r_[False, marked, False].astype(np.int8)))
+    return list(zip(edges[::2].tolist(), edges[1::2].tolist()))
+
+
+def _sampled(batches: Iterator[pa.RecordBatch], window: int, gram: int) -> Iterator[pa.RecordBatch]:
     for b in batches:
-        keys, docs, tags, starts = [], [], [], []
-        for doc, text, tag in zip(b.column(0).to_pylist(), b.column(1), b.column(2).to_pylist()):
+        keys, docs = [], []
+        for doc, text in zip(b.column(0).to_pylist(), b.column(1)):
             words = _words(text.as_py())
             if len(words) >= window:
-                k, first, _ = _owned(words, window, gram)
+                acc = _grams(words, gram)
+                k = np.unique(_owned(acc, np.zeros(len(acc), bool), window, gram)[0])
                 keys.append(k)
                 docs.append(np.full(len(k), doc))
-                tags.append(np.full(len(k), tag))
-                starts.append(first)
         if keys:
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(keys)), pa.array(np.concatenate(docs)), pa.array(np.concatenate(tags)), pa.array(np.concatenate(starts).astype(np.int32))], names=["anchor", "doc", "tag", "first"])
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(keys)), pa.array(np.concatenate(docs))], names=["anchor", "doc"])
+
+
+def _quoted(batches: Iterator[pa.RecordBatch], window: int, gram: int) -> Iterator[pa.RecordBatch]:
+    """The stretches of words around the anchors asked for; those of words too long to be held are left out."""
+    for b in batches:
+        rows = []
+        for doc, text, wanted in zip(b.column(0).to_pylist(), b.column(1), b.column(2).to_pylist()):
+            words, wanted = _words(text.as_py()), set(wanted)
+            acc = _grams(words, gram)
+            marked = np.zeros(len(words), bool)
+            for k, first, last in zip(*(x.tolist() for x in _owned(acc, np.zeros(len(acc), bool), window, gram))):
+                if k in wanted and sum(map(len, words[first : last + window])) <= _LONG * (last + window - first):
+                    marked[first : last + window] = True
+            rows += [(doc, b" ".join(words[x:y])) for x, y in _stretches(marked)]
+        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows) if rows else [[]] * 2, (pa.int64(), pa.binary()))], names=["doc", "words"])
+
+
+def reference(docs: DataFrame, window: int, gram: int, rate: int, least: int, most: int):
+    """Broadcast of the reference's automaton (flat, see `SuffixAutomaton.flat`) and of the hashes of its pieces."""
+    sample = docs.where(F.pmod(F.xxhash64(F.lit("reference"), "doc"), F.lit(rate)) == 0).select("doc", "text")
+    anchors = sample.mapInArrow(partial(_sampled, window=window, gram=gram), "anchor long, doc long")
+    often = anchors.groupBy("anchor").agg(F.count(F.lit(1)).alias("n"), F.min("doc").alias("doc"), F.max("doc").alias("top"))
+    often = often.where(f"n >= {least} AND doc < top").orderBy(F.desc("n"), "anchor").limit(most)
+    sources = materialize(often.groupBy("doc").agg(F.collect_list("anchor").alias("wanted")), "sources")  # at most `most` rows
+    quoted = sample.join(F.broadcast(sources), "doc").select("doc", "text", "wanted").mapInArrow(partial(_quoted, window=window, gram=gram), "doc long, words binary")
+    automaton, pieces = SuffixAutomaton(), [np.empty(0, np.uint64)]
+    for doc, held in sorted({(r["doc"], bytes(r["words"])) for r in quoted.collect()}):
+        words = held.split(b" ")
+        automaton.add(words, doc)
+        pieces.append(_grams(words, gram))
+    automaton.settle()
+    return docs.sparkSession.sparkContext.broadcast((automaton.flat(), np.unique(np.concatenate(pieces))))
+
+
+def _anchors(batches: Iterator[pa.RecordBatch], window: int, gram: int, held) -> Iterator[pa.RecordBatch]:
+    """Spans that the reference covers (anchor null; first and past the last word), and anchors of the windows left."""
+    automaton, common = held.value
+    span = window - gram + 1
+    names, kinds = ["anchor", "doc", "tag", "first", "past"], [pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int32()]
+    for b in batches:
+        keys, docs, tags, starts, covered = [], [], [], [], []
+        for doc, text, tag in zip(b.column(0).to_pylist(), b.column(1), b.column(2).to_pylist()):
+            words = _words(text.as_py())
+            if len(words) < window:
+                continue
+            acc = _grams(words, gram)
+            known = _among(common, acc)
+            k, first, last = _owned(acc, known, window, gram)
+            if known.any():
+                upto = np.r_[0, np.cumsum(known)]
+                gone = np.zeros(len(words) - window + 1, bool)
+                for x, y in _stretches(upto[span:] - upto[:-span] == span):
+                    gone[[x + s for s in covered_starts(automaton, words[x : y - 1 + window], doc, window)]] = True
+                if gone.any():
+                    covered += [(doc, tag, x, y) for x, y in _runs(np.flatnonzero(gone).tolist(), window)]
+                    done = np.r_[0, np.cumsum(gone)]
+                    open_ = done[last + 1] - done[first] < last + 1 - first
+                    k, first = k[open_], first[open_]
+            keys.append(k)
+            docs.append(np.full(len(k), doc))
+            tags.append(np.full(len(k), tag))
+            starts.append(first)
+        if covered:
+            columns = list(zip(*covered))
+            yield pa.RecordBatch.from_arrays([pa.nulls(len(covered), pa.int64()), *(pa.array(c, t) for c, t in zip(columns, kinds[1:]))], names=names)
+        if keys:
+            n = sum(map(len, keys))
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(keys)), pa.array(np.concatenate(docs)), pa.array(np.concatenate(tags)), pa.array(np.concatenate(starts).astype(np.int32)), pa.nulls(n, pa.int32())], names=names)
 
 
-def _segments(batches: Iterator[pa.RecordBatch], window: int, gram: int) -> Iterator[pa.RecordBatch]:
+def _segments(batches: Iterator[pa.RecordBatch], window: int, gram: int, held) -> Iterator[pa.RecordBatch]:
     from xxhash import xxh3_128_digest
 
+    common = held.value[1]
     names = ["anchor", "doc", "tag", "first", "n", "g1", "g2", "words"]
     kinds = [pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.binary()]
     for b in batches:
         rows = []
         for doc, text, tag, shared in zip(b.column(0).to_pylist(), b.column(1), b.column(2).to_pylist(), b.column(3).to_pylist()):
             words, shared = _words(text.as_py()), set(shared)
-            for k, first, last in zip(*(x.tolist() for x in _owned(words, window, gram))):
+            acc = _grams(words, gram)
+            for k, first, last in zip(*(x.tolist() for x in _owned(acc, _among(common, acc), window, gram))):
                 if first in shared:
-                    held = b" ".join(words[first : last + window])
-                    g = np.frombuffer(xxh3_128_digest(held), np.int64).tolist()
-                    rows.append((k, doc, tag, first, last + window - first, *g, held))
+                    text_of = b" ".join(words[first : last + window])
+                    g = np.frombuffer(xxh3_128_digest(text_of), np.int64).tolist()
+                    rows.append((k, doc, tag, first, last + window - first, *g, text_of))
         yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows) if rows else [[]] * len(kinds), kinds)], names=names)
 
 
@@ -154,22 +254,43 @@ class SuffixAutomaton:
             p = self.link[v]
             self.first[p] = min(self.first[p], self.first[v])
 
+    def flat(self) -> tuple:
+        """words -> numbers; (state, number) as one integer -> state; links; lengths; first documents."""
+        number: dict = {}
+        for moves in self.next:
+            for w in moves:
+                number.setdefault(w, len(number))
+        n = len(number)
+        go = {v * n + number[w]: u for v, moves in enumerate(self.next) for w, u in moves.items()}
+        return number, go, self.link, self.length, self.first
+
     def covered(self, words: list, doc: int, window: int) -> list[int]:
-        """Starts of the windows of `words` that occur in a sequence of smaller id."""
-        nxt, link, length = self.next, self.link, self.length
-        v, n, out = 0, 0, []
-        for i, w in enumerate(words):
-            while v and w not in nxt[v]:
-                v = link[v]
-                n = length[v]
-            if w in nxt[v]:
-                v, n = nxt[v][w], n + 1
-            while v and length[link[v]] >= window:
-                v = link[v]
-                n = length[v]
-            if n >= window and self.first[v] < doc:
-                out.append(i - window + 1)
-        return out
+        return covered_starts(self.flat(), words, doc, window)
+
+
+def covered_starts(automaton: tuple, words: list, doc: int, window: int) -> list[int]:
+    """Starts of the windows of `words` that occur in a sequence of smaller id."""
+    number, go, link, length, first = automaton
+    size = len(number)
+    v, n, out = 0, 0, []
+    for i, word in enumerate(words):
+        w = number.get(word)
+        if w is None:
+            v, n = 0, 0
+            continue
+        to = go.get(v * size + w)
+        while to is None and v:
+            v = link[v]
+            n = length[v]
+            to = go.get(v * size + w)
+        if to is not None:
+            v, n = to, n + 1
+        while v and length[link[v]] >= window:
+            v = link[v]
+            n = length[v]
+        if n >= window and first[v] < doc:
+            out.append(i - window + 1)
+    return out
 
 
 def _runs(starts: list[int], window: int) -> list[tuple[int, int]]:
@@ -190,10 +311,10 @@ def _shard(pdf: pd.DataFrame, window: int) -> pd.DataFrame:
     for words, doc in zip(texts, pdf["doc"]):
         automaton.add(words, doc)
     automaton.settle()
-    rows = []
+    flat, rows = automaton.flat(), []
     for words, doc, tag, first, lowest in zip(texts, pdf["doc"], pdf["tag"], pdf["first"], pdf["lowest"]):
         if lowest < doc:
-            rows += [(doc, tag, first + a, first + b) for a, b in _runs(automaton.covered(words, doc, window), window)]
+            rows += [(doc, tag, first + a, first + b) for a, b in _runs(covered_starts(flat, words, doc, window), window)]
     return pd.DataFrame(rows, columns=["doc", "tag", "a", "b"])
 
 
@@ -209,17 +330,20 @@ def _windows(batches: Iterator[pa.RecordBatch], window: int) -> Iterator[pa.Reco
             yield pa.RecordBatch.from_arrays([pa.array(g[:, 0].copy()), pa.array(g[:, 1].copy()), pa.array(np.full(n, doc)), pa.array(np.full(n, tag)), pa.array(np.arange(first, first + n, dtype=np.int32))], names=names)
 
 
-def repeated_spans(df: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", window: int = 50, gram: int = 10, shard_words: int = 60_000, shard_rows: int = 1000) -> DataFrame:
+def repeated_spans(df: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", window: int = 50, gram: int = 10, shard_words: int = 60_000, shard_rows: int = 1000, rate: int = 16, least: int = 4, most: int = 1500) -> DataFrame:
     """doc, tag, spans: for each document with repeated words, their spans [a, b) (word positions, unordered). `tag` is xxhash64 of the text."""
     docs = df.select(F.coalesce(F.col(id_col).cast("long"), F.lit(_NO_ID)).alias("doc"), F.col(text_col).cast("string").alias("text")).withColumn("tag", F.xxhash64("text"))
-    anchors = materialize(docs.mapInArrow(partial(_anchors, window=window, gram=gram), "anchor long, doc long, tag long, first int"), "anchors")
+    held = reference(docs, window, gram, rate, least, most)
+    streamed = materialize(docs.mapInArrow(partial(_anchors, window=window, gram=gram, held=held), "anchor long, doc long, tag long, first int, past int"), "anchors")
+    common = streamed.where("anchor IS NULL").select("doc", "tag", F.col("first").alias("a"), F.col("past").alias("b"))
+    anchors = streamed.where("anchor IS NOT NULL").drop("past")
     shared = anchors.groupBy("anchor").agg(F.min("doc").alias("lo"), F.max("doc").alias("hi")).where("lo < hi").select("anchor")
     shared = materialize(shared, "shared")  # a table of its own, so that Spark may split a hot anchor in the join
     places = anchors.join(shared, "anchor").groupBy("doc", "tag").agg(F.collect_set("first").alias("places"))
     places = materialize(places, "places")
     # What is shared is a steady part of the texts, so these joins shuffle at every size rather than switch at a bound.
     chosen = docs.join(places.hint("merge"), ["doc", "tag"]).select("doc", "text", "tag", "places")
-    segments = chosen.mapInArrow(partial(_segments, window=window, gram=gram), "anchor long, doc long, tag long, first int, n int, g1 long, g2 long, words binary")
+    segments = chosen.mapInArrow(partial(_segments, window=window, gram=gram, held=held), "anchor long, doc long, tag long, first int, n int, g1 long, g2 long, words binary")
     segments = materialize(segments, "segments")
 
     kinds = materialize(segments.groupBy("anchor", "g1", "g2").agg(F.min("doc").alias("owner"), F.max("doc").alias("top")), "kinds")
@@ -242,7 +366,7 @@ def repeated_spans(df: DataFrame, *, id_col: str = "doc_id", text_col: str = "te
     single = materialize(large.select("words", "doc", "tag", "first").mapInArrow(partial(_windows, window=window), "g1 long, g2 long, doc long, tag long, a int"), "windows")
     lowest = single.groupBy("g1", "g2").agg(F.min("doc").alias("lo"), F.max("doc").alias("hi")).where("lo < hi").select("g1", "g2", "lo")
     odd = single.join(lowest, ["g1", "g2"]).where("lo < doc").select("doc", "tag", "a", (F.col("a") + F.lit(window)).alias("b"))
-    spans = whole.unionByName(found).unionByName(odd)
+    spans = common.unionByName(whole).unionByName(found).unionByName(odd)
     return materialize(spans.groupBy("doc", "tag").agg(F.collect_set(F.struct("a", "b")).alias("spans")), "spans")
 
 
@@ -281,7 +405,8 @@ def _rewritten(batches: Iterator[pa.RecordBatch], at: int, names: list[str]) ->
 
 
 def _with_spans(df: DataFrame, spans: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    held = checked_broadcast(spans.select(F.col("doc").alias("__doc"), F.col("tag").alias("__tag"), F.col("spans").alias("__spans")), 128)
+    """`df` and __spans. Spans are a steady part of the input, so they meet the texts in a shuffle at every size."""
+    held = spans.select(F.col("doc").alias("__doc"), F.col("tag").alias("__tag"), F.col("spans").alias("__spans")).hint("shuffle_hash")
     same = (F.coalesce(F.col(id_col).cast("long"), F.lit(_NO_ID)) == F.col("__doc")) & (F.xxhash64(F.col(text_col).cast("string")) == F.col("__tag"))
     return df.join(held, same, "left").drop("__doc", "__tag")
 

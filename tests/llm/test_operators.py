@@ -324,9 +324,9 @@ def brute_repeats(rows, window):
     return out
 
 
-@pytest.mark.parametrize("shard_rows", [1000, 1])
-def test_substrings(docs, empty, both_ways, shard_rows):
-    got = {r["doc_id"]: (r["n_words"], r["n_removed"], r["kept_sha256"]) for r in substrings.dedup_report(docs, shard_rows=shard_rows, shard_words=300).collect()}
+@pytest.mark.parametrize("shard_rows,options", [(1000, {}), (1, {}), (1000, {"rate": 1, "least": 2}), (1, {"rate": 2, "least": 2, "most": 3})])
+def test_substrings(docs, empty, shard_rows, options):
+    got = {r["doc_id"]: (r["n_words"], r["n_removed"], r["kept_sha256"]) for r in substrings.dedup_report(docs, shard_rows=shard_rows, shard_words=300, **options).collect()}
     want = brute_repeats(ROWS, 50)
     assert got == want and sum(x[1] for x in want.values()) > 500
     assert substrings.dedup_report(empty).count() == 0
@@ -336,8 +336,24 @@ def test_substrings_of_few_words(spark):
     r = random.Random(8)
     rows = [(i, " ".join(r.choices("ab", k=r.randint(0, 40))), None, None, None) for i in range(60)]
     df = spark.createDataFrame(rows, DOCS)
-    got = {x["doc_id"]: (x["n_words"], x["n_removed"], x["kept_sha256"]) for x in substrings.dedup_report(df, window=7, gram=3).collect()}
-    assert got == brute_repeats(rows, 7)
+    for options in ({}, {"rate": 1, "least": 2}):
+        got = {x["doc_id"]: (x["n_words"], x["n_removed"], x["kept_sha256"]) for x in substrings.dedup_report(df, window=7, gram=3, **options).collect()}
+        assert got == brute_repeats(rows, 7)
+
+
+def test_substrings_of_a_passage_in_all_documents(spark, monkeypatch):
+    """It is covered by the broadcast reference: one row for each document, and anchors of the smallest ones only."""
+    passage = words(400, 1)
+    rows = [(i, " ".join(words(60, 1000 + i) + passage[i % 7 :] + words(60, 5000 + i)), None, None, None) for i in range(300)]
+    rows += [(900, "w" * 5_000_000 + " " + " ".join(passage) + " z" * 20_000, None, None, None)]
+    df = spark.createDataFrame(rows, DOCS).repartition(4)
+    seen = {}
+    keep = substrings.materialize
+    monkeypatch.setattr(substrings, "materialize", lambda t, name: seen.setdefault(name, keep(t, name)))
+    got = {x["doc_id"]: (x["n_words"], x["n_removed"], x["kept_sha256"]) for x in substrings.dedup_report(df).collect()}
+    assert got == brute_repeats(rows, 50)
+    assert seen["anchors"].where("anchor IS NULL").count() >= 270
+    assert seen["segments"].count() < 1500
 
 
 def test_remove_repeats_keeps_columns(docs):
