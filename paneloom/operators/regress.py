@@ -63,7 +63,7 @@ def _ddl(df: DataFrame) -> str:
 
 def forecast(df: DataFrame, fits: DataFrame, predictors: Sequence[str], *, constant: bool = True, by: Sequence[str] = (), name: str = "predicted", drop_missing: bool = False) -> DataFrame:
     """Predicted values; a missing predictor adds nothing (or, with `drop_missing`, makes the prediction missing)."""
-    small = checked_broadcast(fits.select(*[F.col(b).alias(f"_k{i}") for i, b in enumerate(by)], F.col("beta").alias("_beta")), 64)
+    small = checked_broadcast(fits.select(*[F.col(b).alias(f"_k{i}") for i, b in enumerate(by)], F.col("beta").alias("_beta")))
     same = F.lit(True)
     for i, b in enumerate(by):
         same = same & F.col(b).eqNullSafe(F.col(f"_k{i}"))
