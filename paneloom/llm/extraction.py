@@ -1,19 +1,24 @@
 """Main text of web pages by nearest-URL page differencing.
 
-Pages are put in the order of host and URL path, and each is compared with the one before it on its host (the first of a
-host with the one after). Their text lines are aligned by longest common subsequence, and lines that both have are
-deleted: what two neighbours share is the site's and not the page's.
+Pages are put in the order of host and URL path, and each is compared with its two nearest on the host, the one before it
+and the one after it. Text lines are aligned by longest common subsequence. A neighbour with which the article itself is
+shared (more than half of its lines; all lines, where no element marks the article) is a copy and no evidence.
 
-Differencing alone can't give right results where menus and footers vary from page to page, or where one article stands
-on two pages of a host. So lines inside an article or main element are kept from deletion, and are the text where a page
-has such an element; and lines inside elements that name themselves as something else (menus, headers, footers, asides,
-forms, adverts, notices, comments) are never text, whether they are shared or not.
+1. What both neighbours share with a page is the site's and goes, wherever it stands.
+2. What one of two shares, or the only one, is undecided, and the structure breaks the tie: it goes unless it stands in an
+   article or main element.
+3. What none shares is the page's own. Differencing can't tell an article from a menu, advert or comment that no other page
+   has, so of these lines those in elements that name themselves as such go, and those outside the article where an
+   element marks it.
 
 Order without one big sort: bounds are keys of a bounded sample of pages; each range between two bounds is sorted by
-itself, and the page on a bound, which closes its range, is also sent ahead of the next one. Only extracted lines are
+itself, and the page on each side of a bound is also sent to the range on the other side. Only extracted lines are
 shuffled, once. A host or a path that holds a third of the pages spans many ranges.
 
-Defined results: null html has no lines; a null URL is host '' and path ''; pages of equal URL follow by id and then html;
+Tags are read with quoted attributes; a quote that is never closed ends with its tag. Elements end with those around them.
+A boilerplate or text-less element that is never closed is taken for no element (script and style reach to the end).
+
+Defined results: null html has no lines; a null URL is host '' and path ''; pages of equal URL follow by id and then lines;
 a page alone on its host loses no line to differencing; an empty table gives no rows; extra columns are ignored.
 """
 
@@ -23,39 +28,63 @@ import bisect
 import html as entities
 import re
 from collections.abc import Iterator
-from functools import partial
+from functools import lru_cache, partial
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from paneloom.plans.shared import checked_broadcast, materialize
-
 #: Elements of HTML by what they mean here.
 RAW = frozenset({"script", "style", "noscript", "template", "iframe", "object", "svg", "math", "canvas", "audio", "video", "head", "title", "textarea", "select"})
 BOILER = frozenset({"nav", "footer", "aside", "form", "dialog", "menu", "button"})
-BOILER_NAMES = frozenset("ad ads advert adverts advertisement advertising banner breadcrumb breadcrumbs comment comments cookie cookies disqus footer header masthead menu nav navbar navigation newsletter notice popup promo promoted related reply replies respond share sharing sidebar social sponsor sponsored subscribe toolbar widget".split())
 BLOCKS = frozenset("address article aside blockquote body br center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr html li main menu nav ol option p pre section summary table tbody td tfoot th thead tr ul caption title".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 
-_TOKEN = re.compile(r"<!--(?:>|->|.*?(?:-->|\Z))|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|<[!?/][^>]*>", re.S)
-_NAMED = re.compile(r"(?:^|\s)(?:class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
+#: A class, id or role is boilerplate if its words are of these kinds: one of the first or second, none but those and the
+#: third; next to a word for the article only the second counts (the header of an article belongs to it).
+SITE_WORDS = frozenset("banner breadcrumb breadcrumbs cookie cookies footer header masthead menu nav navbar navigation notice popup sidebar toolbar widget".split())
+SIDE_WORDS = frozenset("ad ads advert adverts advertisement advertising comment comments disqus newsletter promo promoted related reply replies respond share sharing social sponsor sponsored subscribe".split())
+PLACE_WORDS = frozenset("area bar block body bottom box buttons consent container content form global group inner item left link links list main outer page panel primary right secondary section site text thread title top wrap wrapper".split())
+ARTICLE_WORDS = frozenset("article blog entry news post story".split())
+
+_TOKEN = re.compile(r"<!--(?:>|->|.*?(?:-->|\Z))|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]{0,4000}\"|'[^']{0,4000}')*+)>|<(/?)([a-zA-Z][^\s/>]*)([^>]*)(?:>|\Z)|<[!?/][^>]*>", re.S)
+_NAMED = re.compile(r"(?:^|\s)(class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>\"']+))", re.I)
+_PARTS = re.compile(r"[_-]+|(?<=[a-z])(?=[A-Z])")
 _SPACE = re.compile(r"[\x20\x09-\x0D]+")
 OTHER, MAIN, BOILERPLATE = 0, 1, 2
 
 
+@lru_cache(10_000)
+def names_boilerplate(name: str) -> bool:
+    """Whether a whole class name, id or role stands for something beside the article."""
+    parts = {x.lower() for x in _PARTS.split(name) if x}
+    of_article = bool(parts & ARTICLE_WORDS)
+    if not parts & (SIDE_WORDS if of_article else SITE_WORDS | SIDE_WORDS):
+        return False
+    return parts <= SITE_WORDS | SIDE_WORDS | PLACE_WORDS | ARTICLE_WORDS
+
+
 def lines_of(page: str | None) -> list[tuple[str, int]]:
     """Text lines in page order, with whether each is in the main element, in boilerplate, or neither."""
     out: list[tuple[str, int]] = []
     buffer: list[str] = []
-    main, skip_tag, skip_depth, at = 0, "", 0, 0
-    page = page or ""
+    opened: list[tuple[str, int]] = []  # elements around, with what they are
+    count = [0, 0, 0]
+    page, at, lower = page or "", 0, None
+    last: dict[str, int] = {}
+
+    def closed_later(tag: str) -> bool:
+        nonlocal lower
+        if tag not in last:
+            lower = page.lower() if lower is None else lower
+            last[tag] = lower.rfind(f"</{tag}")
+        return last[tag] >= at
 
     def flush() -> None:
         line = _SPACE.sub(" ", entities.unescape("".join(buffer))).strip(" ")
         buffer.clear()
         if line:
-            out.append((line, BOILERPLATE if skip_tag else MAIN if main else OTHER))
+            out.append((line, BOILERPLATE if count[BOILERPLATE] else MAIN if count[MAIN] else OTHER))
 
     while True:
         m = _TOKEN.search(page, at)
@@ -64,35 +93,52 @@ def lines_of(page: str | None) -> list[tuple[str, int]]:
             break
         buffer.append(page[at : m.start()])
         at = m.end()
-        if not m[2]:
+        slash, tag, attributes = (m[1], m[2], m[3]) if m[2] else (m[4], m[5], m[6])
+        if not tag:
             continue
-        tag, closing = m[2].lower(), bool(m[1])
+        tag, closing = tag.lower(), bool(slash)
         if tag in BLOCKS or tag in RAW:
             flush()
         if tag in RAW:
-            if not closing and not m[3].endswith("/"):
-                end = re.compile(rf"</{tag}\s*>", re.I).search(page, at)
-                if end or tag != "head":
-                    at = end.end() if end else len(page)
+            if not closing and not attributes.endswith("/"):
+                end = re.compile(rf"</{tag}(?![^\s/>])[^>]*>", re.I).search(page, at) if closed_later(tag) else None
+                if end:
+                    at = end.end()
+                elif tag in ("script", "style"):
+                    at = len(page)
             continue
-        if skip_tag:
-            if tag == skip_tag:
-                skip_depth += -1 if closing else tag not in VOID
-                if skip_depth == 0:
-                    flush()
-                    skip_tag = ""
+        if tag in VOID:
             continue
         if closing:
-            if tag in ("article", "main"):
-                main = max(0, main - 1)
+            if any(t == tag for t, _ in opened):
+                if tag not in BLOCKS and any(k for _, k in opened[max(i for i, (t, _) in enumerate(opened) if t == tag) :]):
+                    flush()
+                while True:
+                    t, kind = opened.pop()
+                    count[kind] -= 1
+                    if t == tag:
+                        break
+            continue
+        if attributes.endswith("/") and tag not in BLOCKS:
             continue
-        named = {x.lower() for g in _NAMED.findall(m[3]) for x in re.split(r"[\s_-]+|(?<=[a-z])(?=[A-Z])", "".join(g)) if x} if m[3] else ()
-        if tag in BOILER or (tag == "header" and not main) or (named and tag not in ("html", "body") and not BOILER_NAMES.isdisjoint(named)):
-            if tag not in VOID:
-                flush()
-                skip_tag, skip_depth = tag, 1
-        elif tag in ("article", "main"):
-            main += 1
+        kind = OTHER
+        if tag == "main":
+            kind = MAIN
+        elif tag not in ("html", "body"):
+            named = [x for _, *g in _NAMED.findall(attributes) for x in "".join(g).split()] if attributes else []
+            if tag == "article":
+                kind = BOILERPLATE if any(x.lower() in SIDE_WORDS for x in named) else MAIN
+            elif tag in BOILER or (tag == "header" and not count[MAIN]) or any(map(names_boilerplate, named)):
+                kind = BOILERPLATE
+            if kind == BOILERPLATE and not closed_later(tag):
+                kind = OTHER
+        if kind and tag not in BLOCKS:
+            flush()
+        if tag in ("p", "li", "option"):  # ended by the next of its kind
+            while opened and opened[-1][0] == tag:
+                count[opened.pop()[1]] -= 1
+        opened.append((tag, kind))
+        count[kind] += 1
     flush()
     return out
 
@@ -130,9 +176,10 @@ def _key(host: str, path: str, page_id: int | None) -> str:
     return f"{host}\x01{path}\x01{number}"
 
 
-def _lined(batches: Iterator[pa.RecordBatch], bounds: list[str]) -> Iterator[pa.RecordBatch]:
-    names = ["page_id", "url", "key", "host", "slot", "ghost", "lines", "kinds"]
-    kinds = [pa.int64(), pa.string(), pa.string(), pa.string(), pa.int32(), pa.bool_(), pa.list_(pa.string()), pa.list_(pa.int8())]
+def _lined(batches: Iterator[pa.RecordBatch], bounds: list[str], openers: list[str]) -> Iterator[pa.RecordBatch]:
+    """Lines of the pages by range. side: 0 a page of the range, -1 the last of the range before, 1 the first of the one after."""
+    names = ["page_id", "url", "key", "host", "slot", "side", "lines", "kinds"]
+    kinds = [pa.int64(), pa.string(), pa.string(), pa.string(), pa.int32(), pa.int8(), pa.list_(pa.string()), pa.list_(pa.int8())]
     for b in batches:
         rows = []
         for page, url, host, path, text in zip(*(b.column(i).to_pylist() for i in range(5))):
@@ -140,37 +187,53 @@ def _lined(batches: Iterator[pa.RecordBatch], bounds: list[str]) -> Iterator[pa.
             lines, marks = [x for x, _ in found], [k for _, k in found]
             key = _key(host, path, page)
             slot = bisect.bisect_left(bounds, key)
-            rows.append((page, url, key, host, slot, False, lines, marks))
+            rows.append((page, url, key, host, slot, 0, lines, marks))
             if slot < len(bounds) and bounds[slot] == key:
-                rows.append((page, url, key, host, slot + 1, True, lines, marks))
+                rows.append((page, url, key, host, slot + 1, -1, lines, marks))
+            if slot and openers[slot] == key:
+                rows.append((page, url, key, host, slot - 1, 1, lines, marks))
         yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows) if rows else [[]] * len(kinds), kinds)], names=names)
 
 
-def _differenced(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    def decide(row: tuple, partner: tuple | None) -> tuple:
-        page, url, _, _, _, _, lines, kinds = row
-        open_lines = [i for i, k in enumerate(kinds) if k != MAIN]
-        shared: set[int] = set()
-        if partner is not None and open_lines:
-            theirs = [x for x, k in zip(partner[6], partner[7]) if k != MAIN]
-            shared = {open_lines[i] for i in shared_places([lines[i] for i in open_lines], theirs)}
-        wanted = MAIN if MAIN in kinds else OTHER
-        kept = "\n".join(x for i, (x, k) in enumerate(zip(lines, kinds)) if k == wanted and i not in shared)
-        return page, url, kept, len(kept), len(shared), len(lines)
-
-    def same(a: tuple | None, b: tuple | None) -> bool:
-        return a is not None and b is not None and a[4] == b[4] and a[3] == b[3]
+def decide(lines: list[str], kinds: list[int], neighbours: list[list[str]]) -> tuple[list[int], int, int]:
+    """Places of the lines that stay, how many differencing deleted, and how many only the structure."""
+    marked = MAIN in kinds
+    own = [i for i, k in enumerate(kinds) if k == (MAIN if marked else OTHER)]
+    votes, evidence = [0] * len(lines), 0
+    for theirs in neighbours:
+        shared = shared_places(lines, theirs)
+        common = sum(i in shared for i in own)
+        if own and (2 * common > len(own) if marked else common == len(own)):
+            continue  # the same article
+        evidence += 1
+        for i in shared:
+            votes[i] += 1
+    stay, by_difference, by_structure = [], 0, 0
+    for i, k in enumerate(kinds):
+        if votes[i] == 2 or (votes[i] == 1 and k != MAIN):
+            by_difference += 1
+        elif k == (MAIN if marked else OTHER):
+            stay.append(i)
+        else:
+            by_structure += 1
+    return stay, by_difference, by_structure
 
+
+def _differenced(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    names, kinds = ["page_id", "url", "text", "n_chars", "n_shared", "n_named", "n_lines"], [pa.int64(), pa.string(), pa.string(), pa.int64(), pa.int32(), pa.int32(), pa.int32()]
     before = held = None
     out: list[tuple] = []
 
     def settle(after: tuple | None) -> None:
-        if held is not None and not held[5]:
-            out.append(decide(held, before if same(before, held) else after if same(held, after) else None))
+        if held is None or held[5]:
+            return
+        page, url, _, host, slot, _, lines, marks = held
+        stay, shared, named = decide(lines, marks, [x[6] for x in (before, after) if x is not None and x[4] == slot and x[3] == host])
+        text = "\n".join(lines[i] for i in stay)
+        out.append((page, url, text, len(text), shared, named, len(lines)))
 
     def flush() -> pa.RecordBatch:
-        kinds = [pa.int64(), pa.string(), pa.string(), pa.int64(), pa.int32(), pa.int32()]
-        batch = pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out) if out else [[]] * 6, kinds)], names=["page_id", "url", "text", "n_chars", "n_shared", "n_lines"])
+        batch = pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out) if out else [[]] * len(kinds), kinds)], names=names)
         out.clear()
         return batch
 
@@ -184,26 +247,37 @@ def _differenced(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def extract_pages(df: DataFrame, *, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", range_pages: int = 200, sample_keys: int = 50_000) -> DataFrame:
-    """page_id, url, text, n_chars, n_shared (lines that differencing deleted), n_lines for each row."""
+    """page_id, url, text, n_chars, n_shared (lines that differencing deleted), n_named (by structure alone), n_lines."""
     url = F.coalesce(F.col(url_col).cast("string"), F.lit(""))
     host = F.lower(F.regexp_extract(url, r"^[A-Za-z][A-Za-z0-9+.-]*://([^/?#]*)", 1))
     path = F.regexp_extract(url, r"^(?:[A-Za-z][A-Za-z0-9+.-]*://[^/?#]*)?([^?#]*)", 1)
     base = df.select(F.col(id_col).cast("long").alias("page_id"), F.col(url_col).cast("string").alias("url"), host.alias("host"), path.alias("path"), F.col(html_col).cast("string").alias("html"))
     number = F.when(F.col("page_id").isNull(), F.lit("")).otherwise(F.lpad((F.col("page_id").cast("decimal(20,0)") + F.lit("9223372036854775808").cast("decimal(20,0)")).cast("string"), 20, "0"))
-    keys = base.select(F.concat_ws("\x01", "host", "path", number).alias("key"), "host")
+    keys = base.select(F.concat_ws("\x01", "host", "path", number).alias("key"))
     pages = keys.count()
     ranges = int(min(10_000, pages // range_pages))
     bounds: list[str] = []
+    openers: list[str] = [""]
     if ranges > 1:
         share = min(1.0, sample_keys / pages)
         drawn = keys.where(F.abs(F.xxhash64("key") % 1_000_000) < int(share * 1_000_000) + 1).distinct()
-        sample = sorted(tuple(r) for r in drawn.limit(4 * sample_keys).collect())
-        picked = {sample[i * len(sample) // ranges] for i in range(1, ranges)} if sample else set()
-        # the first page of a host needs the one after it, so it may not close a range
-        hosts = materialize(df.sparkSession.createDataFrame(sorted({(h,) for _, h in picked}) or [("",)], "host string"), "hosts")
-        opening = {r[0] for r in keys.join(checked_broadcast(hosts), "host").groupBy("host").agg(F.min("key").alias("k")).select("k").collect()}
-        bounds = sorted({k for k, _ in picked} - opening)
-    schema = "page_id long, url string, key string, host string, slot int, ghost boolean, lines array<string>, kinds array<tinyint>"
-    lined = base.select("page_id", "url", "host", "path", "html").mapInArrow(partial(_lined, bounds=bounds), schema)
-    placed = lined.repartition(F.col("slot")).sortWithinPartitions("slot", F.col("ghost").desc(), "key", "lines")
-    return placed.mapInArrow(_differenced, "page_id long, url string, text string, n_chars long, n_shared int, n_lines int")
+        sample = sorted(r[0] for r in drawn.limit(4 * sample_keys).collect())
+        bounds = sorted({sample[i * len(sample) // ranges] for i in range(1, ranges)}) if sample else []
+        openers = [""] * (len(bounds) + 1)
+        for r in keys.mapInArrow(partial(_least, bounds=bounds), "slot int, key string").groupBy("slot").agg(F.min("key").alias("key")).collect():
+            openers[r["slot"]] = r["key"]
+    schema = "page_id long, url string, key string, host string, slot int, side tinyint, lines array<string>, kinds array<tinyint>"
+    lined = base.select("page_id", "url", "host", "path", "html").mapInArrow(partial(_lined, bounds=bounds, openers=openers), schema)
+    placed = lined.repartition(F.col("slot")).sortWithinPartitions("slot", "side", "key", "lines")
+    return placed.mapInArrow(_differenced, "page_id long, url string, text string, n_chars long, n_shared int, n_named int, n_lines int")
+
+
+def _least(batches: Iterator[pa.RecordBatch], bounds: list[str]) -> Iterator[pa.RecordBatch]:
+    """The least key of each range: one row for each task and range."""
+    least: dict[int, str] = {}
+    for b in batches:
+        for key in b.column(0).to_pylist():
+            slot = bisect.bisect_left(bounds, key)
+            if slot not in least or key < least[slot]:
+                least[slot] = key
+    yield pa.RecordBatch.from_arrays([pa.array(list(least), pa.int32()), pa.array(list(least.values()), pa.string())], names=["slot", "key"])
