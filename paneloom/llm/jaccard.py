@@ -12,7 +12,9 @@ shows to be frequent come last (by class of frequency), the rest by hash, and a
 first s - ceil(threshold * s) + 1. A shared element at positions i and j is evidence only if both sets still have enough
 elements from there on for the overlap their sizes ask for; the first shared element of a similar pair always is.
 
-The boundary is the one of least cost: subsets listed by light sets plus lists scanned by the others.
+The boundary is the one of least cost, in rows listed: for light sets their subsets, for the others the elements of their
+prefixes and PAIR_COST for each partner that the lists behind these hold. How many that are is counted on all small sets.
+Scanning whole lists instead of those of prefixes finds no more links and lists every n-gram of every text.
 
 A list is not expanded into its pairs. First each is compared with its pivot alone, the member of which the most is
 frequent, the likely common origin; what is found similar becomes one component. Then only members of one list in
@@ -21,6 +23,9 @@ distance never exceeds the true one, and those left are decided on the sets of t
 depends on is lost, copies and near copies of one text cost as many comparisons as there are of them, and no list meets
 in one task: every step is an aggregate with partial sums or a join whose hot keys Spark may split.
 
+`link_documents` so gives components; `similar_pairs` gives every link between different sets, which for a group of n
+different near copies is of the order of n * n by definition.
+
 Defined results: null or blank texts have the empty set, no links and themselves as component; rows of equal id count as
 one document for links; a null id is never linked and keeps a null component; an empty table gives no rows; extra columns
 are ignored.
@@ -48,6 +53,8 @@ SAMPLE_RATE, FREQUENT = 16, 4
 #: Most frequent elements kept on the workers (8 bytes each and a class); the least frequent count as rare beyond it.
 FREQUENT_KEPT = 1_000_000
 _LARGEST_LIGHT = 16
+#: Rows listed that cost as much as bringing two texts together and comparing their sets (about 30 and 2 microseconds).
+PAIR_COST = 16.0
 _SIZE_STEP = 1.03
 
 
@@ -89,16 +96,18 @@ def subset_sizes(s: int, boundary: int, num: int, den: int) -> list[int]:
     return sorted({c for t in range(-(-num * s // den), min(boundary, den * s // num) + 1) if (c := overlap_needed(s, t, num, den)) <= min(s, t)})
 
 
-def choose_boundary(histogram: dict[int, int], num: int, den: int, list_length: float = 2.0) -> int:
-    """The boundary of least cost: subsets that light sets list against prefix elements and the lists behind them."""
+def choose_boundary(sizes: dict[int, tuple[int, int]], num: int, den: int) -> int:
+    """The boundary of least cost. sizes: size of set -> sets, and partners in the lists of all their prefix elements."""
     best, at = math.inf, 0
     for b in range(_LARGEST_LIGHT + 1):
         cost = 0.0
-        for s, count in histogram.items():
+        for s, (count, partners) in sizes.items():
             if s <= b:
                 cost += count * sum(math.comb(s, c) for c in subset_sizes(s, b, num, den))
-            if s > b or s >= -(-num * (b + 1) // den):
-                cost += count * (s - -(-num * s // den) + 1) * (1 + list_length)
+            if s > b:
+                cost += count * (s - -(-num * s // den) + 1) + PAIR_COST * partners
+            elif s >= -(-num * (b + 1) // den):
+                cost += count * (s - -(-num * s // den) + 1)
         if cost < best:
             best, at = cost, b
     return at
@@ -130,6 +139,9 @@ def _elements(batches: Iterator[pa.RecordBatch], n: int) -> Iterator[pa.RecordBa
             yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([shingles(t.as_py(), n) for t in b.column(0)]).view(np.int64))], names=["token"])
 
 
+_POSTED = "doc_id long, token long, n int, i int, c int, rank float"
+
+
 def _postings(batches: Iterator[pa.RecordBatch], n: int, num: int, den: int, boundary: int, frequent) -> Iterator[pa.RecordBatch]:
     """doc_id, token, n, i, c, rank: c is a subset's size, or 0 for an element at position i; rank chooses pivots."""
     keys, classes = frequent.value
@@ -207,31 +219,87 @@ def _plausible(pairs: DataFrame, sets: DataFrame, num: int, den: int) -> DataFra
 
 def _verified(pairs: DataFrame, docs: DataFrame, n: int, num: int, den: int) -> DataFrame:
     ids = materialize(pairs.select(F.col("a").alias("doc_id")).union(pairs.select("b")).distinct(), "ids")
-    texts = docs.join(checked_broadcast(ids, 16), "doc_id")
+    texts = docs.join(checked_broadcast(ids), "doc_id")
     a, b = texts.select(F.col("doc_id").alias("a"), F.col("text").alias("ta")), texts.select(F.col("doc_id").alias("b"), F.col("text").alias("tb"))
     return materialize(pairs.join(a, "a").join(b, "b").mapInArrow(partial(_similar, n=n, num=num, den=den), "a long, b long"), "edges")
 
 
-def link_documents(df: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", n: int = 5, threshold: tuple[int, int] = (80, 100)) -> DataFrame:
-    """doc_id, n_shingles, component_id for each row. `threshold` is a fraction of integers."""
-    num, den = threshold
+def _classes(df: DataFrame, id_col: str, text_col: str, n: int) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
+    """docs; their sets; pairs (smallest id, other id) of equal sets; docs with one row of each different set."""
     docs = df.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     sets = materialize(docs.mapInArrow(partial(_sets, n=n), "doc_id long, n int, d1 long, d2 long, bits binary"), "sets")
     known = sets.where((F.col("n") > 0) & F.col("doc_id").isNotNull())
     classes = materialize(known.groupBy("n", "d1", "d2").agg(F.min("doc_id").alias("a"), F.count(F.lit(1)).alias("rows")).where("rows > 1"), "classes")
     equal = known.select("doc_id", "n", "d1", "d2").join(checked_broadcast(classes), ["n", "d1", "d2"]).where("doc_id <> a")
     equal = materialize(equal.select("a", F.col("doc_id").alias("b")).distinct(), "equal")
+    copies = checked_broadcast(equal.select(F.col("b").alias("doc_id")))
+    return docs, sets, equal, docs.where(F.col("doc_id").isNotNull()).join(copies, "doc_id", "left_anti")
+
+
+def _small_sizes(single: DataFrame, sets: DataFrame, posted, limit: int) -> dict[int, tuple[int, int]]:
+    """What `choose_boundary` asks for, of all sets of at most `limit` elements (at most `limit` rows come to the driver)."""
+    small = sets.where((F.col("n") > 0) & (F.col("n") <= limit) & F.col("doc_id").isNotNull()).select("doc_id", "n").distinct()
+    small = materialize(small, "small")
+    texts = single.join(checked_broadcast(small.select("doc_id")), "doc_id").select("doc_id", "text")
+    listed = materialize(texts.mapInArrow(partial(posted, boundary=0), _POSTED), "small_lists")
+    counts = listed.groupBy("token").agg(F.count(F.lit(1)).alias("k"))
+    partners = listed.join(counts, "token").groupBy("n").agg(F.sum(F.col("k") - 1).alias("partners"), F.count_distinct("doc_id").alias("sets"))
+    return {r["n"]: (r["sets"], r["partners"]) for r in partners.collect()}
+
+
+def _lists(single: DataFrame, sets: DataFrame, n: int, num: int, den: int) -> DataFrame:
+    """Postings in lists of two or more: doc_id, token, n, i, c, rank (see `_postings`)."""
+    posted = partial(_postings, n=n, num=num, den=den, frequent=frequent_elements(single, n))
+    boundary = choose_boundary(_small_sizes(single, sets, posted, 2 * _LARGEST_LIGHT), num, den)
+    postings = materialize(single.mapInArrow(partial(posted, boundary=boundary), _POSTED), "postings")
+    shared = postings.groupBy("token", "c").agg(F.count(F.lit(1)).alias("rows")).where("rows > 1").drop("rows")
+    return materialize(postings.join(shared, ["token", "c"]), "lists")
 
-    copies = checked_broadcast(equal.select(F.col("b").alias("doc_id")), 16)
-    single = docs.where(F.col("doc_id").isNotNull()).join(copies, "doc_id", "left_anti")
-    histogram = {r["n"]: r["count"] for r in known.where(F.col("n") <= 2 * _LARGEST_LIGHT).groupBy("n").count().collect()}
-    boundary = choose_boundary(histogram, num, den)
-    frequent = frequent_elements(single, n)
-    posted = partial(_postings, n=n, num=num, den=den, boundary=boundary, frequent=frequent)
-    postings = materialize(single.mapInArrow(posted, "doc_id long, token long, n int, i int, c int, rank float"), "postings")
 
-    shared = postings.groupBy("token", "c").agg(F.count(F.lit(1)).alias("rows")).where("rows > 1").drop("rows")
-    lists = materialize(postings.join(shared, ["token", "c"]), "lists")
+def _prefix_pairs(lists: DataFrame, num: int, den: int) -> DataFrame:
+    """a, b (and their columns component, if any, as ca and cb) that may be similar by size and place in a list, a the larger.
+
+    Members are paired in ranges of size a factor _SIZE_STEP wide, each with those that it can be similar to.
+    """
+    lists = lists if "component" in lists.columns else lists.withColumn("component", F.col("doc_id"))
+    step = F.lit(math.log(_SIZE_STEP))
+
+    def bucket(c: Column) -> Column:
+        return F.floor(F.ln(c.cast("double")) / step + 1e-9).cast("int")
+
+    smallest = F.ceil(F.col("n") * num / den).cast("int")
+    larger = lists.withColumn("size", F.explode(F.sequence(bucket(F.greatest(smallest, F.lit(1))), bucket(F.col("n")))))
+    low = F.greatest(smallest, F.floor(F.exp(F.col("size") * step)).cast("int"))
+    larger = larger.where(F.col("n") - F.col("i") >= _needed(F.col("n"), low, num, den))
+    larger = larger.select("token", "size", F.col("doc_id").alias("a"), F.col("n").alias("na"), F.col("i").alias("ia"), F.col("component").alias("ca"))
+    smaller = lists.select("token", bucket(F.col("n")).alias("size"), F.col("doc_id").alias("b"), F.col("n").alias("nb"), F.col("i").alias("ib"), F.col("component").alias("cb"))
+    need = _needed(F.col("na"), F.col("nb"), num, den)
+    ordered = (F.col("nb") < F.col("na")) | ((F.col("nb") == F.col("na")) & (F.col("b") < F.col("a")))
+    return larger.join(smaller, ["token", "size"]).where(ordered & (F.col("na") - F.col("ia") >= need) & (F.col("nb") - F.col("ib") >= need))
+
+
+def similar_pairs(df: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", n: int = 5, threshold: tuple[int, int] = (80, 100)) -> tuple[DataFrame, DataFrame]:
+    """Every link between different sets as (a, b), a < b, of the smallest ids that hold them; and membership (doc_id,
+    class_id, class_rows) of the documents with a set. Two documents are linked if their classes are one or are linked."""
+    num, den = threshold
+    docs, sets, equal, single = _classes(df, id_col, text_col, n)
+    lists = _lists(single, sets, n, num, den)
+    light = lists.where("c > 0").select("token", "c", "doc_id", "n")
+    other = light.select("token", "c", F.col("doc_id").alias("other"), F.col("n").alias("other_n"))
+    light = light.join(other, ["token", "c"]).where((F.col("doc_id") < F.col("other")) & (_needed(F.col("n"), F.col("other_n"), num, den) <= F.col("c")))
+    pairs = light.select(F.col("doc_id").alias("a"), F.col("other").alias("b")).union(_prefix_pairs(lists.where("c = 0"), num, den).select(F.least("a", "b"), F.greatest("a", "b"))).distinct()
+    links = _verified(_plausible(pairs, sets, num, den), docs, n, num, den)
+    held = sets.where((F.col("n") > 0) & F.col("doc_id").isNotNull()).select("doc_id").distinct()
+    member = held.join(equal.withColumnRenamed("b", "doc_id"), "doc_id", "left").select("doc_id", F.coalesce("a", "doc_id").alias("class_id"))
+    rows = member.groupBy("class_id").agg(F.count(F.lit(1)).alias("class_rows"))
+    return links, materialize(member.join(rows, "class_id").select("doc_id", "class_id", "class_rows"), "member")
+
+
+def link_documents(df: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", n: int = 5, threshold: tuple[int, int] = (80, 100)) -> DataFrame:
+    """doc_id, n_shingles, component_id for each row. `threshold` is a fraction of integers."""
+    num, den = threshold
+    docs, sets, equal, single = _classes(df, id_col, text_col, n)
+    lists = _lists(single, sets, n, num, den)
     pivots = lists.groupBy("token", "c").agg(F.max(F.struct("rank", (-F.col("doc_id")).alias("neg"), "n", "i")).alias("p"))
     pivots = pivots.select("token", "c", (-F.col("p.neg")).alias("pivot"), F.col("p.n").alias("pn"), F.col("p.i").alias("pi"))
     need = _needed(F.col("n"), F.col("pn"), num, den)
@@ -242,28 +310,15 @@ def link_documents(df: DataFrame, *, id_col: str = "doc_id", text_col: str = "te
     grouped = components(edges)
 
     # Exactly: members of a list that are not yet in one component.
-    held = checked_broadcast(grouped.withColumnRenamed("id", "doc_id"), 24)
+    held = checked_broadcast(grouped.withColumnRenamed("id", "doc_id"))
     apart = lists.where("c = 0").join(held, "doc_id", "left").withColumn("component", F.coalesce("component", "doc_id"))
     apart = materialize(apart.select("token", "doc_id", "n", "i", "component"), "apart")
     several = apart.groupBy("token").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo < hi").select("token")
     apart = materialize(apart.join(several, "token"), "several")
-    step = F.lit(math.log(_SIZE_STEP))
-
-    def bucket(c: Column) -> Column:
-        return F.floor(F.ln(c.cast("double")) / step + 1e-9).cast("int")
-
-    smallest = F.ceil(F.col("n") * num / den).cast("int")
-    larger = apart.withColumn("size", F.explode(F.sequence(bucket(F.greatest(smallest, F.lit(1))), bucket(F.col("n")))))
-    low = F.greatest(smallest, F.floor(F.exp(F.col("size") * step)).cast("int"))
-    larger = larger.where(F.col("n") - F.col("i") >= _needed(F.col("n"), low, num, den))
-    larger = larger.select("token", "size", F.col("doc_id").alias("a"), F.col("n").alias("na"), F.col("i").alias("ia"), F.col("component").alias("ca"))
-    smaller = apart.select("token", bucket(F.col("n")).alias("size"), F.col("doc_id").alias("b"), F.col("n").alias("nb"), F.col("i").alias("ib"), F.col("component").alias("cb"))
-    need = _needed(F.col("na"), F.col("nb"), num, den)
-    ordered = (F.col("nb") < F.col("na")) | ((F.col("nb") == F.col("na")) & (F.col("b") < F.col("a")))
-    pairs = larger.join(smaller, ["token", "size"]).where(ordered & (F.col("ca") != F.col("cb")) & (F.col("na") - F.col("ia") >= need) & (F.col("nb") - F.col("ib") >= need))
+    pairs = _prefix_pairs(apart, num, den).where("ca <> cb")
     more = _verified(_plausible(pairs.select("a", "b").distinct(), sets, num, den), docs, n, num, den)
     if more.limit(1).count():
         grouped = components(edges.union(more))
-    label = checked_broadcast(grouped.withColumnRenamed("id", "doc_id"), 24)
+    label = checked_broadcast(grouped.withColumnRenamed("id", "doc_id"))
     out = sets.select("doc_id", F.col("n").cast("long").alias("n_shingles")).join(label, "doc_id", "left")
     return out.withColumn("component_id", F.coalesce("component", "doc_id")).drop("component")
