@@ -10,10 +10,10 @@ is cut at powers of two, which need no padding.
 There is no shuffle: the scan's partitions are packed as they are read, so no key can be hot. A worker holds the pieces
 of its open bins (at most one sequence for each class, about `capacity` classes) and one batch of documents.
 
-Token ids are those of the `tokenizers` file. Single spaces between other characters are the only places where texts are
-split before encoding (the pre-tokenizer never joins across them), and the pieces are remembered. Pieces of plain Latin
-characters are encoded from the same vocabulary's ranks by tiktoken, which gives the same ids faster; all others, and any
-that could hold a special token, by tokenizers itself.
+Token ids are those of the `tokenizers` file, by tokenizers itself. Single spaces between other characters are the only
+places where texts are split before encoding (the pre-tokenizer never joins across them). The pieces that a batch has and
+the worker does not remember are encoded many in one call, a line for each: a line end between other characters and a
+space is a token by itself. Pieces of up to LONGEST characters are remembered, up to HELD bytes.
 
 Defined results: a null text counts as empty, an empty text is the one end token; a null doc_id is kept as null; repeated
 rows are packed as often as they occur; an empty table gives no rows; extra columns are ignored.
@@ -21,7 +21,6 @@ rows are packed as often as they occur; an empty table gives no rows; extra colu
 
 from __future__ import annotations
 
-import base64
 import re
 import zlib
 from collections.abc import Iterator
@@ -35,58 +34,80 @@ from .common import worker_cache
 
 SCHEMA = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
 
-#: Where \p{L}, \p{N} and white space are the same in every Unicode version.
-_PLAIN = re.compile("[ -~\t\n\r¡-ſ]*")
 _WIDE = re.compile(r"\s\s|[\x1c-\x1f]")
 _SINGLE = re.compile(r"(?<=\S) (?=\S)")
 
 
-def default_tokenizer() -> tuple[str, str]:
+def default_tokenizer() -> str:
     import public_tokenizers
 
-    return public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("byte_bpe_50k.tiktoken")
+    return public_tokenizers.path("byte_bpe_50k.json")
 
 
 class Encoder:
-    """text -> token ids as little-endian unsigned 32-bit bytes."""
+    """texts -> their token ids as little-endian unsigned 32-bit bytes."""
 
-    LIMIT = 1_000_000
+    #: Bytes of remembered pieces and their ids (with 150 for the objects of each), and the longest piece remembered.
+    HELD, LONGEST = 256 << 20, 64
+    #: Pieces encoded as one text.
+    LINES = 2000
 
-    def __init__(self, path: str, ranks: str | None):
-        self.path, self.ranks, self._hf, self._tk = path, ranks, None, None
-        outer = self
+    def __init__(self, path: str):
+        import os
 
-        class Spaced(dict):
-            def __missing__(self, chunk: str) -> bytes:
-                ids = self[chunk] = outer.piece(" " + chunk)
-                return ids
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core
+        from tokenizers import Tokenizer
 
-        self.spaced = Spaced()
+        tokenizer = Tokenizer.from_file(path)
+        self._encode = getattr(tokenizer, "encode_batch_fast", tokenizer.encode_batch)
+        end = self._ids_of("\n")
+        # only if line ends are such tokens in this vocabulary
+        self._end = end[0] if len(end) == 1 and self._ids_of(" a\n b!\n c") == [x for t in (" a", "\n", " b!", "\n", " c") for x in self._ids_of(t)] else None
+        self._first: dict[str, bytes] = {}
+        self._after: dict[str, bytes] = {}
+        self._bytes = 0
 
-    def piece(self, s: str) -> bytes:
-        import numpy as np
-
-        if self.ranks and "<|" not in s and _PLAIN.fullmatch(s):
-            if self._tk is None:
-                import public_tokenizers
-                import tiktoken
-
-                ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, open(self.ranks, "rb"))}
-                self._tk = tiktoken.Encoding("ranks", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={}).encode_ordinary
-            return np.array(self._tk(s), dtype="<u4").tobytes()
-        if self._hf is None:
-            from tokenizers import Tokenizer
+    def _ids_of(self, s: str) -> list[int]:
+        return self._encode([s], add_special_tokens=False)[0].ids
 
-            self._hf = Tokenizer.from_file(self.path)
-        return np.array(self._hf.encode(s, add_special_tokens=False).ids, dtype="<u4").tobytes()
+    def _learn(self, pieces: list[str], space: str, held: dict[str, bytes]) -> None:
+        import numpy as np
 
-    def __call__(self, text: str) -> bytes:
-        if not text:
-            return b""
-        if len(self.spaced) > self.LIMIT:
-            self.spaced.clear()
-        first, *rest = _SINGLE.split(text) if _WIDE.search(text) else text.split(" ")
-        return (self.piece(first) if first else b"") + b"".join(map(self.spaced.__getitem__, rest))
+        plain = []
+        for piece in pieces:
+            # what has white space in it, or could hold a special token, is encoded by itself
+            if self._end is None or not space or len(piece) > self.LONGEST or "<|" in piece or piece.split() != [piece]:
+                held[piece] = np.array(self._ids_of(space + piece), dtype="<u4").tobytes()
+            else:
+                plain.append(piece)
+        for at in range(0, len(plain), self.LINES):
+            lines = plain[at : at + self.LINES]
+            ids = np.array(self._ids_of(space + ("\n" + space).join(lines)), dtype="<u4")
+            ends = np.flatnonzero(ids == self._end)
+            if len(ends) != len(lines) - 1:
+                raise ValueError("a line end is no token by itself")
+            ids, begin = ids.tobytes(), 0
+            for line, stop in zip(lines, [*ends.tolist(), len(ids) // 4]):
+                held[line] = ids[4 * begin : 4 * stop]
+                begin = stop + 1
+        self._bytes += sum(map(len, pieces)) + sum(map(len, map(held.__getitem__, pieces))) + 150 * len(pieces)
+
+    def __call__(self, texts: list[str]) -> list[bytes]:
+        if self._bytes > self.HELD:
+            self._first.clear()
+            self._after.clear()
+            self._bytes = 0
+        split = [_SINGLE.split(t) if _WIDE.search(t) else t.split(" ") for t in texts]
+        firsts = [x.pop(0) for x in split]
+        new_first, new_after = list(set(firsts).difference(self._first)), list(set().union(*split).difference(self._after))
+        self._learn(new_first, "", self._first)
+        self._learn(new_after, " ", self._after)
+        out = [self._first[f] + b"".join(map(self._after.__getitem__, rest)) for f, rest in zip(firsts, split)]
+        for held, new in ((self._first, new_first), (self._after, new_after)):
+            for x in new:
+                if len(x) > self.LONGEST:
+                    self._bytes -= len(x) + len(held.pop(x)) + 150
+        return out
 
 
 def harmonic_cuts(capacity: int, tolerance: float) -> list[list[tuple[int, int]]]:
@@ -102,11 +123,24 @@ def harmonic_cuts(capacity: int, tolerance: float) -> list[list[tuple[int, int]]
     return table
 
 
-def _pack(batches: Iterator[pa.RecordBatch], path: str, ranks: str | None, capacity: int, tolerance: float, end_id: int) -> Iterator[pa.RecordBatch]:
+def _encoded(batch: pa.RecordBatch, encode: Encoder, characters: int = 2_000_000) -> Iterator[tuple]:
+    """doc_id and ids of each row; texts are encoded together up to so many characters."""
+    docs, texts, n = [], [], 0
+    for doc, text in zip(batch.column(0).to_pylist(), batch.column(1)):
+        docs.append(doc)
+        texts.append(text.as_py() or "")
+        n += len(texts[-1])
+        if n >= characters:
+            yield from zip(docs, encode(texts))
+            docs, texts, n = [], [], 0
+    yield from zip(docs, encode(texts))
+
+
+def _pack(batches: Iterator[pa.RecordBatch], path: str, capacity: int, tolerance: float, end_id: int) -> Iterator[pa.RecordBatch]:
     from pyspark import TaskContext
 
     cache = worker_cache()
-    encode = cache.get(("encoder", path)) or cache.setdefault(("encoder", path), Encoder(path, ranks))
+    encode = cache.get(("encoder", path)) or cache.setdefault(("encoder", path), Encoder(path))
     cuts = harmonic_cuts(capacity, tolerance)
     end = end_id.to_bytes(4, "little")
     sequence = TaskContext.get().partitionId() << 33
@@ -128,8 +162,8 @@ def _pack(batches: Iterator[pa.RecordBatch], path: str, ranks: str | None, capac
         return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], names=["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"])
 
     for batch in batches:
-        for doc, text in zip(batch.column(0).to_pylist(), batch.column(1)):
-            ids = encode(text.as_py() or "") + end
+        for doc, ids in _encoded(batch, encode):
+            ids += end
             total, at = len(ids) // 4, 0
             while total - at >= capacity:
                 close([(doc, at, ids[4 * at : 4 * (at + capacity)], total)])
@@ -164,10 +198,9 @@ def _pack(batches: Iterator[pa.RecordBatch], path: str, ranks: str | None, capac
         yield flush()
 
 
-def pack_documents(df: DataFrame, id_col: str | Column = "doc_id", text_col: str | Column = "text", *, capacity: int = 1024, tolerance: float = 1 / 128, end_id: int = 0, tokenizer: str | None = None, ranks: str | None = None) -> DataFrame:
+def pack_documents(df: DataFrame, id_col: str | Column = "doc_id", text_col: str | Column = "text", *, capacity: int = 1024, tolerance: float = 1 / 128, end_id: int = 0, tokenizer: str | None = None) -> DataFrame:
     """Pieces of all documents, each in one sequence of at most `capacity` tokens."""
-    if tokenizer is None:
-        tokenizer, ranks = default_tokenizer()
+    tokenizer = tokenizer or default_tokenizer()
     id_col, text_col = (F.col(c) if isinstance(c, str) else c for c in (id_col, text_col))
     rows = df.select(id_col.cast("long").alias("doc_id"), text_col.cast("string").alias("text"))
-    return rows.mapInArrow(partial(_pack, path=tokenizer, ranks=ranks, capacity=capacity, tolerance=tolerance, end_id=end_id), SCHEMA)
+    return rows.mapInArrow(partial(_pack, path=tokenizer, capacity=capacity, tolerance=tolerance, end_id=end_id), SCHEMA)
