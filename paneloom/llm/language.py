@@ -34,7 +34,7 @@ from pyspark.sql import functions as F
 
 from paneloom.plans.shared import materialize
 
-_LETTERS = re.compile(r"[^\W\d_]+")
+_WORDS = re.compile(r"[^\W\d_]+")  # letters, and numbers such as ½ or ²
 UNDETERMINED = "und"
 #: Words counted together before they are taken apart.
 _HELD = 300_000
@@ -43,6 +43,17 @@ _SLICE = 4_000_000
 _SCHEMA = "doc_id long, held_out boolean, lang_pred string, score double, entropy double, accepted boolean"
 
 
+def words_of(text: str) -> list[str]:
+    """Runs of letters (Unicode category L), in lower case."""
+    out = []
+    for w in _WORDS.findall(text.lower()):
+        if w.isalpha():
+            out.append(w)
+        else:
+            out += "".join(c if c.isalpha() else " " for c in w).split()
+    return out
+
+
 def held_out(doc_id: Column) -> Column:
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % 4 == 2, F.lit(False))
 
@@ -74,7 +85,7 @@ def _counted(batches: Iterator[pa.RecordBatch], order: int) -> Iterator[pa.Recor
 
     for b in batches:
         for text, lang in zip(b.column(0), b.column(1).to_pylist()):
-            held[lang].update(_LETTERS.findall(text.as_py().lower()))
+            held[lang].update(words_of(text.as_py()))
             if sum(map(len, held.values())) > _HELD:
                 yield from flush()
     held = defaultdict(Counter, {k: v for k, v in held.items() if v})
@@ -122,7 +133,7 @@ class Model:
 
     def entropies(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
         """Cross-entropy for each text and language, and the characters scored (0: no letters)."""
-        found = [_LETTERS.findall(t.lower()) if t else [] for t in texts]
+        found = [words_of(t) if t else [] for t in texts]
         n = np.array([len(f) for f in found], np.int64)
         total = np.zeros((len(texts), len(self.languages)))
         chars = np.zeros(len(texts), np.int64)
@@ -287,7 +298,7 @@ def _parts(batches: Iterator[pa.RecordBatch], order: int, frequent) -> Iterator[
     for b in batches:
         chars, sums, rare = [], [], []
         for text in b.column(b.num_columns - 1):
-            words = _LETTERS.findall((text.as_py() or "").lower())
+            words = words_of(text.as_py() or "")
             codes, n = np.unique(grams(words, order)[0], return_counts=True) if words else (np.zeros(0, np.uint64), np.zeros(0, np.int64))
             at, known = Model._find(keys, codes) if len(keys) else (np.zeros(len(codes), np.int64), np.zeros(len(codes), bool))
             chars.append(int(n.sum()))

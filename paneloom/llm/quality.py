@@ -7,12 +7,13 @@ punctuation; entropy of its bytes; distinct words and lines; lengths), fitted on
 Hosts and paths: the evidence of all documents is summed by host and by path (partial sums before the shuffle, so a hot
 host is one row for each task). A host's posterior mean is shrunk towards the global mean and a path's towards its
 host's, each with a Beta precision estimated by moments over all hosts or paths, so sparse sites say little. A document's
-posterior odds are its own evidence with the global prior odds replaced by those of its path.
+posterior odds are its own evidence with the global prior odds replaced by those of its path, in which its own evidence is
+left out, so it counts once.
 
 `documents` has no URL, so its host is `source` and its path `lang`; any two columns, or expressions of a URL, will do.
 
 Defined results: a null text is the empty text; null hosts and paths are groups of their own; repeated rows count as often
-as they occur; with labels of one class only (or none) the evidence is that class's smoothed rate; an empty table gives no
+as they occur; of several labels of one id the lowest counts; with labels of one class only (or none) the evidence is that class's smoothed rate; an empty table gives no
 rows; other columns of the table are kept by `with_quality` and replaced only where the names are equal.
 """
 
@@ -79,7 +80,7 @@ def _scored(batches: Iterator[pa.RecordBatch], text_at: int, model: tuple, names
 
 def fit(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", max_labelled: int = 20_000, ridge: float = 1.0) -> tuple:
     """mean, scale and weights of a logistic regression; the sample's features (16 numbers a row) meet on the driver."""
-    chosen = labels.where(F.col(label_col).isNotNull()).select(F.col(id_col).alias("_id"), F.col(label_col).cast("double").alias("y")).dropDuplicates(["_id"])
+    chosen = labels.where(F.col(label_col).isNotNull()).select(F.col(id_col).alias("_id"), F.col(label_col).cast("double").alias("y")).groupBy("_id").agg(F.min("y").alias("y"))
     chosen = materialize(chosen.orderBy(F.xxhash64("_id"), "_id").limit(max_labelled), "labelled")
     rows = docs.select(F.col(id_col).alias("_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text")).join(F.broadcast(chosen), "_id")
     got = rows.select("y", "text").mapInArrow(_featured, "y double, x array<double>").toPandas()
@@ -135,7 +136,12 @@ def posteriors(evidence: DataFrame) -> tuple[DataFrame, float]:
     joined = materialize(paths.join(hosts, F.col("_host").eqNullSafe(F.col("_h"))).drop("_h"), "shrunk")
     k = _precision(joined, F.col("host_posterior"))
     own = (F.col("_sum") + F.lit(k) * F.col("host_posterior")) / (F.col("_n") + F.lit(k))
-    return materialize(joined.select("_host", "_path", "host_posterior", own.alias("path_posterior")), "posteriors"), prior
+    return materialize(joined.select("_host", "_path", "_n", F.lit(k).alias("_k"), "host_posterior", own.alias("path_posterior")), "posteriors"), prior
+
+
+def without_own(posterior: Column, n: Column, k: Column, p: Column) -> Column:
+    """A path's posterior from its n documents and precision k, without the evidence p of one of them."""
+    return F.greatest(posterior * (n + k) - p, F.lit(0.0)) / (n - 1 + k)
 
 
 def _odds(p: Column) -> Column:
@@ -149,8 +155,9 @@ def with_quality(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id",
     model = fit(docs, labels, id_col=id_col, text_col=text_col, label_col=label_col, max_labelled=max_labelled)
     narrow = docs.select(host.cast("string").alias("_host"), path.cast("string").alias("_path"), F.col(text_col).alias("text"))
     sites, prior = posteriors(with_evidence(narrow, model).select("_host", "_path", "p_doc"))
-    sites = checked_broadcast(sites.withColumnsRenamed({"_host": "__h", "_path": "__p"}))
+    sites = checked_broadcast(sites.withColumnsRenamed({"_host": "__h", "_path": "__p", "_n": "__n", "_k": "__k"}))
     rows = with_evidence(docs.drop(*ADDED), model, text_col=text_col)
-    rows = rows.join(sites, host.cast("string").eqNullSafe(F.col("__h")) & path.cast("string").eqNullSafe(F.col("__p")), "left").drop("__h", "__p")
-    z = _odds(F.col("p_doc")) + F.lit(site_weight) * (_odds(F.col("path_posterior")) - _odds(F.lit(prior)))
-    return rows.withColumn("p_quality", F.lit(1.0) / (F.lit(1.0) + F.exp(-z)))
+    rows = rows.join(sites, host.cast("string").eqNullSafe(F.col("__h")) & path.cast("string").eqNullSafe(F.col("__p")), "left")
+    others = without_own(F.col("path_posterior"), F.col("__n"), F.col("__k"), F.col("p_doc"))
+    z = _odds(F.col("p_doc")) + F.lit(site_weight) * (_odds(others) - _odds(F.lit(prior)))
+    return rows.withColumn("p_quality", F.lit(1.0) / (F.lit(1.0) + F.exp(-z))).drop("__h", "__p", "__n", "__k")

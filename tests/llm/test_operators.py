@@ -66,7 +66,7 @@ def both_ways(request, monkeypatch):
 def test_packing(docs, empty):
     from tokenizers import Tokenizer
 
-    t = Tokenizer.from_file(packing.default_tokenizer()[0])
+    t = Tokenizer.from_file(packing.default_tokenizer())
     got = packing.pack_documents(docs).collect()
     ids = {i: np.array([*t.encode(x or "", add_special_tokens=False).ids, 0], "<u4") for i, x, *_ in ROWS}
     covered, sequences = collections.Counter(), collections.defaultdict(list)
@@ -89,13 +89,17 @@ def test_packing(docs, empty):
 def test_encoder_equals_tokenizers():
     from tokenizers import Tokenizer
 
-    t = Tokenizer.from_file(packing.default_tokenizer()[0])
-    e = packing.Encoder(*packing.default_tokenizer())
+    t = Tokenizer.from_file(packing.default_tokenizer())
+    e = packing.Encoder(packing.default_tokenizer())
     r = random.Random(3)
     alphabet = ["a", "B", "é", "ß", "1", "²", "½", "'s", "'ll", ".", "!!", "$", " ", " ", "  ", "\n", "\n\n", "\t", "\xa0", " ", "日本", "🙂", "́", "<|endoftext|>", "\x1c", "\r\n", "word", "The"]
-    for _ in range(400):
-        s = "".join(r.choices(alphabet, k=r.randint(0, 25)))
-        assert np.frombuffer(e(s), "<u4").tolist() == t.encode(s, add_special_tokens=False).ids, repr(s)
+    texts = ["".join(r.choices(alphabet, k=r.randint(0, 25))) for _ in range(3000)] + ["", " ", "x" * 100_000, "é " * 30_000, " ".join(words(500, 1)) + "  " + "日本" * 5000]
+    for _ in range(2):  # the second time from memory
+        for s, ids in zip(texts, e(texts)):
+            assert np.frombuffer(ids, "<u4").tolist() == t.encode(s, add_special_tokens=False).ids, repr(s[:80])
+    assert e._end is not None and max(map(len, [*e._first, *e._after])) <= e.LONGEST
+    e.HELD = 0
+    assert e(texts[:3]) == e(texts[:3]) and len(e._after) < 60
 
 
 def test_harmonic_cuts():
@@ -142,8 +146,8 @@ def test_fingerprints(docs, empty, both_ways):
 
     def printed(t):
         b = canon(t).encode()
-        first = xxhash.xxh64_intdigest(b, 42)
-        return first
+        second = xxhash.xxh64_intdigest(b, xxhash.xxh64_intdigest(b"wide", 42))  # the hash of a column seeds the next
+        return f"{xxhash.xxh64_intdigest(b, 42):016x}{second:016x}"
 
     firsts = {}
     for i, t in sorted(order):
@@ -151,9 +155,12 @@ def test_fingerprints(docs, empty, both_ways):
     for k, (i, t) in enumerate(order):
         r = by_id[i]
         assert r["n_chars"] == len(t)
-        assert r["fingerprint"][:16] == f"{printed(t):016x}"
+        assert r["fingerprint"] == printed(t)
         assert r["class_id"] == firsts[canon(t)]
-        if i == 7:  # a repeated row: its next is itself or the row below
+        if i == 7:  # a repeated row: the next of one is the other, and of that the row below
+            nexts = {ROWS[7][1], ROWS[6][1]}
+            edits = {hashlib.sha256((t[: len(t) - len(t) // 3] + x[: len(t) // 3]).encode()).hexdigest() for x in nexts}
+            assert {x["edited_sha256"] for x in got if x["doc_id"] == 7} == edits
             continue
         nxt = order[(k + 1) % len(order)][1]
         m = len(t) // 3
@@ -165,8 +172,19 @@ def test_fingerprints(docs, empty, both_ways):
 
 def test_next_over_many_ranges(spark):
     df = spark.range(3000).select((F.col("id") * 7 - 5000).alias("doc_id"), F.col("id").cast("string").alias("text")).withColumn("fingerprint", F.col("text"))
-    got = {r["doc_id"]: r["next_text"] for r in fingerprints.with_next(df, range_rows=40).collect()}
-    assert got == {i * 7 - 5000: str((i - 1) % 3000) for i in range(3000)}
+    for size in (40, 1):
+        got = {r["doc_id"]: r["next_text"] for r in fingerprints.with_next(df, range_rows=size).collect()}
+        assert got == {i * 7 - 5000: str((i - 1) % 3000) for i in range(3000)}
+
+
+def test_fingerprint_collisions_are_told_apart(spark, monkeypatch):
+    """With a hash of three values: classes are still those of equal bytes, also in a group that is split."""
+    monkeypatch.setattr(fingerprints, "wide_hash", lambda c: F.substring(F.md5(c), 1, 1).cast("string"))
+    monkeypatch.setattr(fingerprints, "SPLIT_ROWS", 7)
+    rows = [(i, f"text {i % 40}" if i % 3 else "hot", None, None, None) for i in range(600)]
+    got = {r["doc_id"]: r["class_id"] for r in fingerprints.edited_report(spark.createDataFrame(rows, DOCS).repartition(5)).collect()}
+    first = {}
+    assert got == {i: first.setdefault(t, i) for i, t, *_ in rows}
 
 
 def test_rules(docs, empty):
@@ -189,6 +207,23 @@ def test_rules(docs, empty):
     assert rules.judge(empty).count() == 0
 
 
+def test_rules_of_one_very_long_word(spark):
+    """Measures and rules are linear in the text."""
+    rows = [(1, "1" * 3_000_000, None, None, None), (2, "-" * 1_000_000 + "a " + "x y " * 100_000, None, None, None)]
+    got = {r["doc_id"]: r for r in rules.judge(spark.createDataFrame(rows, DOCS)).collect()}
+    assert got[1]["n_words"] == 1 and got[1]["failed_rule"] == "base" and got[2]["n_words"] == 200_001
+    a = spark.createDataFrame([("--a1 12 b-c ½ é,é 日 .. x",)], "text string")
+    assert a.selectExpr(f"NOT ({next(r.fails for r in rules.RULES if r.name == 'wordless').split(' < ')[0]} = 10) AS other").first()[0] is False
+
+
+def test_cascade_takes_conditional_rates(spark, monkeypatch):
+    """A rule that rejects only what an earlier one has rejected comes last, however much it rejects."""
+    monkeypatch.setattr(rules, "_cpu_seconds", lambda *a: 0.0)
+    df = spark.createDataFrame([(i, " ".join(words(60, i)) + " A" * (i % 10 < 6) + " B" * (i % 10 < 5) + " C" * (i % 10 == 9), None, None, None) for i in range(200)], DOCS)
+    some = (rules.Rule("B", "text LIKE '% B'"), rules.Rule("C", "text LIKE '% C'"), rules.Rule("A", "text LIKE '% A%'"))
+    assert [r.name for r in rules.cascade_order(df, some)] == ["A", "C", "B"]
+
+
 def test_cascade_order_changes_no_verdict(docs):
     shouting = docs.withColumn("text", F.when(F.col("doc_id") % 3 == 0, F.concat(F.lit("### "), F.upper("text"))).otherwise(F.col("text")))
     ways = [{r["doc_id"]: r["kept"] for r in rules.judge(shouting, order).collect()} for order in (rules.RULES, rules.RULES[::-1])]
@@ -228,6 +263,58 @@ def test_mixing(docs, empty, both_ways):
     assert mixing.mix_plan(empty).count() == 0 and mixing.mix_documents(empty).count() == 0
 
 
+def pareto_sample(rows, targets, power=0.5, seed="mix", max_copies=2):
+    """(source, whole copies, probabilities by row, rows drawn) of each source, from the definitions; rows: id, source, size."""
+    for source, target in targets.items():
+        mine = [(i, n) for i, s, n in rows if s == source]
+        total = sum(n for _, n in mine)
+        if not total:
+            continue
+        whole = min(max_copies, int(target / total + 1e-12))
+        rest = target - whole * total
+        h = {i: 2.0 ** ((n.bit_length() - 1) * power) for i, n in mine if n}
+        size, sure = dict(mine), set()
+        while True:
+            open_ = [i for i in h if i not in sure]
+            level = (rest - sum(size[i] for i in sure)) / sum(h[i] * size[i] for i in open_)
+            above = {i for i in open_ if level * h[i] > 1}
+            if not above:
+                break
+            top = max(h[i] for i in above)
+            sure |= {i for i in above if h[i] == top}
+        p = {i: 1.0 if i in sure else level * h[i] for i in h}
+        n = round(sum(p[i] for i in open_) if rest else 0)
+
+        def quotient(i):
+            u = (int(hashlib.md5(f"{seed}:{i}".encode()).hexdigest()[:13], 16) + 0.5) / (1 << 52)
+            return u / (1 - u) * (1 - p[i]) / p[i]
+
+        yield source, whole, p, sure | set(sorted(open_, key=quotient)[:n]) if rest else set()
+
+
+def test_mixing_draws_a_fixed_size_with_unequal_chances(spark):
+    r = random.Random(12)
+    rows = [(i, f"s{i % 4}", int(2 ** r.uniform(0, 11))) for i in range(1600)]
+    df = spark.createDataFrame([(i, "w " * n, "en", s, 0) for i, s, n in rows], DOCS).repartition(5)
+    got = {x["doc_id"]: x for x in mixing.mix_plan(df, share=0.7, tolerance=10.0).collect()}
+    targets = {x["source"]: x["target"] for x in got.values()}
+    several = 0
+    for source, whole, p, drawn in pareto_sample(rows, targets):
+        assert {i for i, x in got.items() if x["source"] == source and x["drawn"]} == drawn
+        assert all(got[i]["p"] == pytest.approx(p[i]) and got[i]["copies"] == whole + (i in drawn) for i in p)
+        several += len(set(p.values())) > 3
+        assert sum(p[i] * got[i]["size"] for i in p) == pytest.approx(targets[source] - whole * sum(got[i]["size"] for i in p))
+    assert several >= 2
+    # over many seeds a document is drawn about as often as its probability says
+    few = [x for x in rows if x[1] == "s0"][:40]
+    goal = {"s0": 0.4 * sum(n for *_, n in few)}
+    times = collections.Counter()
+    for k in range(1500):
+        for _, _, p, drawn in pareto_sample(few, goal, seed=f"seed{k}"):
+            times.update(drawn)
+    assert all(abs(times[i] / 1500 - p[i]) < 0.06 for i in p)
+
+
 def test_mixing_past_one_long_document(spark):
     sizes = [2770, *(30 + 7 * i % 50 for i in range(55))]
     df = spark.createDataFrame([(1000 * s + i, "w " * n, "en", f"s{s:02d}", 0) for s in range(12) for i, n in enumerate(sizes)], DOCS)
@@ -253,6 +340,40 @@ def test_quality(spark, empty, both_ways):
     del r
 
 
+def test_quality_posteriors_against_brute_force(spark):
+    """Host and path posteriors and the odds that a document gets, from the definitions; its own evidence counts once."""
+    r = random.Random(9)
+    rows = [(f"h{r.randrange(6)}", f"p{r.randrange(3)}", round(r.uniform(0.02, 0.98), 3)) for _ in range(300)] + [("lone", None, 0.2), (None, "p0", 0.9)]
+    sites, prior = quality.posteriors(spark.createDataFrame(rows, "_host string, _path string, p_doc double").repartition(4))
+    got = {(x["_host"], x["_path"]): x for x in sites.collect()}
+    assert prior == pytest.approx((sum(p for *_, p in rows) + 0.5) / (len(rows) + 1))
+
+    def sums(key):
+        out = collections.defaultdict(list)
+        for h, q, p in rows:
+            out[key(h, q)].append(p)
+        return out
+
+    def precision(groups, mean):
+        some = [(len(v), sum(v) / len(v), mean(k)) for k, v in groups.items() if len(v) > 1]
+        n = sum(x[0] for x in some)
+        noise = sum(x[0] * x[2] * (1 - x[2]) for x in some) / n
+        between = max(1e-9, (sum(k * (p - m) ** 2 for k, p, m in some) - len(some) * noise) / n)
+        return min(1e6, max(1.0, noise / between - 1))
+
+    hosts, paths = sums(lambda h, q: h), sums(lambda h, q: (h, q))
+    k = precision(hosts, lambda h: prior)
+    host = {h: (sum(v) + k * prior) / (len(v) + k) for h, v in hosts.items()}
+    k2 = precision(paths, lambda x: host[x[0]])
+    assert set(got) == set(paths)
+    for x, v in paths.items():
+        assert got[x]["host_posterior"] == pytest.approx(host[x[0]]) and got[x]["_n"] == len(v)
+        assert got[x]["path_posterior"] == pytest.approx((sum(v) + k2 * host[x[0]]) / (len(v) + k2))
+        own = v[0]
+        others = spark.range(1).select(quality.without_own(F.lit(got[x]["path_posterior"]), F.lit(len(v)), F.lit(k2), F.lit(own))).first()[0]
+        assert others == pytest.approx((sum(v) - own + k2 * host[x[0]]) / (len(v) - 1 + k2))
+
+
 def test_sparse_sites_shrink(spark):
     evidence = spark.createDataFrame([(f"h{h}", "p", 0.9 if h % 2 else 0.3) for h in range(6) for _ in range(50)] + [("tiny", "p", 0.0)], "_host string, _path string, p_doc double")
     sites, prior = quality.posteriors(evidence)
@@ -265,7 +386,7 @@ def test_sparse_sites_shrink(spark):
 def test_language(spark, empty, order):
     alphabets = {"aa": "abcde", "bb": "defgh", "cc": "éüßñø"}
     rows = [(i, " ".join(words(30, i, alphabets[lang])), lang, "s", 0) for i, lang in enumerate(list(alphabets) * 40)]
-    rows += [(1000, None, "aa", "s", 0), (1001, "12 !!", "bb", "s", 0), (1002, "", None, "s", 0), (1003, "abcde", None, "s", 0)]
+    rows += [(1000, None, "aa", "s", 0), (1001, "12 !! ½ ² ① Ⅷ", "bb", "s", 0), (1002, "", None, "s", 0), (1003, "abcde", None, "s", 0)]
     df = spark.createDataFrame(rows, DOCS).repartition(3)
     got = {r["doc_id"]: r for r in language.identify(df, order=order).collect()}
     assert len(got) == len(rows)
@@ -293,6 +414,59 @@ def test_language_keeps_its_order_beyond_the_broadcast(spark, max_grams):
         assert b["score"] == pytest.approx(a["score"], abs=1e-4) and b["entropy"] == (a["entropy"] and pytest.approx(a["entropy"], rel=1e-5))
 
 
+def brute_entropies(learn, texts, order):
+    """Interpolated Kneser-Ney straight from its definition, with dictionaries: cross-entropy per character by language."""
+    tops = collections.defaultdict(collections.Counter)
+
+    def chars(text):
+        for w in re.findall(r"[a-zéüßñøà-ÿ]+", text.lower()):
+            s = "\x01" * (order - 1) + w + "\x02"
+            for i in range(order - 1, len(s)):
+                yield s[i - order + 1 : i + 1]
+
+    for text, lang in learn:
+        tops[lang].update(chars(text))
+    levels = {}
+    for lang, top in tops.items():
+        levels[lang] = [top]
+        for _ in range(order - 1):
+            levels[lang].append(collections.Counter(g[1:] for g in levels[lang][-1]))
+    symbols = len({g for x in levels.values() for g in x[-1]}) + 1
+
+    def prob(tables, g):
+        if not g:
+            return 1 / symbols
+        table = tables[0]
+        once, twice = (sum(v == k for v in table.values()) for k in (1, 2))
+        d = min(0.95, max(0.1, once / max(1, once + 2 * twice)))
+        same = [v for x, v in table.items() if x[:-1] == g[:-1]]
+        below = prob(tables[1:], g[1:])
+        return max(table[g] - d, 0) * (table[g] > 0) / sum(same) + d * len(same) / sum(same) * below if same else below
+
+    out = []
+    for t in texts:
+        gs = list(chars(t))
+        out.append({lang: -sum(np.log(prob(x, g)) for g in gs) / len(gs) for lang, x in levels.items()})
+    return out
+
+
+def test_language_against_brute_force(spark):
+    alphabets = {"aa": "abcde", "bb": "abcdf", "cc": "abcéüßñ"}
+    rows = [(i, " ".join(words(6, i, alphabets[lang])), lang, "s", 0) for i, lang in enumerate(list(alphabets) * 12)]
+    rows += [rows[3], (2000, "ab Café " * 3000, None, None, None)]
+    got = {r["doc_id"]: r for r in language.identify(spark.createDataFrame(rows, DOCS).repartition(3), order=3).collect()}
+    learn = [(t, lang) for i, t, lang, *_ in rows if lang and zlib.crc32(str(i).encode()) % 4 != 2]
+    texts = [t if i != 2000 else "ab Café" for i, t, *_ in rows]
+    for (i, *_), h in zip(rows, brute_entropies(learn, texts, 3)):
+        assert got[i]["lang_pred"] == min(h, key=h.get) and got[i]["entropy"] == pytest.approx(min(h.values()), rel=1e-5)
+
+
+def test_language_accuracy_on_held_out_documents(spark):
+    df = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    rows = language.identify(df).where("held_out").join(df.select("doc_id", "lang"), "doc_id").where("lang IS NOT NULL AND lang_pred <> 'und'").collect()
+    assert len(rows) > 150 and sum(r["lang"] == r["lang_pred"] for r in rows) >= 0.97 * len(rows)
+
+
 def test_kneser_ney_sums_to_one():
     codes, _ = language.grams(["abba", "abab", "bab"], 3)
     keys, n = np.unique(codes, return_counts=True)
@@ -417,6 +591,55 @@ def test_jaccard_at_each_boundary(spark, monkeypatch, boundary):
     assert got == want and len({c for _, c in want.values()}) < len(rows)
 
 
+def similar_texts(seed, sizes, copies):
+    r = random.Random(seed)
+    rows = []
+    for k, size in enumerate(sizes):
+        base = words(size, 50 * seed + k, "abcdefghijklmnop")
+        for _ in range(copies):
+            w = base[:]
+            k = r.choice([0, len(w)])  # at an end, so that one n-gram more does not make the others new
+            rows.append((len(rows), " ".join([*w[:k], *words(r.choice([0, 1, 1]), r.random()), *w[k:]]), None, None, None))
+    return rows
+
+
+def test_jaccard_uses_both_halves_by_itself(spark, monkeypatch):
+    """The boundary that the costs give lists proper subsets of small sets; both halves find links that count."""
+    rows = similar_texts(3, [11, 12, 12, 13, 60, 80, 100], 9)
+    seen, chosen = {}, []
+    keep, choose = jaccard.materialize, jaccard.choose_boundary
+    monkeypatch.setattr(jaccard, "materialize", lambda t, name: seen.setdefault(name, keep(t, name)))
+    monkeypatch.setattr(jaccard, "choose_boundary", lambda *a: chosen.append(choose(*a)) or chosen[-1])
+    monkeypatch.setattr(jaccard, "components", lambda e: graph.components(e))
+    df = spark.createDataFrame(rows, DOCS).repartition(3)
+    got = {x["doc_id"]: (x["n_shingles"], x["component_id"]) for x in jaccard.link_documents(df, n=4, threshold=(85, 100)).collect()}
+    assert got == brute_components(rows, 4, 85, 100)
+    assert 8 <= chosen[0] <= 16
+    lists = [(r["doc_id"], r["n"], r["c"]) for r in seen["lists"].collect()]
+    assert any(0 < c < n for _, n, c in lists)
+    light, heavy = {d for d, _, c in lists if c}, {d for d, n, c in lists if not c and n > chosen[0]}
+    linked = {d for d, (_, c) in got.items() if any(o != d and x[1] == c for o, x in got.items())}
+    assert len(light & linked) > 10 and len(heavy & linked) > 10
+
+
+def test_similar_pairs(spark, docs):
+    rows = similar_texts(4, [9, 12, 40, 90], 8)
+    for df, rows in ((spark.createDataFrame(rows, DOCS), rows), (docs, ROWS)):
+        links, member = jaccard.similar_pairs(df, n=4, threshold=(85, 100))
+        class_of = {r["doc_id"]: r["class_id"] for r in member.collect()}
+        got = {(r["a"], r["b"]) for r in links.collect()}
+        sets = {}
+        for i, t, *_ in rows:
+            w = WORD.findall(re.sub("[A-Z]", lambda m: m[0].lower(), t or ""))
+            if w:
+                sets[i] = {tuple(w[k : k + 4]) for k in range(len(w) - 3)} if len(w) >= 4 else {tuple(w)}
+        assert set(class_of) == set(sets)
+        for a in sets:
+            assert class_of[a] == min(b for b in sets if sets[b] == sets[a])
+        want = {(a, b) for a in sets for b in sets if a < b and sets[a] != sets[b] and class_of[a] == a and class_of[b] == b and 100 * len(sets[a] & sets[b]) >= 85 * len(sets[a] | sets[b])}
+        assert got == want and want
+
+
 def test_components(spark):
     r = random.Random(1)
     edges = [(i, i + 1) for i in range(40)] + [(100, r.randrange(101, 160)) for _ in range(40)] + [(300, 300), (201, 200)]
@@ -434,7 +657,7 @@ def page(main, menu, foot, article=True):
 def test_extraction(spark):
     menu = ["Home", "News"]
     rows = [(1, "https://a.org/x/1", page(["Title", "one &amp; <b>two</b>\n  three", "&lt;p&gt; &eacute;"], menu, "foot")), (2, "https://a.org/x/2", page(["Title", "same"], menu, "foot")), (3, "https://b.org/", None), (4, None, "<p>a<br>b"), (5, "https://a.org/x/2", "")]
-    bare = [(10 + i, f"https://c.org/p/{i}", f"<div>Site</div><p>{' '.join(words(5, i))}</p><div>Copyright</div>") for i in range(30)]
+    bare = [(10 + i, f"https://c.org/p/{i:02d}", f"<div>Site</div><p>{' '.join(words(5, i))}</p><div>Copyright</div>") for i in range(30)]
     df = spark.createDataFrame(rows + bare, "page_id long, url string, html string").withColumn("key", F.lit(1)).repartition(4)
     got = {r["page_id"]: r for r in extraction.extract_pages(df).collect()}
     assert got[1]["text"] == "Title\none & two three\n<p> é" and got[2]["text"] == "Title\nsame"
@@ -446,6 +669,73 @@ def test_extraction(spark):
     assert extraction.extract_pages(df.where("false")).count() == 0
 
 
+def test_differencing_decides_inside_the_article(spark):
+    """A notice in every article goes, a line that one neighbour quotes stays, a copy of the article is no evidence."""
+    rows = [(i, f"https://a.org/{i:03d}", page([f"T{i}", "Subscribe now!", *(["quoted"] if i in (4, 5) else []), f"own {i}"], ["Home"], f"foot {i}")) for i in range(40)]
+    rows[20] = (20, "https://a.org/020", rows[19][2])
+    rows.append((99, "https://alone.org/", page(["T", "Subscribe now!"], [], "f")))
+    df = spark.createDataFrame(rows, "page_id long, url string, html string").repartition(3)
+    for size in (200, 5):
+        got = {r["page_id"]: r["text"] for r in extraction.extract_pages(df, range_pages=size).collect()}
+        for i in range(40):
+            # next to its copy and at the ends of the host a page has one neighbour, which does not decide inside an article
+            own = 19 if i == 20 else i
+            want = [f"T{own}", *(["Subscribe now!"] if i in (0, 19, 20, 39) else []), *(["quoted"] if i in (4, 5) else []), f"own {own}"]
+            assert got[i].split("\n") == want, i
+        assert got[99] == "T\nSubscribe now!"
+
+
+def test_differencing_against_brute_force(spark):
+    """All pages of a test table: the decision from sorted neighbours and a table of subsequence lengths."""
+    df = spark.read.parquet("/root/testdata/sf0.01/pages.parquet")
+    got = {r["page_id"]: (r["text"], r["n_shared"]) for r in extraction.extract_pages(df, range_pages=40).collect()}
+    pages = sorted((*re.match(r"[a-z]+://([^/]*)([^?#]*)", r["url"]).groups(), r["page_id"], r["html"]) for r in df.collect())
+    lined = [extraction.lines_of(p[3]) for p in pages]
+
+    def common(a, b):
+        n = np.zeros((len(a) + 1, len(b) + 1), int)
+        for i, x in enumerate(a):
+            for j, y in enumerate(b):
+                n[i + 1, j + 1] = n[i, j] + 1 if x == y else max(n[i, j + 1], n[i + 1, j])
+        return n[-1, -1]
+
+    assert len(got) == len(pages)
+    decided = 0
+    for k, (host, _, page_id, _) in enumerate(pages):
+        lines = [x for x, _ in lined[k]]
+        near = [[x for x, _ in lined[j]] for j in (k - 1, k + 1) if 0 <= j < len(pages) and pages[j][0] == host]
+        for theirs in near:
+            assert len(extraction.shared_places(lines, theirs)) == common(lines, theirs)
+        stay, shared, _ = extraction.decide(lines, [m for _, m in lined[k]], near)
+        assert got[page_id] == ("\n".join(lines[i] for i in stay), shared)
+        decided += shared
+    assert decided > 50
+
+
+@pytest.mark.parametrize(
+    "html,want",
+    [
+        ('<main class="content with-sidebar"><p>a</p></main><div class="sidebar">x</div>', "a"),
+        ('<article><div class="article-header"><h1>T</h1></div><p>a</p><div class="article-comments">x</div></article>', "T\na"),
+        ("<body><aside><p>x<article><p>a</article></body>", "a"),
+        ("<article><div><aside>x</div></aside>y</article>", "y"),
+        ("<article><p>a<textarea>b<p>c</article>", "a\nb\nc"),
+        ('<article><p>a</p><p class="x>b</p><p>c</p></article>', "a\nb\nc"),
+        ('<article><p title="x > y">a</p></article>', "a"),
+        ("<article>a<script>var x = '<p>';", "a"),
+        ('<section class="comments"><article class="comment"><p>x</article></section><article><p>a</article>', "a"),
+        ("<article><header><h1>T</h1></header><p>a<footer>x</footer></article>", "T\na"),
+        ("<p>a<p>b", "a\nb"),
+        ("<article>" + "<p>w" * 30_000 + "</article>", "\n".join(["w"] * 30_000)),
+        ('<p a="' * 3000, ""),
+    ],
+)
+def test_page_structure(html, want):
+    lines, kinds = zip(*extraction.lines_of(html)) if extraction.lines_of(html) else ([], [])
+    stay, *_ = extraction.decide(list(lines), list(kinds), [])
+    assert "\n".join(lines[i] for i in stay) == want
+
+
 def test_longest_common_subsequence():
     r = random.Random(6)
     for _ in range(200):
