@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from paneloom.llm import jaccard, mixing, packing, quality, substrings
-from paneloom.plans.shared import checked_broadcast, materialize
+from paneloom.plans.shared import checked_broadcast, clear, mark, materialize
 
 
 def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -22,7 +22,7 @@ def keep_first_of_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str)
     """Of each component of documents with 5-word shingles of Jaccard similarity 0.8 or more, the one of smallest id."""
     linked = jaccard.link_documents(docs, n=5, threshold=(80, 100))
     others = materialize(linked.where("doc_id <> component_id").select("doc_id").distinct(), "others")
-    return docs.join(checked_broadcast(others, 16), "doc_id", "left_anti").select(*docs.columns)
+    return docs.join(checked_broadcast(others), "doc_id", "left_anti").select(*docs.columns)
 
 
 def remove_repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -57,8 +57,10 @@ ORACLE_SQL = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The stages one after another over all of `documents`, each written to the shared folder and read again."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    since = mark()
     for i, (_, stage) in enumerate(STAGES):
         docs = stage(spark, docs, sf_dir)
         if i + 1 < len(STAGES):
             docs = materialize(docs, f"stage{i + 1}")
+            clear(spark, since, keep=docs)
     return docs
