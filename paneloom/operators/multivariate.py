@@ -75,3 +75,10 @@ def multivariate(df: DataFrame, variables: Sequence[str], weight: str | None = N
 def as_matrix(long: DataFrame, statistic: str, names: Sequence[str], by: Sequence[str] = ()) -> DataFrame:
     """A row for each variable ('factor') with a column for each other."""
     return long.groupBy(*by, F.col("i").alias("factor")).pivot("j", list(names)).agg(F.first(statistic))
+
+
+def multivariate_steps(df: DataFrame, variables: Sequence[str], pos: str, step: int | Sequence[int], weight: str | None = None, shifts: Sequence[float] | None = None) -> DataFrame:
+    """Cross moments of each clump of consecutive rows (see `stats.clump`): clump, i, j and the statistics."""
+    from .stats import clump
+
+    return multivariate(df.withColumn("clump", clump(pos, step)), variables, weight, ["clump"], shifts)

@@ -8,7 +8,6 @@ from __future__ import annotations
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from paneloom.functions.missing import known, valid
@@ -25,21 +24,35 @@ def percentile_name(q: float) -> str:
 def _quantiles(base: DataFrame, by: Sequence[str], quantiles: Sequence[float]) -> DataFrame:
     """base: by, _x, _w (valid). Equal values are one step of their summed weight, as interpolation between them is flat."""
     steps = base.groupBy(*by, "_x").agg(F.sum("_w").alias("_w"), F.count(F.lit(1)).alias("_n"), F.min("_w").alias("_w1"))
+    return _of_steps(steps, by, quantiles)
+
+
+def _of_steps(steps: DataFrame, by: Sequence[str], quantiles: Sequence[float]) -> DataFrame:
+    """steps: by, _x (once each), _w, _n rows, _w1 weight of its first row. Once cumulative weights are known a quantile is
+    four extremes of the steps before and after it, so a group needs no order and no task of its own."""
     cum = running(steps, by, [F.col("_x")], {"_c": F.col("_w")})
-    totals = base.groupBy(*by).agg(F.sum("_w").alias("_tw"), F.count(F.lit(1)).alias("_tn"))
+    totals = steps.groupBy(*by).agg(F.sum("_w").alias("_tw"), F.sum("_n").alias("_tn"))
     joined = _on(cum, totals, by)
-    w = W.partitionBy(*by).orderBy("_x")
-    # the span of a value's own rows is flat; from the value before it rises over this value's first row
-    placed = joined.withColumns({"_px": F.lag("_x").over(w), "_pc": F.coalesce(F.lag("_c").over(w), F.lit(0.0))})
     out = []
-    for q in quantiles:
+    for i, q in enumerate(quantiles):
+        t = F.lit(float(q)) * F.col("_tw") + F.col("_tw") / F.col("_tn") / 2
+        up, down = F.when(F.col("_c") >= t, F.col("_x")), F.when(F.col("_c") < t, F.col("_x"))
+        out += [F.min(up).alias(f"_x{i}"), F.min_by("_w1", up).alias(f"_w{i}"), F.max(down).alias(f"_p{i}"), F.max(F.when(F.col("_c") < t, F.col("_c"))).alias(f"_c{i}")]
+    got = joined.groupBy(*by).agg(F.first("_tn").alias("_tn"), F.first("_tw").alias("_tw"), F.max("_x").alias("_top"), *out)
+    columns = []
+    for i, q in enumerate(quantiles):
+        # the span of a value's own rows is flat; from the value before it rises over this value's first row
         t = F.lit(float(q)) * F.col("_tw") + F.col("_tw") / F.col("_tn") / 2
-        rise = (t - F.col("_pc")) / F.col("_w1")
-        value = F.when(F.col("_px").isNull() | (rise >= 1), F.col("_x")).otherwise(F.col("_px") + (F.col("_x") - F.col("_px")) * rise)
-        hit = (F.col("_c") >= t) & ((F.col("_pc") < t) | F.col("_px").isNull())
-        out += [F.max(F.when(hit, value)).alias(f"_q{len(out)}"), F.max("_x").alias(f"_q{len(out) + 1}")]
-    got = placed.groupBy(*by).agg(F.first("_tn").alias("_tn"), *out)
-    return got.select(*by, "_tn", *[F.coalesce(f"_q{2 * i}", f"_q{2 * i + 1}").alias(percentile_name(q)) for i, q in enumerate(quantiles)])
+        x, before = F.col(f"_x{i}"), F.col(f"_p{i}")
+        rise = (t - F.col(f"_c{i}")) / F.col(f"_w{i}")
+        columns.append(F.coalesce(F.when(before.isNull() | (rise >= 1), x).otherwise(before + (x - before) * rise), F.col("_top")).alias(percentile_name(q)))
+    return got.select(*by, "_tn", *columns)
+
+
+def quantiles_of_counts(counts: DataFrame, value: str, n: str, by: Sequence[str] = (), quantiles: Sequence[float] = PERCENTILES) -> DataFrame:
+    """Interpolated quantiles of values that each occur n times: what an exact incremental state gives."""
+    steps = counts.select(*by, known(value).alias("_x"), F.col(n).cast("double").alias("_w"), F.col(n).alias("_n"), F.lit(1.0).alias("_w1"))
+    return _of_steps(steps, by, quantiles).drop("_tn")
 
 
 def _on(left: DataFrame, right: DataFrame, by: Sequence[str]) -> DataFrame:

@@ -109,15 +109,31 @@ def regress(df: DataFrame, response: str, predictors: Sequence[str], weight: str
     return out.select(*columns)
 
 
-def errors(df: DataFrame, fits: DataFrame, predictors: Sequence[str], residual_squares: float, *, constant: bool = True, name: str = "error") -> DataFrame:
-    """Per-row sqrt(x' covariance x) of an ungrouped fit, from its (small) inverse matrix as literals."""
-    inverse = fits.select("inverse").first()[0]
+def errors(df: DataFrame, response: str, predictors: Sequence[str], weight: str | None = None, *, constant: bool = True, by: Sequence[str] = (), name: str = "error") -> DataFrame:
+    """`df` with the error of each row's forecast, sqrt(x' C x), C being the inverse of its group's moments times its residual
+    variance. A missing predictor adds nothing."""
+    fits = fit(df, response, predictors, weight, constant=constant, by=by)
+    spread = regress(df, response, predictors, weight, constant=constant, by=by).select(*by, "residual_squares")
+    keyed = [t.withColumnsRenamed({b: f"_k{i}" for i, b in enumerate(by)}) for t in (fits.select(*by, "inverse"), spread)]
+    held = keyed[0].join(keyed[1].withColumnsRenamed({f"_k{i}": f"_l{i}" for i in range(len(by))}), _same("_k", "_l", len(by)))
+    held = checked_broadcast(materialize(held.select(*[f"_k{i}" for i in range(len(by))], "inverse", "residual_squares"), "errors"))
+    same = F.lit(True)
+    for i, b in enumerate(by):
+        same = same & F.col(b).eqNullSafe(F.col(f"_k{i}"))
     x = [*([F.lit(1.0)] if constant else []), *[F.coalesce(known(p), F.lit(0.0)) for p in predictors]]
     m, total = len(x), F.lit(0.0)
     for i in range(m):
         for j in range(m):
-            total = total + x[i] * x[j] * F.lit(float(inverse[i * m + j]) * residual_squares)
-    return df.withColumn(name, F.sqrt(total))
+            total = total + x[i] * x[j] * F.col("inverse")[i * m + j]
+    joined = df.join(held, same, "left")
+    return joined.withColumn(name, F.sqrt(total * F.col("residual_squares"))).drop("inverse", "residual_squares", *[f"_k{i}" for i in range(len(by))])
+
+
+def _same(left: str, right: str, n: int):
+    same = F.lit(True)
+    for i in range(n):
+        same = same & F.col(f"{left}{i}").eqNullSafe(F.col(f"{right}{i}"))
+    return same
 
 
 def loop(df: DataFrame, responses: Sequence[str], predictors: Sequence[str], weight: str | None = None, **options) -> DataFrame:

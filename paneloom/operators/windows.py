@@ -58,13 +58,11 @@ def in_windows(df: DataFrame, pos: str, n: int | Column, size: int, offset: int
 
 
 def size_offset(n: int, size: float, overlap: float = 1.0, fit_edges: bool = False) -> tuple[int, int]:
-    """A size of at most 1 is a share of the rows; windows start every size / overlap rows; `fit_edges` grows the size
-    until the windows reach the last row."""
-    size = int(round(size * n)) if size <= 1 else int(size)
-    offset = max(int(round(size / overlap)), 1)
-    while fit_edges and size < n and (n - size) % offset:
-        size += 1
-    return size, offset
+    """Rows of a window, and from one start to the next. A size of at most 1 is a share of the n rows; `overlap` windows
+    cover a row; with `fit_edges` a window takes in the rows that would remain after the last one."""
+    rows = max(int(size) if size > 1 else round(size * n), 0)
+    every = max(1, round(rows / overlap))
+    return rows + (n - rows) % every * (fit_edges and rows < n), every
 
 
 def rolling_stats(df: DataFrame, pos: str, aggregates: Sequence[Column], *, size: float, overlap: float = 1.0, offset: int | None = None, fit_edges: bool = False, n: int | None = None) -> DataFrame:

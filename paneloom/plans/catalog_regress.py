@@ -135,3 +135,27 @@ def r10(spark, d):
 def r10p(spark, d):
     got = regress.panel(table(spark, d, "lineitem"), "l_extendedprice", ["l_quantity", "l_tax"])
     return got.select("n_predictors", F.round("l_quantity", 4).alias("l_quantity"), F.round("l_tax", 3).alias("l_tax"))
+
+
+@query("g8_pair_sums", _pairs("round({mean} * count(CASE WHEN {both} THEN 1 END), 3) AS sum, round(sum(CASE WHEN {both} THEN w END) / count(CASE WHEN {both} THEN 1 END), 9) AS mean_wt, round(pow(sum(CASE WHEN {both} THEN w END), 2) / sum(CASE WHEN {both} THEN w * w END), 5) AS d_count, count(CASE WHEN {both} THEN 1 END) AS count", "g"))
+def g8(spark, d):
+    got = multivariate.multivariate(_gaps(spark, d), ["x0", "x1", "x2"], "w", ["g"])
+    return got.select("g", "i", "j", F.round("sum", 3).alias("sum"), F.round("mean_wt", 9).alias("mean_wt"), F.round("d_count", 5).alias("d_count"), "count")
+
+
+@query("g10_moments_by_step", "SELECT event_id // 300 AS clump, count(*) AS count, round(covar_pop(value, user_id), 5) AS variance, round(corr(value, user_id), 8) AS correlation FROM events GROUP BY 1")
+def g10(spark, d):
+    got = multivariate.multivariate_steps(table(spark, d, "events"), ["value", "user_id"], "event_id", 300, shifts=[50.0, 500.0])
+    return got.where("i = 'value' AND j = 'user_id'").select("clump", "count", F.round("variance", 5).alias("variance"), F.round("correlation", 8).alias("correlation"))
+
+
+@query(
+    "r6_errors",
+    """WITH b AS (SELECT l_returnflag AS g, l_quantity AS x, l_extendedprice AS y FROM lineitem), m AS (SELECT g, avg(x) AS mx, avg(y) AS my, regr_slope(y, x) AS beta, var_pop(x) AS vx FROM b GROUP BY g),
+r AS (SELECT g, avg((y - my - beta * (x - mx)) * (y - my - beta * (x - mx))) AS rs FROM b JOIN m USING (g) GROUP BY g)
+SELECT g, count(*) AS n, round(avg(sqrt(rs * (1 + (x - mx) * (x - mx) / vx))), 3) AS mean_error, round(max(sqrt(rs * (1 + (x - mx) * (x - mx) / vx))), 3) AS largest FROM b JOIN m USING (g) JOIN r USING (g) GROUP BY g""",
+)
+def r6(spark, d):
+    rows = table(spark, d, "lineitem").select(F.col("l_returnflag").alias("g"), F.col("l_quantity").alias("x"), F.col("l_extendedprice").alias("y"))
+    got = regress.errors(rows, "y", ["x"], by=["g"])
+    return got.groupBy("g").agg(F.count(F.lit(1)).alias("n"), F.round(F.avg("error"), 3).alias("mean_error"), F.round(F.max("error"), 3).alias("largest"))

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from paneloom.operators import quantiles
 from paneloom.streaming import moments
 
 from .registry import query
@@ -71,6 +72,13 @@ def st5(spark, d):
     return got.select("event_type", F.length("sketch").alias("bytes"))
 
 
+@query("st5_exact_quantiles", "SELECT event_type, count(*) AS n, round(median(value), 9) AS median FROM events GROUP BY 1")
+def st5_exact(spark, d):
+    counts = moments.run_to_end(moments.value_counts(_events(spark, d), "value", ["event_type"]))
+    got = quantiles.quantiles_of_counts(counts, "value", "n", ["event_type"], [0.5])
+    return got.join(counts.groupBy("event_type").agg(F.sum("n").alias("n")), "event_type").select("event_type", "n", F.round("median", 9).alias("median"))
+
+
 @query("st6_dedup", "SELECT count(*) AS n, count(DISTINCT event_id) AS keys FROM events")
 def st6(spark, d):
     got = moments.run_to_end(moments.first_of_key(_events(spark, d), ["event_id"], "ts", "40 days").select("event_id"), "append")

@@ -15,8 +15,8 @@ from pyspark.sql import functions as F
 from .shared import checked_broadcast, materialize
 
 _LOW = (1 << 33) - 1
-#: Estimated bytes up to which one window (per group) is used.
-ONE_WINDOW_BYTES = 2 << 30
+#: Estimated bytes up to which one window (per group) is used: what one task sorts in memory.
+ONE_WINDOW_BYTES = 64 << 20
 
 
 def estimated_bytes(df: DataFrame) -> int:
@@ -60,3 +60,25 @@ def running(df: DataFrame, by: Sequence[str], order: Sequence[Column], sums: dic
     inside = W.partitionBy("_slice", *by).orderBy(*order).rowsBetween(W.unboundedPreceding, 0)
     out = joined.withColumns({name: F.sum(f"_v_{name}").over(inside) + F.col(f"_b_{name}") for name in sums})
     return out.select(*df.columns, *sums)
+
+
+def running_last(df: DataFrame, by: Sequence[str], order: Sequence[str], value: str, *, distributed: bool | None = None) -> DataFrame:
+    """`df` with `value` filled by the last one that is not NULL in the group's rows up to this one in the order given."""
+    if distributed is None:
+        distributed = estimated_bytes(df) > ONE_WINDOW_BYTES
+    if not distributed:
+        return df.withColumn(value, F.last(value, ignorenulls=True).over(W.partitionBy(*by).orderBy(*order).rowsBetween(W.unboundedPreceding, 0)))
+    keys = [F.col(c).asc_nulls_first() for c in (*by, *order)]
+    sliced = materialize(df.repartitionByRange(*keys).withColumn("_slice", F.spark_partition_id()), "sliced")
+    lasts = sliced.where(F.col(value).isNotNull()).groupBy(*by, "_slice").agg(F.max_by(value, F.struct(*order)).alias("_last"))
+    # a group spans consecutive ranges: each is given the last value before it
+    empty = sliced.select(*by, "_slice", F.lit(None).cast(df.schema[value].dataType).alias("_last")).distinct()
+    slices = materialize(lasts.unionByName(empty).groupBy(*by, "_slice").agg(F.first("_last", ignorenulls=True).alias("_last")), "lasts")
+    before = W.partitionBy(*by).orderBy("_slice").rowsBetween(W.unboundedPreceding, -1)
+    carried = slices.select(F.col("_slice").alias("_s"), *[F.col(b).alias(f"_k{i}") for i, b in enumerate(by)], F.last("_last", ignorenulls=True).over(before).alias("_before"))
+    same = F.col("_slice") == F.col("_s")
+    for i, b in enumerate(by):
+        same = same & F.col(b).eqNullSafe(F.col(f"_k{i}"))
+    joined = sliced.join(checked_broadcast(materialize(carried, "carried")), same, "left")
+    inside = W.partitionBy("_slice", *by).orderBy(*order).rowsBetween(W.unboundedPreceding, 0)
+    return joined.withColumn(value, F.coalesce(F.last(value, ignorenulls=True).over(inside), F.col("_before"))).select(*df.columns)

@@ -4,6 +4,9 @@ from __future__ import annotations
 
 from collections.abc import Iterable, Sequence
 
+import numpy as np
+import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -76,14 +79,26 @@ def statistics_table(df: DataFrame, *, label: str = "label", include: Sequence[s
 
 def save_arrays(spark: SparkSession, arrays: Iterable[Sequence[float]], path: str, select: Sequence[bool] | None = None) -> None:
     """Arrays in sequence as Parquet, one row for each value; `select` keeps the same places of each."""
-    rows = [(i, j, float(v)) for i, a in enumerate(arrays) for j, v in enumerate(x for k, x in enumerate(a) if select is None or select[k])]
+    frames = []
+    for i, a in enumerate(arrays):
+        values = np.asarray(a, np.float64)
+        values = values if select is None else values[np.asarray(select, bool)]
+        frames.append(pd.DataFrame({"array_index": np.full(len(values), i, np.int32), "place": np.arange(len(values)), "value": values}))
+    rows = pd.concat(frames) if frames else []
     spark.createDataFrame(rows, "array_index int, place long, value double").write.partitionBy("array_index").parquet(path)
 
 
-def load_arrays(spark: SparkSession, path: str, *, start: int = 0, end: int | None = None) -> DataFrame:
-    """array_index, place, value of the arrays in [start, end); partitions outside are not read."""
+def load_arrays(spark: SparkSession, path: str, *, start: int = 0, end: int | None = None, arrays: Sequence[int] | None = None, select: Sequence[bool] | None = None) -> DataFrame:
+    """array_index, place, value of the arrays in [start, end), or of those listed; other partitions are not read. `select`
+    keeps the same places of each and numbers them anew."""
     df = spark.read.schema("place long, value double, array_index int").parquet(path).where(F.col("array_index") >= start)
-    return df if end is None else df.where(F.col("array_index") < end)
+    df = df if end is None else df.where(F.col("array_index") < end)
+    df = df if arrays is None else df.where(F.col("array_index").isin(list(arrays)))
+    if select is None:
+        return df
+    places = np.flatnonzero(np.asarray(select, bool))
+    kept = spark.createDataFrame(pd.DataFrame({"place": places, "_new": np.arange(len(places))}), "place long, _new long")
+    return df.join(kept, "place").select(F.col("_new").alias("place"), "value", "array_index")
 
 
 def write_store(df: DataFrame, path: str, table: str = "tbl") -> None:
@@ -93,3 +108,38 @@ def write_store(df: DataFrame, path: str, table: str = "tbl") -> None:
 
 def read_store(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.parquet(path)
+
+
+def _tables_of(batches: Iterable) -> Iterable:
+    """Rows of the key-value tables in SQLite files; values that are pickled may hold plain data only."""
+    import io
+    import pickle
+    import sqlite3
+
+    class Plain(pickle.Unpickler):
+        def find_class(self, module, name):
+            raise pickle.UnpicklingError(f"{module}.{name} is not plain data")
+
+    def text(v):
+        if isinstance(v, bytes):
+            v = Plain(io.BytesIO(v)).load()
+        return None if v is None else str(v)
+
+    for b in batches:
+        for path, content in zip(b.column(0).to_pylist(), b.column(1)):
+            base = sqlite3.connect(":memory:")
+            base.deserialize(content.as_py())
+            for (name,) in base.execute("SELECT name FROM sqlite_master WHERE type = 'table' ORDER BY name").fetchall():
+                quoted = '"' + name.replace('"', '""') + '"'
+                if {"key", "value"} <= {r[1] for r in base.execute(f"PRAGMA table_info({quoted})")}:
+                    cursor = base.execute(f"SELECT key, value FROM {quoted} ORDER BY rowid")
+                    while rows := cursor.fetchmany(10_000):
+                        yield pa.RecordBatch.from_arrays([pa.array([path] * len(rows)), pa.array([name] * len(rows)), pa.array([str(k) for k, _ in rows]), pa.array([text(v) for _, v in rows], pa.string())], names=["path", "tbl", "key", "value"])
+
+
+def read_sqlite_store(spark: SparkSession, path: str, table: str | None = None) -> DataFrame:
+    """path, tbl, key, value of the key-value tables in the SQLite file or files at `path` (a task for each file, through
+    Spark's own reader, so they may be in any store)."""
+    files = spark.read.format("binaryFile").load(path).select("path", "content")
+    rows = files.mapInArrow(_tables_of, "path string, tbl string, key string, value string")
+    return rows if table is None else rows.where(F.col("tbl") == table)

@@ -67,6 +67,12 @@ def quantile_sketches(stream: DataFrame, x: str, by: Sequence[str] = ()) -> Data
     return stream.where(known(x).isNotNull()).groupBy(*by).agg(F.kll_sketch_agg_double(known(x)).alias("sketch"))
 
 
+def value_counts(stream: DataFrame, x: str, by: Sequence[str] = ()) -> DataFrame:
+    """The exact state of incremental quantiles: each value and how often it came, a row of state for each (see
+    `quantiles.quantiles_of_counts`)."""
+    return stream.where(known(x).isNotNull()).groupBy(*by, known(x).alias(x)).agg(F.count(F.lit(1)).alias("n"))
+
+
 def run_to_end(stream: DataFrame, mode: str = "complete", *, path: str | None = None) -> DataFrame:
     """All that is available now, as a batch table. Complete results go to memory; appended ones may go to Parquet."""
     import uuid

@@ -1,6 +1,9 @@
 """Text tables, sinks, stores, strings on the driver, calendars, series and streams."""
 
 import gzip
+import pickle
+import random
+import sqlite3
 
 import pytest
 from pyspark.sql import functions as F
@@ -73,18 +76,30 @@ def test_arrays_and_store(spark, tmp_path):
     sinks.save_arrays(spark, [[1, 2, 3], [4, 5, 6]], str(tmp_path / "arr"), [True, False, True])
     got = sinks.load_arrays(spark, str(tmp_path / "arr"), start=1).orderBy("place").collect()
     assert [(r["array_index"], r["value"]) for r in got] == [(1, 4.0), (1, 6.0)]
+    got = sinks.load_arrays(spark, str(tmp_path / "arr"), arrays=[0], select=[False, True]).collect()
+    assert [(r["array_index"], r["place"], r["value"]) for r in got] == [(0, 0, 3.0)]
+    base = sqlite3.connect(tmp_path / "kv.sqlite")
+    for name in ("one", "t wo"):
+        base.execute(f'CREATE TABLE "{name}" (key TEXT PRIMARY KEY, value BLOB)')
+        base.executemany(f'INSERT INTO "{name}" VALUES (?, ?)', [("a", pickle.dumps("x")), ("b", "plain"), ("c", pickle.dumps(7)), ("d", None)])
+    base.execute("CREATE TABLE other (n INT)")
+    base.commit()
+    base.close()
+    rows = sinks.read_sqlite_store(spark, str(tmp_path / "kv.sqlite"))
+    assert {r["tbl"] for r in rows.collect()} == {"one", "t wo"}
+    assert {r["key"]: r["value"] for r in sinks.read_sqlite_store(spark, str(tmp_path / "kv.sqlite"), "t wo").collect()} == {"a": "x", "b": "plain", "c": "7", "d": None}
     kv = spark.createDataFrame([("t", "a", "1"), ("u", "a", "2")], "tbl string, key string, value string")
     sinks.write_store(kv, str(tmp_path / "kv"))
     assert sets.invert(sinks.read_store(spark, str(tmp_path / "kv"))).first()["tbl"] == "u"
 
 
 def test_strings_on_the_driver(spark):
-    assert strings.args2dict(["level=INFO", "layers=2", "rate=0.5", "age=Deepak=12", "l=a,1"]) == {"level": "INFO", "layers": 2, "rate": 0.5, "age": {"Deepak": 12}, "l": ["a", 1]}
+    assert strings.args2dict(["mode=fast", "depth=7", "share=0.25", "limit=rows=90", "l=a,1"]) == {"mode": "fast", "depth": 7, "share": 0.25, "limit": {"rows": 90}, "l": ["a", 1]}
     assert strings.args2listdict(["x", "k=1"]) == (["x"], {"k": 1})
     assert strings.lines2dict(["{'a':", " [1, 2]}"]) == {"a": [1, 2]}
     with pytest.raises(ValueError):
         strings.lines2dict(["__import__('os')"])
-    assert strings.fmt_length("($%6.3fM)") == 10 and strings.fmt_length("%s") is None
+    assert strings.fmt_length("<%8.2fkg>") == 12 and strings.fmt_length("%s") is None
     assert strings.fmt_matrix([[1.0]], "%4.1f", ["a"]) == "a  1.0"
     df = spark.createDataFrame([("Ærø Café_Zürich--x",)], "s string")
     assert df.select(strings.slugify_any("s")).first()[0] == "r-cafe-zurich-x"
@@ -113,6 +128,10 @@ def test_rolling_windows(spark):
     got = windows.in_windows(df, "pos", 5, 3).groupBy("r", "window").agg(F.avg("v")).orderBy("r", "window").collect()
     assert [r[2] for r in got] == [1.0, 2.0, 3.0, 6.0, 7.0, 8.0]
     assert windows.size_offset(100, 0.1, 2) == (10, 5)
+    for n in range(1, 30):
+        for size in range(2, n + 1):
+            grown, every = windows.size_offset(n, size, 2, True)
+            assert every == max(1, round(size / 2)) and size <= grown <= n and (grown == n or (n - grown) % every == 0) and grown < size + every
     with pytest.raises(ValueError):
         windows.in_windows(df, "pos", 5, 0)
 
@@ -120,8 +139,27 @@ def test_rolling_windows(spark):
 def test_asof_ties_and_edges(spark):
     left = spark.createDataFrame([(5, 0), (1, 1), (9, 2)], "k long, lp long")
     right = spark.createDataFrame([(3, 0, "a"), (5, 1, "b"), (5, 2, "c"), (8, 3, "d")], "k long, rp long, v string")
-    for got in (joins.ranged_asof_join(left, right, "k", ["v"], right_pos="rp", ranges=3), joins.asof_join(left.withColumn("g", F.lit(1)), right.withColumn("g", F.lit(1)), "k", ["v"], by=["g"], right_pos="rp")):
-        assert {r["lp"]: r["v"] for r in got.collect()} == {0: "c", 2: "d"}
+    one = [df.withColumn("g", F.lit(1)) for df in (left, right)]
+    for whole in (True, False):
+        for got in (joins.asof_join(left, right, "k", ["v"], right_pos="rp", distributed=whole), joins.asof_join(*one, "k", ["v"], by=["g"], right_pos="rp", distributed=whole)):
+            assert {r["lp"]: r["v"] for r in got.collect()} == {0: "c", 2: "d"}
+
+
+def test_asof_of_a_hot_group_over_ranges(spark):
+    r = random.Random(3)
+    left = [(None if g == 2 else g, r.randrange(400), i) for i, g in enumerate(r.choices([0, 1, 2], [8, 1, 1], k=600))]
+    right = [(None if g == 2 else g, r.randrange(400), i, f"v{i}") for i, g in enumerate(r.choices([0, 1, 2], [8, 1, 1], k=300))]
+    a, b = spark.createDataFrame(left, "g int, k long, lp long").repartition(3), spark.createDataFrame(right, "g int, k long, rp long, v string").repartition(3)
+    for by in (["g"], []):
+        want = {}
+        for g, k, i in left:
+            before = [x for x in right if x[1] <= k and (not by or x[0] == g)]
+            if before:
+                want[i] = max(before, key=lambda x: (x[1], x[2]))[3]
+        drop = [] if by else ["g"]
+        for whole in (True, False):
+            got = joins.asof_join(a.drop(*drop), b.drop(*drop), "k", ["v"], by=by, right_pos="rp", distributed=whole)
+            assert {x["lp"]: x["v"] for x in got.collect()} == want
 
 
 def test_intervals_touching(spark):
