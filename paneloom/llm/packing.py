@@ -13,7 +13,8 @@ of its open bins (at most one sequence for each class, about `capacity` classes)
 Token ids are those of the `tokenizers` file, by tokenizers itself. Single spaces between other characters are the only
 places where texts are split before encoding (the pre-tokenizer never joins across them). The pieces that a batch has and
 the worker does not remember are encoded many in one call, a line for each: a line end between other characters and a
-space is a token by itself. Pieces of up to LONGEST characters are remembered, up to HELD bytes.
+space is a token by itself. Pieces of up to LONGEST characters that come a second time are remembered, up to HELD bytes:
+most words of a language come once, and a bitmap of hashes tells them apart.
 
 Defined results: a null text counts as empty, an empty text is the one end token; a null doc_id is kept as null; repeated
 rows are packed as often as they occur; an empty table gives no rows; extra columns are ignored.
@@ -48,7 +49,9 @@ class Encoder:
     """texts -> their token ids as little-endian unsigned 32-bit bytes."""
 
     #: Bytes of remembered pieces and their ids (with 150 for the objects of each), and the longest piece remembered.
-    HELD, LONGEST = 256 << 20, 64
+    HELD, LONGEST = 100 << 20, 64
+    #: Bits of the bitmap of pieces seen, 8 MB; two pieces of one bit only make one remembered early.
+    SEEN_BITS = 26
     #: Pieces encoded as one text.
     LINES = 2000
 
@@ -66,6 +69,18 @@ class Encoder:
         self._first: dict[str, bytes] = {}
         self._after: dict[str, bytes] = {}
         self._bytes = 0
+        self._seen = bytearray(1 << (self.SEEN_BITS - 3))
+
+    def _passing(self, pieces: list[str]) -> list[str]:
+        """Those that are not to be remembered: too long, or seen for the first time."""
+        import numpy as np
+
+        h = np.fromiter(map(hash, pieces), np.int64, len(pieces)) & ((1 << self.SEEN_BITS) - 1)
+        seen = np.frombuffer(self._seen, np.uint8)
+        bit = np.left_shift(1, h & 7).astype(np.uint8)
+        again = seen[h >> 3] & bit
+        np.bitwise_or.at(seen, h >> 3, bit)
+        return [x for x, known in zip(pieces, again.tolist()) if not known or len(x) > self.LONGEST]
 
     def _ids_of(self, s: str) -> list[int]:
         return self._encode([s], add_special_tokens=False)[0].ids
@@ -104,9 +119,8 @@ class Encoder:
         self._learn(new_after, " ", self._after)
         out = [self._first[f] + b"".join(map(self._after.__getitem__, rest)) for f, rest in zip(firsts, split)]
         for held, new in ((self._first, new_first), (self._after, new_after)):
-            for x in new:
-                if len(x) > self.LONGEST:
-                    self._bytes -= len(x) + len(held.pop(x)) + 150
+            for x in self._passing(new):
+                self._bytes -= len(x) + len(held.pop(x)) + 150
         return out
 
 
