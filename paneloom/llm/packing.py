@@ -11,10 +11,11 @@ There is no shuffle: the scan's partitions are packed as they are read, so no ke
 of its open bins (at most one sequence for each class, about `capacity` classes) and one batch of documents.
 
 Token ids are those of the `tokenizers` file, by tokenizers itself. Single spaces between other characters are the only
-places where texts are split before encoding (the pre-tokenizer never joins across them). The pieces that a batch has and
-the worker does not remember are encoded many in one call, a line for each: a line end between other characters and a
-space is a token by itself. Pieces of up to LONGEST characters that come a second time are remembered, up to HELD bytes:
-most words of a language come once, and a bitmap of hashes tells them apart.
+places where texts are split before encoding (the pre-tokenizer never joins across them); in texts without other runs of
+white space line ends are such places too, as a line end between other characters is a token by itself. For that reason
+the pieces that a batch has and the worker does not remember are encoded many in one call, a line for each. Pieces of up
+to LONGEST characters are remembered, up to HELD bytes; past 0.6 of them only those that come a second time: most words of
+a language come once, and a bitmap of hashes tells them apart.
 
 Defined results: a null text counts as empty, an empty text is the one end token; a null doc_id is kept as null; repeated
 rows are packed as often as they occur; an empty table gives no rows; extra columns are ignored.
@@ -53,7 +54,7 @@ class Encoder:
     #: Bits of the bitmap of pieces seen, 8 MB; two pieces of one bit only make one remembered early.
     SEEN_BITS = 26
     #: Pieces encoded as one text.
-    LINES = 2000
+    LINES = 300
 
     def __init__(self, path: str):
         import os
@@ -65,7 +66,8 @@ class Encoder:
         self._encode = getattr(tokenizer, "encode_batch_fast", tokenizer.encode_batch)
         end = self._ids_of("\n")
         # only if line ends are such tokens in this vocabulary
-        self._end = end[0] if len(end) == 1 and self._ids_of(" a\n b!\n c") == [x for t in (" a", "\n", " b!", "\n", " c") for x in self._ids_of(t)] else None
+        probe = (" a", "\n", " b!", "\n", "d", "\n", "e?", "\n", " c")
+        self._end = end[0] if len(end) == 1 and self._ids_of("".join(probe)) == [x for t in probe for x in self._ids_of(t)] else None
         self._first: dict[str, bytes] = {}
         self._after: dict[str, bytes] = {}
         self._bytes = 0
@@ -85,41 +87,65 @@ class Encoder:
     def _ids_of(self, s: str) -> list[int]:
         return self._encode([s], add_special_tokens=False)[0].ids
 
+    def _pieces(self, text: str) -> list[str]:
+        words = text.split()
+        if self._end is None or " ".join(words) != text.replace("\n", " "):
+            return text.split(" ") if not _WIDE.search(text) else _SINGLE.split(text)
+        return text.replace("\n", " \n").split(" ") if "\n" in text else words or [""]
+
     def _learn(self, pieces: list[str], space: str, held: dict[str, bytes]) -> None:
+        """Ids of pieces that follow `space`; those that begin with a line end follow that instead."""
         import numpy as np
 
-        plain = []
-        for piece in pieces:
-            # what has white space in it, or could hold a special token, is encoded by itself
-            if self._end is None or not space or len(piece) > self.LONGEST or "<|" in piece or piece.split() != [piece]:
-                held[piece] = np.array(self._ids_of(space + piece), dtype="<u4").tobytes()
-            else:
-                plain.append(piece)
-        for at in range(0, len(plain), self.LINES):
-            lines = plain[at : at + self.LINES]
-            ids = np.array(self._ids_of(space + ("\n" + space).join(lines)), dtype="<u4")
-            ends = np.flatnonzero(ids == self._end)
-            if len(ends) != len(lines) - 1:
-                raise ValueError("a line end is no token by itself")
-            ids, begin = ids.tobytes(), 0
-            for line, stop in zip(lines, [*ends.tolist(), len(ids) // 4]):
-                held[line] = ids[4 * begin : 4 * stop]
-                begin = stop + 1
+        others = pieces
+        if self._end is not None:
+            broken = [p for p in pieces if p[:1] == "\n"] if space else []
+            others = self._learn_lines(broken, [p[1:] for p in broken], "", self._end.to_bytes(4, "little"), held)
+            whole = [p for p in pieces if p[:1] != "\n"] if broken else pieces
+            others += self._learn_lines(whole, whole, space, b"", held)
+        alone = [p if p[:1] == "\n" and self._end is not None else space + p for p in others]
+        for piece, got in zip(others, self._encode(alone, add_special_tokens=False) if others else ()):
+            held[piece] = np.array(got.ids, dtype="<u4").tobytes()
         self._bytes += sum(map(len, pieces)) + sum(map(len, map(held.__getitem__, pieces))) + 150 * len(pieces)
 
+    def _learn_lines(self, pieces: list[str], words: list[str], space: str, before: bytes, held: dict[str, bytes]) -> list[str]:
+        """The words many in one call, a line for each. Returns what has white space in it, is empty or could hold a special
+        token: that is encoded by itself."""
+        import numpy as np
+
+        others: list[str] = []
+        for at in range(0, len(pieces), self.LINES):
+            keys, some = pieces[at : at + self.LINES], words[at : at + self.LINES]
+            text = space + ("\n" + space).join(some)
+            if "<|" in text or text.split() != some:
+                fit = ["<|" not in w and w.split() == [w] for w in some]
+                others += [k for k, ok in zip(keys, fit) if not ok]
+                keys, some = [k for k, ok in zip(keys, fit) if ok], [w for w, ok in zip(some, fit) if ok]
+                if not some:
+                    continue
+                text = space + ("\n" + space).join(some)
+            ids = np.array(self._ids_of(text), dtype="<u4")
+            ends = np.flatnonzero(ids == self._end) * 4
+            if len(ends) != len(some) - 1:
+                raise ValueError("a line end is no token by itself")
+            ids = ids.tobytes()
+            held.update(zip(keys, [before + ids[i:j] for i, j in zip([0, *(ends + 4).tolist()], [*ends.tolist(), len(ids)])]))
+        return others
+
     def __call__(self, texts: list[str]) -> list[bytes]:
         if self._bytes > self.HELD:
             self._first.clear()
             self._after.clear()
             self._bytes = 0
-        split = [_SINGLE.split(t) if _WIDE.search(t) else t.split(" ") for t in texts]
+        split = [*map(self._pieces, texts)]
         firsts = [x.pop(0) for x in split]
         new_first, new_after = list(set(firsts).difference(self._first)), list(set().union(*split).difference(self._after))
         self._learn(new_first, "", self._first)
         self._learn(new_after, " ", self._after)
         out = [self._first[f] + b"".join(map(self._after.__getitem__, rest)) for f, rest in zip(firsts, split)]
         for held, new in ((self._first, new_first), (self._after, new_after)):
-            for x in self._passing(new):
+            passing = self._passing(new)
+            for x in passing if self._bytes > self.HELD * 0.6 else filter(lambda x: len(x) > self.LONGEST, passing):
                 self._bytes -= len(x) + len(held.pop(x)) + 150
         return out
 
