@@ -23,3 +23,23 @@ def n_words(text: Column) -> Column:
 def worker_cache() -> dict:
     """A dict that lasts as long as the Python worker; functions sent by value have new globals in each task."""
     return sys.modules.setdefault("_paneloom_worker", types.ModuleType("_paneloom_worker")).__dict__
+
+
+def leave_cache() -> None:
+    """In a worker: free what another operator keeps there, also the C allocator's share of it."""
+    import ctypes
+
+    held = worker_cache()
+    kept = [k for k in held if isinstance(k, tuple)]
+    for k in kept:
+        del held[k]
+    if kept and hasattr(libc := ctypes.CDLL(None), "malloc_trim"):
+        libc.malloc_trim(0)
+
+
+def bounded_batches(spark: SparkSession, rows: int = 2000, size: str = "8m") -> None:
+    """Arrow batches of at most so many rows and bytes, for the whole session: JVM and worker each hold several of them for
+    each core, and at the default of 10,000 rows of text they are the largest part of a worker."""
+    if int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) > rows:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", rows)
+        spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", size)

@@ -45,6 +45,7 @@ from pyspark.sql import functions as F
 
 from paneloom.plans.shared import checked_broadcast, materialize
 
+from .common import bounded_batches, leave_cache
 from .graph import components
 
 _ODD = np.uint64(0x9E3779B97F4A7C15)
@@ -121,6 +122,7 @@ def _bitmap(u: np.ndarray) -> bytes:
 def _sets(batches: Iterator[pa.RecordBatch], n: int) -> Iterator[pa.RecordBatch]:
     from xxhash import xxh3_128_digest
 
+    leave_cache()
     for b in batches:
         sizes, d1, d2, maps = [], [], [], []
         for text in b.column(1):
@@ -226,6 +228,7 @@ def _verified(pairs: DataFrame, docs: DataFrame, n: int, num: int, den: int) ->
 
 def _classes(df: DataFrame, id_col: str, text_col: str, n: int) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
     """docs; their sets; pairs (smallest id, other id) of equal sets; docs with one row of each different set."""
+    bounded_batches(df.sparkSession)
     docs = df.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     sets = materialize(docs.mapInArrow(partial(_sets, n=n), "doc_id long, n int, d1 long, d2 long, bits binary"), "sets")
     known = sets.where((F.col("n") > 0) & F.col("doc_id").isNotNull())

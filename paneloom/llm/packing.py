@@ -32,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import worker_cache
+from .common import bounded_batches, worker_cache
 
 SCHEMA = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
 
@@ -87,6 +87,13 @@ class Encoder:
     def _ids_of(self, s: str) -> list[int]:
         return self._encode([s], add_special_tokens=False)[0].ids
 
+    def _forget(self) -> None:
+        """Half of HELD at most stays: what came early, among it the frequent."""
+        while self._bytes > self.HELD // 2:
+            for held in (self._first, self._after):
+                for x in list(held)[len(held) // 2 :]:
+                    self._bytes -= len(x) + len(held.pop(x)) + 150
+
     def _pieces(self, text: str) -> list[str]:
         words = text.split()
         if self._end is None or " ".join(words) != text.replace("\n", " "):
@@ -134,9 +141,7 @@ class Encoder:
 
     def __call__(self, texts: list[str]) -> list[bytes]:
         if self._bytes > self.HELD:
-            self._first.clear()
-            self._after.clear()
-            self._bytes = 0
+            self._forget()
         split = [*map(self._pieces, texts)]
         firsts = [x.pop(0) for x in split]
         new_first, new_after = list(set(firsts).difference(self._first)), list(set().union(*split).difference(self._after))
@@ -240,6 +245,7 @@ def _pack(batches: Iterator[pa.RecordBatch], path: str, capacity: int, tolerance
 
 def pack_documents(df: DataFrame, id_col: str | Column = "doc_id", text_col: str | Column = "text", *, capacity: int = 1024, tolerance: float = 1 / 128, end_id: int = 0, tokenizer: str | None = None) -> DataFrame:
     """Pieces of all documents, each in one sequence of at most `capacity` tokens."""
+    bounded_batches(df.sparkSession)
     tokenizer = tokenizer or default_tokenizer()
     id_col, text_col = (F.col(c) if isinstance(c, str) else c for c in (id_col, text_col))
     rows = df.select(id_col.cast("long").alias("doc_id"), text_col.cast("string").alias("text"))

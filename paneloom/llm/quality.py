@@ -30,6 +30,8 @@ from pyspark.sql import types as T
 
 from paneloom.plans.shared import checked_broadcast, materialize
 
+from .common import bounded_batches, leave_cache
+
 N_FEATURES = 16
 #: p_quality from which a document is kept.
 THRESHOLD = 0.5
@@ -65,12 +67,14 @@ def features(text: str) -> list[float]:
 
 
 def _featured(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    leave_cache()
     for b in batches:
         rows = [features(t or "") for t in b.column("text").to_pylist()]
         yield pa.RecordBatch.from_arrays([b.column("y").cast(pa.float64()), pa.array(rows, pa.list_(pa.float64()))], names=["y", "x"])
 
 
 def _scored(batches: Iterator[pa.RecordBatch], text_at: int, model: tuple, names: list[str]) -> Iterator[pa.RecordBatch]:
+    leave_cache()
     mean, scale, w = model
     for b in batches:
         x = np.array([features(t or "") for t in b.column(text_at).to_pylist()]).reshape(-1, N_FEATURES)
@@ -151,6 +155,7 @@ def _odds(p: Column) -> Column:
 
 def with_quality(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", host: str | Column = "source", path: str | Column = "lang", label_col: str = "quality", max_labelled: int = 20_000, site_weight: float = 1.0) -> DataFrame:
     """`docs` and p_doc, host_posterior, path_posterior, p_quality."""
+    bounded_batches(docs.sparkSession)
     host, path = (F.col(c) if isinstance(c, str) else c for c in (host, path))
     model = fit(docs, labels, id_col=id_col, text_col=text_col, label_col=label_col, max_labelled=max_labelled)
     narrow = docs.select(host.cast("string").alias("_host"), path.cast("string").alias("_path"), F.col(text_col).alias("text"))

@@ -47,6 +47,8 @@ from pyspark.sql import types as T
 
 from paneloom.plans.shared import materialize
 
+from .common import bounded_batches, leave_cache
+
 _ODD = np.uint64(0x9E3779B97F4A7C15)
 _NO_ID = (1 << 63) - 1
 #: Mean length of word up to which a stretch may be in the reference.
@@ -148,6 +150,7 @@ def reference(docs: DataFrame, window: int, gram: int, rate: int, least: int, mo
 
 def _anchors(batches: Iterator[pa.RecordBatch], window: int, gram: int, held) -> Iterator[pa.RecordBatch]:
     """Spans that the reference covers (anchor null; first and past the last word), and anchors of the windows left."""
+    leave_cache()
     automaton, common = held.value
     span = window - gram + 1
     names, kinds = ["anchor", "doc", "tag", "first", "past"], [pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int32()]
@@ -332,6 +335,7 @@ def _windows(batches: Iterator[pa.RecordBatch], window: int) -> Iterator[pa.Reco
 
 def repeated_spans(df: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", window: int = 50, gram: int = 10, shard_words: int = 60_000, shard_rows: int = 1000, rate: int = 16, least: int = 4, most: int = 1500) -> DataFrame:
     """doc, tag, spans: for each document with repeated words, their spans [a, b) (word positions, unordered). `tag` is xxhash64 of the text."""
+    bounded_batches(df.sparkSession)
     docs = df.select(F.coalesce(F.col(id_col).cast("long"), F.lit(_NO_ID)).alias("doc"), F.col(text_col).cast("string").alias("text")).withColumn("tag", F.xxhash64("text"))
     held = reference(docs, window, gram, rate, least, most)
     streamed = materialize(docs.mapInArrow(partial(_anchors, window=window, gram=gram, held=held), "anchor long, doc long, tag long, first int, past int"), "anchors")
