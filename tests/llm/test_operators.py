@@ -9,6 +9,7 @@ import unicodedata
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 import xxhash
 from pyspark.sql import functions as F
@@ -102,6 +103,30 @@ def test_encoder_equals_tokenizers():
     assert e(texts[:3]) == e(texts[:3]) and len(e._after) < 60
 
 
+def test_encoder_words_by_model_alone(monkeypatch):
+    from tokenizers import Tokenizer
+
+    t = Tokenizer.from_file(packing.default_tokenizer())
+    r = random.Random(8)
+    stems = ["".join(r.choices("abcdefgHIJKLéÈßñçŒžÅÿ", k=r.randint(1, 12))) for _ in range(300)] + ["don", "I", "Été", "Straße"]
+    ends = ["", "", ".", "$$$", "'", "',", "'.''", "<|", "|>", "!?;:"]
+    plain = ["".join(r.choice(stems) + r.choice(ends) + r.choice("  \n") for _ in range(r.randint(1, 40))).strip() for _ in range(500)]
+    wide = [f"{a}  {b} {c}" for a, b, c in zip(stems, stems[1:], stems[2:])]
+    odd = ["don't <|endoftext|> I'll", "A<|endoftext|>b", "a1 b", "ª º µ × ÷", "", "\n", "\na", "a\n", " a", "a ", "a\n\nb", "a \nb", None]
+    want = {x: t.encode(x or "", add_special_tokens=False).ids for x in plain + wide + odd}
+    e = packing.Encoder(packing.default_tokenizer())
+    for texts in (plain, wide + odd[:-1] + plain):
+        for x, ids in zip(texts, e(texts)):
+            assert np.frombuffer(ids, "<u4").tolist() == want[x], repr(x)
+    rows = pa.RecordBatch.from_pydict({"doc_id": range(len(odd)), "text": odd})
+    for size in (1, 8, 1 << 20):
+        assert [(i, np.frombuffer(ids, "<u4").tolist()) for i, ids in packing._encoded(rows, e, size)] == [(i, want[x]) for i, x in enumerate(odd)]
+    e = packing.Encoder(packing.default_tokenizer())
+    calls, encode = [], e._encode
+    monkeypatch.setattr(e, "_encode", lambda *a, **k: calls.append(a) or encode(*a, **k))
+    assert [np.frombuffer(ids, "<u4").tolist() for ids in e(plain)] == [want[x] for x in plain] and not calls
+
+
 def test_harmonic_cuts():
     for n, pieces in enumerate(packing.harmonic_cuts(1024, 1 / 128)):
         assert sum(p for p, _ in pieces) == n
