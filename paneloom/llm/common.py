@@ -4,10 +4,15 @@ from __future__ import annotations
 
 import sys
 import types
+from collections.abc import Iterator
+from typing import TYPE_CHECKING
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+if TYPE_CHECKING:
+    import pyarrow as pa
+
 #: Words of all contracts: runs of anything but space, \t, \n, \v, \f and \r.
 WORD = r"[^\x20\x09-\x0D]+"
 
@@ -37,7 +42,19 @@ def leave_cache() -> None:
         libc.malloc_trim(0)
 
 
-def bounded_batches(spark: SparkSession, rows: int = 2000, size: str = "8m") -> None:
+def released(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """In a worker: the batches; after each, what Arrow's allocator holds free goes back to the system. By itself it keeps the
+    most that any batch ever took, beside what the operator and the next ones need, as long as the worker lives."""
+    import pyarrow as pa
+
+    pool = pa.default_memory_pool()
+    for b in batches:
+        yield b
+        del b
+        pool.release_unused()
+
+
+def bounded_batches(spark: SparkSession, rows: int = 1000, size: str = "4m") -> None:
     """Arrow batches of at most so many rows and bytes, for the whole session: JVM and worker each hold several of them for
     each core, and at the default of 10,000 rows of text they are the largest part of a worker."""
     if int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) > rows:

@@ -45,7 +45,7 @@ from pyspark.sql import functions as F
 
 from paneloom.plans.shared import checked_broadcast, materialize
 
-from .common import bounded_batches, leave_cache
+from .common import bounded_batches, leave_cache, released
 from .graph import components
 
 _ODD = np.uint64(0x9E3779B97F4A7C15)
@@ -123,7 +123,7 @@ def _sets(batches: Iterator[pa.RecordBatch], n: int) -> Iterator[pa.RecordBatch]
     from xxhash import xxh3_128_digest
 
     leave_cache()
-    for b in batches:
+    for b in released(batches):
         sizes, d1, d2, maps = [], [], [], []
         for text in b.column(1):
             u = shingles(text.as_py(), n)
@@ -136,7 +136,7 @@ def _sets(batches: Iterator[pa.RecordBatch], n: int) -> Iterator[pa.RecordBatch]
 
 
 def _elements(batches: Iterator[pa.RecordBatch], n: int) -> Iterator[pa.RecordBatch]:
-    for b in batches:
+    for b in released(batches):
         if b.num_rows:
             yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([shingles(t.as_py(), n) for t in b.column(0)]).view(np.int64))], names=["token"])
 
@@ -148,7 +148,7 @@ def _postings(batches: Iterator[pa.RecordBatch], n: int, num: int, den: int, bou
     """doc_id, token, n, i, c, rank: c is a subset's size, or 0 for an element at position i; rank chooses pivots."""
     keys, classes = frequent.value
     names = ["doc_id", "token", "n", "i", "c", "rank"]
-    for b in batches:
+    for b in released(batches):
         out: list[list] = [[] for _ in names]
         for doc, text in zip(b.column(0).to_pylist(), b.column(1)):
             u = shingles(text.as_py(), n)
@@ -176,7 +176,7 @@ def _postings(batches: Iterator[pa.RecordBatch], n: int, num: int, den: int, bou
 
 def _near(batches: Iterator[pa.RecordBatch], num: int, den: int) -> Iterator[pa.RecordBatch]:
     """Keep pairs whose bitmaps do not prove them too far apart."""
-    for b in batches:
+    for b in released(batches):
         keep = []
         for s, t, x, y in zip(*(b.column(c).to_pylist() for c in ("na", "nb", "xa", "xb"))):
             x, y = np.frombuffer(x, np.uint8), np.frombuffer(y, np.uint8)
@@ -190,7 +190,7 @@ def _near(batches: Iterator[pa.RecordBatch], num: int, den: int) -> Iterator[pa.
 
 def _similar(batches: Iterator[pa.RecordBatch], n: int, num: int, den: int) -> Iterator[pa.RecordBatch]:
     last, held = None, np.empty(0, np.uint64)
-    for b in batches:
+    for b in released(batches):
         keep = []
         for x, y in zip(b.column("ta"), b.column("tb")):
             x, y = x.as_py(), y.as_py()

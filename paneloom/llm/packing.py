@@ -36,7 +36,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import bounded_batches, worker_cache
+from .common import bounded_batches, released, worker_cache
 
 SCHEMA = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
 
@@ -63,7 +63,7 @@ class Encoder:
     """texts -> their token ids as little-endian unsigned 32-bit bytes."""
 
     #: Bytes of remembered pieces and their ids (with 150 for the objects of each), and the longest piece remembered.
-    HELD, LONGEST = 100 << 20, 64
+    HELD, LONGEST = 50 << 20, 64
     #: Bits of the bitmap of pieces seen, 8 MB; two pieces of one bit only make one remembered early.
     SEEN_BITS = 26
     #: Pieces encoded as one text.
@@ -285,7 +285,7 @@ def _pack(batches: Iterator[pa.RecordBatch], path: str, capacity: int, tolerance
         out.clear()
         return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], names=["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"])
 
-    for batch in batches:
+    for batch in released(batches):
         for doc, ids in _encoded(batch, encode):
             ids += end
             total, at = len(ids) // 4, 0

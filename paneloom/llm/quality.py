@@ -30,7 +30,7 @@ from pyspark.sql import types as T
 
 from paneloom.plans.shared import checked_broadcast, materialize
 
-from .common import bounded_batches, leave_cache
+from .common import bounded_batches, leave_cache, released
 
 N_FEATURES = 16
 #: p_quality from which a document is kept.
@@ -68,7 +68,7 @@ def features(text: str) -> list[float]:
 
 def _featured(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     leave_cache()
-    for b in batches:
+    for b in released(batches):
         rows = [features(t or "") for t in b.column("text").to_pylist()]
         yield pa.RecordBatch.from_arrays([b.column("y").cast(pa.float64()), pa.array(rows, pa.list_(pa.float64()))], names=["y", "x"])
 
@@ -76,7 +76,7 @@ def _featured(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def _scored(batches: Iterator[pa.RecordBatch], text_at: int, model: tuple, names: list[str]) -> Iterator[pa.RecordBatch]:
     leave_cache()
     mean, scale, w = model
-    for b in batches:
+    for b in released(batches):
         x = np.array([features(t or "") for t in b.column(text_at).to_pylist()]).reshape(-1, N_FEATURES)
         z = np.clip(((x - mean) / scale) @ w, -12, 12)
         yield pa.RecordBatch.from_arrays([*b.columns, pa.array(1 / (1 + np.exp(-z)))], names=names)

@@ -47,7 +47,7 @@ from pyspark.sql import types as T
 
 from paneloom.plans.shared import materialize
 
-from .common import bounded_batches, leave_cache
+from .common import bounded_batches, leave_cache, released
 
 _ODD = np.uint64(0x9E3779B97F4A7C15)
 _NO_ID = (1 << 63) - 1
@@ -103,7 +103,7 @@ def _stretches(marked: np.ndarray) -> list[tuple[int, int]]:
 
 
 def _sampled(batches: Iterator[pa.RecordBatch], window: int, gram: int) -> Iterator[pa.RecordBatch]:
-    for b in batches:
+    for b in released(batches):
         keys, docs = [], []
         for doc, text in zip(b.column(0).to_pylist(), b.column(1)):
             words = _words(text.as_py())
@@ -118,7 +118,7 @@ def _sampled(batches: Iterator[pa.RecordBatch], window: int, gram: int) -> Itera
 
 def _quoted(batches: Iterator[pa.RecordBatch], window: int, gram: int) -> Iterator[pa.RecordBatch]:
     """The stretches of words around the anchors asked for; those of words too long to be held are left out."""
-    for b in batches:
+    for b in released(batches):
         rows = []
         for doc, text, wanted in zip(b.column(0).to_pylist(), b.column(1), b.column(2).to_pylist()):
             words, wanted = _words(text.as_py()), set(wanted)
@@ -154,7 +154,7 @@ def _anchors(batches: Iterator[pa.RecordBatch], window: int, gram: int, held) ->
     automaton, common = held.value
     span = window - gram + 1
     names, kinds = ["anchor", "doc", "tag", "first", "past"], [pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int32()]
-    for b in batches:
+    for b in released(batches):
         keys, docs, tags, starts, covered = [], [], [], [], []
         for doc, text, tag in zip(b.column(0).to_pylist(), b.column(1), b.column(2).to_pylist()):
             words = _words(text.as_py())
@@ -191,7 +191,7 @@ def _segments(batches: Iterator[pa.RecordBatch], window: int, gram: int, held) -
     common = held.value[1]
     names = ["anchor", "doc", "tag", "first", "n", "g1", "g2", "words"]
     kinds = [pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.binary()]
-    for b in batches:
+    for b in released(batches):
         rows = []
         for doc, text, tag, shared in zip(b.column(0).to_pylist(), b.column(1), b.column(2).to_pylist(), b.column(3).to_pylist()):
             words, shared = _words(text.as_py()), set(shared)
@@ -325,7 +325,7 @@ def _windows(batches: Iterator[pa.RecordBatch], window: int) -> Iterator[pa.Reco
     from xxhash import xxh3_128_digest
 
     names = ["g1", "g2", "doc", "tag", "a"]
-    for b in batches:
+    for b in released(batches):
         for words, doc, tag, first in zip(*(b.column(c).to_pylist() for c in ("words", "doc", "tag", "first"))):
             words = words.split(b" ")
             n = len(words) - window + 1
@@ -384,7 +384,7 @@ def keep_words(words: list[bytes], spans) -> tuple[list[bytes], int]:
 
 
 def _digests(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for b in batches:
+    for b in released(batches):
         rows = []
         for doc, text, spans in zip(b.column("doc_id").to_pylist(), b.column("text"), b.column("spans").to_pylist()):
             words = _words(text.as_py())
@@ -394,7 +394,7 @@ def _digests(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _rewritten(batches: Iterator[pa.RecordBatch], at: int, names: list[str]) -> Iterator[pa.RecordBatch]:
-    for b in batches:
+    for b in released(batches):
         texts, removed = [], []
         for text, spans in zip(b.column(at), b.column("__spans").to_pylist()):
             text = text.as_py()

@@ -5,6 +5,8 @@ import hashlib
 import html
 import random
 import re
+import subprocess
+import sys
 import unicodedata
 import zlib
 
@@ -127,6 +129,38 @@ def test_encoder_words_by_model_alone(monkeypatch):
     assert [np.frombuffer(ids, "<u4").tolist() for ids in e(plain)] == [want[x] for x in plain] and not calls
 
 
+#: Run alone, as a worker's allocator has no other history: MB held before each batch and at the end.
+_HELD_BY_A_WORKER = """
+import random, re, types
+from pathlib import Path
+import pyarrow as pa, pyspark
+from paneloom.llm import packing
+
+pyspark.TaskContext = types.SimpleNamespace(get=lambda: types.SimpleNamespace(partitionId=lambda: 0))
+r, seen = random.Random(1), []
+words = [f"w{i}" for i in range(1000)]
+
+def held():
+    seen.append(int(re.search(r"\\nPss_Anon:\\s+(\\d+)", Path("/proc/self/smaps_rollup").read_text())[1]) >> 10)
+
+def batches():
+    for n in (50, 3000, 3000, 50, 50):
+        held()
+        yield pa.RecordBatch.from_pydict({"doc_id": range(n), "text": [" ".join(r.choices(words, k=400)) for _ in range(n)]})
+    held()
+
+for _ in packing._pack(batches(), packing.default_tokenizer(), 1024, 1 / 128, 0):
+    pass
+print(*seen)
+"""
+
+
+def test_worker_gives_back_what_a_large_batch_took():
+    got = subprocess.run([sys.executable, "-c", _HELD_BY_A_WORKER], capture_output=True, text=True, check=True, timeout=300).stdout
+    seen = list(map(int, got.split()))
+    assert seen[-1] - seen[1] < 25  # 43 where Arrow's allocator keeps it
+
+
 def test_harmonic_cuts():
     for n, pieces in enumerate(packing.harmonic_cuts(1024, 1 / 128)):
         assert sum(p for p, _ in pieces) == n
