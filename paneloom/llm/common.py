@@ -57,6 +57,27 @@ def released(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def bounded_batches(spark: SparkSession, rows: int = 1000, size: str = "4m") -> None:
     """Arrow batches of at most so many rows and bytes, for the whole session: JVM and worker each hold several of them for
     each core, and at the default of 10,000 rows of text they are the largest part of a worker."""
-    if int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) > rows:
+    if not 0 < int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) <= rows:  # 0 or less: no limit
         spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", rows)
         spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", size)
+
+
+def terms_table(kept: str) -> bytes:
+    """For `term_runs`: a byte map that keeps `kept` and all of UTF-8's bytes beyond ASCII, lowers A-Z and blanks the rest."""
+    keep = set(kept.encode()) | set(range(128, 256))
+    return bytes(b | 32 if 65 <= b <= 90 else b if b in keep else 32 for b in range(256))
+
+
+_LOWER = "abcdefghijklmnopqrstuvwxyz"
+LETTERS, LETTERS_AND_DIGITS = terms_table(_LOWER), terms_table(_LOWER + "0123456789")
+
+
+def term_runs(text: bytes | None, table: bytes, size: int = 1 << 20) -> Iterator[list[bytes]]:
+    """The terms of a UTF-8 text in order, as lists from about `size` bytes each, so that a long text never is one list."""
+    blanked = (text or b"").translate(table)
+    at = 0
+    while at < len(blanked):
+        end = blanked.find(b" ", at + size) if at + size < len(blanked) else len(blanked)
+        end = len(blanked) if end < 0 else end
+        yield blanked[at:end].split()
+        at = end

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, extraction, fingerprints, jaccard, language, mixing, oracles, packing, quality, rules, substrings
+from . import chat, divergence, extraction, fingerprints, jaccard, language, licenses, mixing, oracles, packing, quality, rules, search, substrings
 from .common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -76,4 +76,20 @@ def op4_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
     return extraction.extract_pages(table(spark, sf_dir, "pages"))
 
 
-ORACLES |= {"op5_substrings": oracles.OP5, "op7_rules": oracles.OP7, "op10_jaccard": oracles.OP10}
+@_query
+def op11_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return divergence.audit(table(spark, sf_dir, "documents"))
+
+
+@_query
+def op12_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return search.rank(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+@_query
+def op13_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    scanned = licenses.scan_licenses(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return scanned.select("doc_id", "n_words", "n_base", "first_word", "last_word", "base_labels", "labels", "score")
+
+
+ORACLES |= {"op11_divergence": oracles.OP11, "op12_search": oracles.OP12, "op5_substrings": oracles.OP5, "op7_rules": oracles.OP7, "op10_jaccard": oracles.OP10}
