@@ -34,13 +34,13 @@ def moment_sums(variables: Sequence[str | Column], weight: str | Column | None =
     return out
 
 
-def moment_matrix(sums: DataFrame, names: Sequence[str], by: Sequence[str] = (), shifts: Sequence[float] | None = None) -> DataFrame:
+def moment_matrix(sums: DataFrame, names: Sequence[str], by: Sequence[str] = (), shifts: Sequence[float | Column] | None = None) -> DataFrame:
     """Long form: by, i, j, count, mean_wt, d_count, mean, sum, variance, std_dev, correlation, multiple for every i, j.
 
     Covariance and correlation take each variable's own mean and variance (not the pair's), as they are defined here.
     """
     k = len(names)
-    sh = [float(s) for s in (shifts or [0.0] * k)]
+    sh = [s if isinstance(s, Column) else float(s) for s in (shifts or [0.0] * k)]
     mean = [F.col(f"s{i}") / F.col(f"u{i}_{i}") for i in range(k)]  # shifted
     square = [F.col(f"p{i}_{i}") / F.col(f"u{i}_{i}") for i in range(k)]
     var = [square[i] - mean[i] * mean[i] for i in range(k)]

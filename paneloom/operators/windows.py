@@ -12,6 +12,7 @@ from paneloom.functions.missing import known, valid
 from paneloom.plans.ranking import running
 
 from .relational import ordinal
+from .spectral import autocorrelation as autocorrelation
 
 
 def argsort(df: DataFrame, value: str, pos: str, *, reverse: bool = False) -> DataFrame:
@@ -99,13 +100,3 @@ def stretch(df: DataFrame, pos: str, value: str, to_length: int) -> DataFrame:
     scale = (n - 1) / (to_length - 1) if to_length > 1 else 0.0
     places = df.sparkSession.range(to_length).select(F.col("id").alias("place"), F.least(F.col("id") * F.lit(scale), F.lit(float(n - 1))).alias("_at"))
     return interpolate(df, pos, value, places, "_at").select("place", value)
-
-
-def autocorrelation(df: DataFrame, pos: str, value: str, max_lag: int | None = None) -> DataFrame:
-    """Pearson correlation of the series with itself at each lag, by default up to half its length."""
-    max_lag = df.count() // 2 if max_lag is None else max_lag
-    if max_lag < 1:
-        return df.sparkSession.createDataFrame([], "lag int, corr double")
-    a = df.select(F.col(pos).alias("_p"), known(value).alias("_x")).withColumn("lag", F.explode(F.sequence(F.lit(1), F.lit(max_lag)))).withColumn("_q", F.col("_p") + F.col("lag"))
-    b = df.select(F.col(pos).alias("_q"), known(value).alias("_y"))
-    return a.join(b, "_q").groupBy("lag").agg(F.corr("_x", "_y").alias("corr"))

@@ -185,7 +185,20 @@ def j3(spark, d):
     o, p = table(spark, d, "orders").select(F.col("o_orderkey").alias("idx")), table(spark, d, "part").select(F.col("p_partkey").alias("idx"))
     a = o.withColumn("lo", F.col("idx") * 10.0).withColumn("hi", F.col("lo") + 4 + F.col("idx") % 6)
     b = p.withColumn("lo", F.col("idx") * 7.0).withColumn("hi", F.col("lo") + 3 + F.col("idx") % 4)
-    return joins.intersect_intervals(a, b, width=50.0)
+    return joins.intersect_intervals(a, b)
+
+
+@query(
+    "j3_intervals_of_any_length",
+    """WITH a AS (SELECT o_orderkey AS idx, o_totalprice AS lo, o_totalprice + CASE WHEN o_orderkey % 500 = 0 THEN 1e6 ELSE o_orderkey % 7 END AS hi FROM orders), b AS (SELECT p_partkey AS idx, p_retailprice * 100 AS lo, p_retailprice * 100 + p_partkey % 50 AS hi FROM part),
+o AS (SELECT *, lag(hi) OVER (ORDER BY idx) AS ph FROM a) SELECT greatest(o.lo, b.lo)::double AS lo, least(o.hi, b.hi)::double AS hi, o.idx AS i, b.idx AS j FROM o JOIN b ON o.lo <= b.hi AND b.lo <= o.hi WHERE NOT coalesce(o.ph = b.hi AND o.lo = b.hi, false)""",
+)
+def j3_long(spark, d):
+    """Neither list is in order of its starts or free of overlaps, and some intervals hold most others."""
+    k = F.col("o_orderkey")
+    a = table(spark, d, "orders").select(k.alias("idx"), F.col("o_totalprice").alias("lo"), (F.col("o_totalprice") + F.when(k % 500 == 0, 1e6).otherwise(k % 7)).alias("hi"))
+    b = table(spark, d, "part").select(F.col("p_partkey").alias("idx"), (F.col("p_retailprice") * 100).alias("lo"), (F.col("p_retailprice") * 100 + F.col("p_partkey") % 50).alias("hi"))
+    return joins.intersect_intervals(a, b)
 
 
 @query("j4_index_last_wins", "SELECT o_custkey, o_orderpriority, max_by(o_totalprice, o_orderkey) AS o_totalprice FROM orders GROUP BY ALL")
@@ -225,7 +238,20 @@ def j8(spark, d):
 @query("j9_sincat", "SELECT CAST(event_id // 400 * 3 + CASE WHEN event_id % 400 < 100 THEN 0 WHEN event_id % 400 < 150 THEN 1 ELSE 2 END AS INTEGER) AS segment, count(*) AS n, round(sum(value), 4) AS total FROM events GROUP BY 1")
 def j9(spark, d):
     events = table(spark, d, "events")
-    return joins.segments(events, "event_id", joins.repeated_lengths(events.count(), [100, 50, 250])).groupBy("segment").agg(F.count(F.lit(1)).alias("n"), F.round(F.sum("value"), 4).alias("total"))
+    return joins.periodic_segments(events, "event_id", [100, 50, 250]).groupBy("segment").agg(F.count(F.lit(1)).alias("n"), F.round(F.sum("value"), 4).alias("total"))
+
+
+@query(
+    "j9_sincat_by_table",
+    """WITH l AS (SELECT row_number() OVER (ORDER BY user_id) - 1 AS segment, count(*) AS n, bool_or(user_id % 3 <> 0) AS kept FROM events GROUP BY user_id), e AS (SELECT *, coalesce(sum(n) OVER (ORDER BY segment ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS f FROM l)
+SELECT CAST(segment AS INTEGER) AS segment, CAST(f + n - 1 - event_id AS BIGINT) AS place, event_id FROM events JOIN e ON event_id >= f AND event_id < f + n WHERE kept""",
+)
+def j9_table(spark, d):
+    """Segments as long as each user has events; those of every third user are left out, the others read backwards."""
+    events = table(spark, d, "events").select("event_id", "user_id")
+    lengths = events.groupBy("user_id").agg(F.count(F.lit(1)).alias("n")).withColumn("kept", F.col("user_id") % 3 != 0)
+    got = joins.segments_by_table(events.select("event_id"), "event_id", lengths, "user_id", "n", overlay="kept", reverse=True)
+    return got.select("segment", "place", "event_id")
 
 
 @query("z4_user_function", "SELECT CAST(event_id // 300 * 2 + CASE WHEN event_id % 300 < 100 THEN 0 ELSE 1 END AS INTEGER) AS segment, round(max(value) - min(value), 6) AS span FROM events GROUP BY 1")
@@ -236,4 +262,4 @@ def z4(spark, d):
         return pd.DataFrame({"segment": [int(g["segment"].iloc[0])], "span": [round(float(g["value"].max() - g["value"].min()), 6)]})
 
     events = table(spark, d, "events").select("event_id", "value")
-    return joins.apply_segments(events, "event_id", joins.repeated_lengths(events.count(), [100, 200]), span, "segment int, span double")
+    return joins.apply_segments(joins.periodic_segments(events, "event_id", [100, 200]), span, "segment int, span double")

@@ -4,7 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from paneloom.operators import windows
+from paneloom.operators import spectral, windows
+from paneloom.operators.relational import ordinal
 
 from .registry import query
 from .tables import table
@@ -128,4 +129,14 @@ SELECT CAST(k AS INTEGER) AS lag, round(corr(a.n, b.n), 6) AS corr FROM c a JOIN
 )
 def r12(spark, d):
     days = table(spark, d, "events").groupBy(F.datediff(F.to_date("ts"), F.lit("2024-01-01").cast("date")).alias("p")).agg(F.count(F.lit(1)).alias("n"))
-    return windows.autocorrelation(days, "p", "n").select("lag", F.round("corr", 6).alias("corr"))
+    return spectral.autocorrelation(days, "p", "n").select("lag", F.round("corr", 6).alias("corr"))
+
+
+@query(
+    "r12_autocorr_events",
+    """WITH s AS (SELECT value, row_number() OVER (ORDER BY ts, event_id) - 1 AS p FROM events)
+SELECT CAST(b.p - a.p AS INTEGER) AS lag, round(corr(a.value, b.value), 6) AS corr FROM s a JOIN s b ON b.p > a.p AND b.p <= a.p + (SELECT count(*) // 2 FROM s) GROUP BY 1""",
+)
+def r12_events(spark, d):
+    ev = ordinal(table(spark, d, "events").select("ts", "event_id", "value"), [F.col("ts"), F.col("event_id")], "p")
+    return spectral.autocorrelation(ev, "p", "value").select("lag", F.round("corr", 6).alias("corr"))

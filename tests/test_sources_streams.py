@@ -165,7 +165,7 @@ def test_asof_of_a_hot_group_over_ranges(spark):
 def test_intervals_touching(spark):
     a = spark.createDataFrame([(0, 0.0, 2.0), (1, 2.0, 3.0)], "idx int, lo double, hi double")
     b = spark.createDataFrame([(0, 1.0, 2.0), (1, 2.5, 9.0)], "idx int, lo double, hi double")
-    got = sorted((r["lo"], r["hi"], r["i"], r["j"]) for r in joins.intersect_intervals(a, b, width=1.0).collect())
+    got = sorted((r["lo"], r["hi"], r["i"], r["j"]) for r in joins.intersect_intervals(a, b).collect())
     assert got == [(1.0, 2.0, 0, 0), (2.5, 3.0, 1, 1)]
 
 
