@@ -5,9 +5,10 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from paneloom.functions import dates
-from paneloom.operators import sampling, sets, spatial
+from paneloom.operators import neighbors, sampling, sets, spatial
 from paneloom.operators.calendar import Calendar, calendar_from
 
+from .catalog_stats import NINE, sql_quantiles
 from .registry import query as _query
 from .tables import table
 
@@ -136,15 +137,34 @@ def n1(spark, d):
     return spatial.distance_matrix(table(spark, d, "embeddings"), "vec_id", "embedding").select("i", "j", F.round("d", 5).alias("d"))
 
 
-@query(
-    "n2_knn_stats",
-    f"""WITH v AS (SELECT * FROM {_VEC}), m AS (SELECT a.vec_id AS i, b.vec_id AS j, b.label AS y, sqrt(list_sum(list_transform(list_zip(a.embedding, b.embedding), lambda p: (p[1]::double - p[2]::double) * (p[1]::double - p[2]::double)))) AS d FROM v a, v b WHERE a.vec_id <> b.vec_id),
-k AS (SELECT *, row_number() OVER (PARTITION BY i ORDER BY d, j) AS r FROM m) SELECT i, count(*) AS neighbours, round(avg(d), 5) AS mean_distance, round(avg(y), 5) AS mean FROM k WHERE r <= 5 GROUP BY i""",
-)
+_NEAR = f"""WITH v AS (SELECT * FROM {_VEC}), m AS (SELECT a.vec_id AS i, b.vec_id AS j, b.label AS y, sqrt(list_sum(list_transform(list_zip(a.embedding, b.embedding), lambda p: (p[1]::double - p[2]::double) * (p[1]::double - p[2]::double)))) AS d FROM v a, v b WHERE a.vec_id <> b.vec_id AND a.vec_id % 20 = 0),
+k AS (SELECT *, row_number() OVER (PARTITION BY i ORDER BY d, j) AS r FROM m QUALIFY r <= {{k}})"""
+
+
+@query("n2_knn_stats", _NEAR.format(k=5) + " SELECT i, count(*) AS neighbours, round(avg(d), 5) AS mean_distance, round(avg(y), 5) AS mean FROM k GROUP BY i")
 def n2(spark, d):
     vec = table(spark, d, "embeddings")
-    got = spatial.knn_stats(vec, "vec_id", "label", spatial.nearest(vec, "vec_id", "embedding", 5), 5)
-    return got.select("i", "neighbours", F.round("mean_distance", 5).alias("mean_distance"), F.round("mean", 5).alias("mean"))
+    near = neighbors.search(neighbors.build_index(vec, "vec_id", "embedding"), vec.where("vec_id % 20 = 0"), "vec_id", "embedding", 5)
+    got = near.join(vec.select(F.col("vec_id").alias("j"), "label"), "j").groupBy("i")
+    return got.agg(F.count("j").alias("neighbours"), F.round(F.avg("d"), 5).alias("mean_distance"), F.round(F.avg("label"), 5).alias("mean"))
+
+
+_NINE_OF = {p: ", ".join(f"round({n}, 5) AS {p}_{n}" for n in NINE) for p in "dy"}
+
+
+@query(
+    "n2_knn_full",
+    _NEAR.format(k=12)
+    + f""", w AS (SELECT i, j, r, d, y::double AS y, (1 + j % 3) / (1 + 0.5 * d) AS w FROM k),
+dq AS (SELECT i, {_NINE_OF["d"]} FROM ({sql_quantiles("d", "w", "w", "i", NINE)})), yq AS (SELECT i, {_NINE_OF["y"]} FROM ({sql_quantiles("y", "w", "w", "i", NINE)})),
+s AS (SELECT i, string_agg(j::varchar, ',' ORDER BY r) AS neighbours, count(*) AS d_count, round(sum(w * d) / sum(w), 5) AS d_mean, round(sum(w * y) / sum(w), 5) AS y_mean FROM w GROUP BY i)
+SELECT i AS vec_id, s.* EXCLUDE (i), dq.* EXCLUDE (i), yq.* EXCLUDE (i) FROM s JOIN dq USING (i) JOIN yq USING (i)""",
+)
+def n2_full(spark, d):
+    vec = table(spark, d, "embeddings").withColumn("w", 1 + F.col("vec_id") % 3)
+    got = neighbors.neighbour_statistics(vec, "vec_id", "label", "embedding", 12, weight="w", reciprocal=(0.5, 1.0), queries=F.col("vec_id") % 20 == 0)
+    names = [f"{p}_{n}" for p in "dy" for n in ("mean", *NINE)]
+    return got.select("vec_id", F.array_join(F.col("neighbours").cast("array<string>"), ",").alias("neighbours"), "d_count", *[F.round(n, 5).alias(n) for n in names])
 
 
 _LAT, _LON = "(c_custkey * 7 % 170 - 85)::double", "(c_custkey * 13 % 360 - 180)::double"
