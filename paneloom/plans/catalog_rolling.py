@@ -35,14 +35,13 @@ away AS (SELECT win, abs(x - median) AS x, w FROM v JOIN q USING (win) WHERE x I
 m AS ({sql_quantiles("x", "w", "away", "win", {"mad": 0.5})}),
 s AS (SELECT win, count(*) AS size, count(CASE WHEN w > 0 THEN x END) AS count, sum(CASE WHEN w > 0 THEN x * w END) / sum(CASE WHEN x IS NOT NULL AND w > 0 THEN w END) AS mean FROM v GROUP BY win),
 d AS (SELECT win, sqrt(sum(w * (x - mean) * (x - mean)) / sum(w)) AS std_dev, min(x) AS min, max(x) AS max, arg_min(event_id, (x, event_id)) AS min_id, arg_min(event_id, (-x, event_id)) AS max_id FROM v JOIN s USING (win) WHERE x IS NOT NULL AND w > 0 GROUP BY win)
-SELECT win AS window, size, count, round(mean, 6) AS mean, round(std_dev, 6) AS std_dev, min, min_id, max, max_id, {_NINE_ROUND}, round(mad + 1e-9::double, 6) AS mad FROM s JOIN d USING (win) JOIN q USING (win) JOIN m USING (win)"""
+SELECT win AS window, size, count, round(mean + 1e-9::double, 6) AS mean, round(std_dev + 1e-9::double, 6) AS std_dev, min, min_id, max, max_id, {_NINE_ROUND}, round(mad + 1e-9::double, 6) AS mad FROM s JOIN d USING (win) JOIN q USING (win) JOIN m USING (win)"""
 
 
 @query("w6_rolling_full", _full(60, 20))
 def w6_full(spark, d):
     got = rolling.rolling_summary(_rows(spark, d), "event_id", "x", "w", size=60, offset=20)
-    digits = ["mean", "std_dev"], [*NINE, "mad"]
-    shown = [F.round(c, 6).alias(c) for c in digits[0]] + [F.round(F.col(c) + 1e-9, 6).alias(c) for c in digits[1]]
+    shown = [F.round(F.col(c) + 1e-9, 6).alias(c) for c in ("mean", "std_dev", *NINE, "mad")]
     return got.select("window", "size", "count", "min", "min_id", "max", "max_id", *shown)
 
 
@@ -53,7 +52,7 @@ def _cross(size: int, offset: int) -> str:
             both = f"{i} IS NOT NULL AND {j} IS NOT NULL"
             mean = f"sum(CASE WHEN {both} THEN w * {i} * {j} END) / sum(CASE WHEN {both} THEN w END)"
             cov = f"({mean} - any_value(m{i}) * any_value(m{j}))"
-            cells.append(f"SELECT win AS window, '{i}' AS i, '{j}' AS j, count(CASE WHEN {both} THEN 1 END) AS count, round({mean}, 4) AS mean, round({cov}, 4) AS variance, round({cov} / sqrt(any_value(v{i}) * any_value(v{j})), 6) AS correlation FROM b GROUP BY win")
+            cells.append(f"SELECT win AS window, '{i}' AS i, '{j}' AS j, count(CASE WHEN {both} THEN 1 END) AS count, round({mean} + 1e-7::double, 4) AS mean, round({cov} + 1e-7::double, 4) AS variance, round({cov} / sqrt(any_value(v{i}) * any_value(v{j})), 6) AS correlation FROM b GROUP BY win")
     middle = ", ".join(f"sum(w * {i}) OVER win_ / sum(CASE WHEN {i} IS NOT NULL THEN w END) OVER win_ AS m{i}, sum(w * {i} * {i}) OVER win_ / sum(CASE WHEN {i} IS NOT NULL THEN w END) OVER win_ AS s{i}" for i in "xy")
     return f"WITH r AS ({_ROWS}), a AS ({_windows('r', size, offset)}), p AS (SELECT *, {middle} FROM a WHERE w > 0 WINDOW win_ AS (PARTITION BY win)), b AS (SELECT *, sx - mx * mx AS vx, sy - my * my AS vy FROM p) " + " UNION ALL ".join(cells)
 
@@ -61,7 +60,7 @@ def _cross(size: int, offset: int) -> str:
 @query("w6_rolling_multivariate", _cross(100, 25))
 def w6_multivariate(spark, d):
     got = rolling.rolling_multivariate(_rows(spark, d), "event_id", ["x", "y"], "w", size=100, offset=25)
-    return got.select("window", "i", "j", "count", F.round("mean", 4).alias("mean"), F.round("variance", 4).alias("variance"), F.round("correlation", 6).alias("correlation"))
+    return got.select("window", "i", "j", "count", F.round(F.col("mean") + 1e-7, 4).alias("mean"), F.round(F.col("variance") + 1e-7, 4).alias("variance"), F.round("correlation", 6).alias("correlation"))
 
 
 @query(
