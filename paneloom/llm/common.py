@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import sys
 import types
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from typing import TYPE_CHECKING
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -21,6 +21,20 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def fresh(columns: Iterable[str], name: str) -> str:
+    """The name, lengthened until no column has it in any case."""
+    taken = {c.lower() for c in columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
+def hash_below(c: Column, share: float) -> Column:
+    """Whether a 64-bit hash of a column is among the lowest share: a sample of any size, however small its share."""
+    edge = int(-(2**63) + min(1.0, max(0.0, share)) * 2**64)
+    return F.lit(True) if edge >= 2**63 else F.xxhash64(c) < F.lit(edge)
+
+
 def n_words(text: Column) -> Column:
     return F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long")
 

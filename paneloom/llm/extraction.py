@@ -15,7 +15,8 @@ Order without one big sort: bounds are keys of a bounded sample of pages; each r
 itself, and the page on each side of a bound is also sent to the range on the other side. Only extracted lines are
 shuffled, once. A host or a path that holds a third of the pages spans many ranges.
 
-Tags are read with quoted attributes; a quote that is never closed ends with its tag. Elements end with those around them.
+Tags are read with quoted attributes of any length; a quote that is never closed ends with its tag. Elements end with those
+around them.
 A boilerplate or text-less element that is never closed is taken for no element (script and style reach to the end).
 
 Defined results: null html has no lines; a null URL is host '' and path ''; pages of equal URL follow by id and then lines;
@@ -26,6 +27,7 @@ from __future__ import annotations
 
 import bisect
 import html as entities
+import math
 import re
 from collections.abc import Iterator
 from functools import lru_cache, partial
@@ -34,6 +36,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import hash_below
+
 #: Elements of HTML by what they mean here.
 RAW = frozenset({"script", "style", "noscript", "template", "iframe", "object", "svg", "math", "canvas", "audio", "video", "head", "title", "textarea", "select"})
 BOILER = frozenset({"nav", "footer", "aside", "form", "dialog", "menu", "button"})
@@ -47,7 +51,9 @@ SIDE_WORDS = frozenset("ad ads advert adverts advertisement advertising comment
 PLACE_WORDS = frozenset("area bar block body bottom box buttons consent container content form global group inner item left link links list main outer page panel primary right secondary section site text thread title top wrap wrapper".split())
 ARTICLE_WORDS = frozenset("article blog entry news post story".split())
 
-_TOKEN = re.compile(r"<!--(?:>|->|.*?(?:-->|\Z))|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]{0,4000}\"|'[^']{0,4000}')*+)>|<(/?)([a-zA-Z][^\s/>]*)([^>]*)(?:>|\Z)|<[!?/][^>]*>", re.S)
+_TOKEN = re.compile(r"<!--(?:>|->|.*?(?:-->|\Z))|<(/?)([a-zA-Z][^\s/>]*)|<[!?/][^>]*>", re.S)
+_ATTRIBUTES = re.compile(r"(?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+")
+_MARK = re.compile(r"[>\"']")
 _NAMED = re.compile(r"(?:^|\s)(class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>\"']+))", re.I)
 _PARTS = re.compile(r"[_-]+|(?<=[a-z])(?=[A-Z])")
 _SPACE = re.compile(r"[\x20\x09-\x0D]+")
@@ -64,6 +70,39 @@ def names_boilerplate(name: str) -> bool:
     return parts <= SITE_WORDS | SIDE_WORDS | PLACE_WORDS | ARTICLE_WORDS
 
 
+class _Tags:
+    """Where the tags of a page end: at the first > outside quotes, or if a quote is never closed at the first > at all.
+
+    Until a quote is left open each tag is one match. From then on quotes are followed one by one, and those from which
+    none closes are remembered, so that no part of a page is gone through again for each of its tags.
+    """
+
+    def __init__(self, page: str):
+        self.page, self.open, self.dead = page, False, set()
+
+    def end(self, at: int) -> int:
+        """The place of the > of a tag whose attributes begin at a place; the page's length if there is none."""
+        page = self.page
+        if not self.open:
+            stop = _ATTRIBUTES.match(page, at).end()
+            if stop < len(page) and page[stop] == ">":
+                return stop
+            self.open = True
+        here, seen = at, []
+        while m := _MARK.search(page, here):
+            if m[0] == ">":
+                return m.start()
+            if m.start() in self.dead:
+                break
+            seen.append(m.start())
+            here = page.find(m[0], m.end()) + 1
+            if not here:
+                break
+        self.dead.update(seen)
+        stop = page.find(">", at)
+        return len(page) if stop < 0 else stop
+
+
 def lines_of(page: str | None) -> list[tuple[str, int]]:
     """Text lines in page order, with whether each is in the main element, in boilerplate, or neither."""
     out: list[tuple[str, int]] = []
@@ -72,6 +111,7 @@ def lines_of(page: str | None) -> list[tuple[str, int]]:
     count = [0, 0, 0]
     page, at, lower = page or "", 0, None
     last: dict[str, int] = {}
+    tags = _Tags(page)
 
     def closed_later(tag: str) -> bool:
         nonlocal lower
@@ -93,9 +133,11 @@ def lines_of(page: str | None) -> list[tuple[str, int]]:
             break
         buffer.append(page[at : m.start()])
         at = m.end()
-        slash, tag, attributes = (m[1], m[2], m[3]) if m[2] else (m[4], m[5], m[6])
+        slash, tag = m[1], m[2]
         if not tag:
             continue
+        stop = tags.end(at)
+        attributes, at = page[at:stop], stop + 1
         tag, closing = tag.lower(), bool(slash)
         if tag in BLOCKS or tag in RAW:
             flush()
@@ -144,26 +186,38 @@ def lines_of(page: str | None) -> list[tuple[str, int]]:
 
 
 def shared_places(a: list, b: list) -> set[int]:
-    """Places of `a` in a longest common subsequence of both (bit-parallel: a row of the table is one integer)."""
+    """Places of `a` in a longest common subsequence of both.
+
+    Bit-parallel: a row of the table is one integer of a bit for each line of `b`. Only every so many rows are kept, and those
+    between two are made again on the way back, so memory is of the order of len(b) * sqrt(len(a)) bits.
+    """
     where: dict = {}
     for j, x in enumerate(b):
         where[x] = where.get(x, 0) | (1 << j)
     full = (1 << len(b)) - 1
-    row, rows = full, []
-    for x in a:
-        u = row & where.get(x, 0)
-        row = ((row + u) | (row - u)) & full
-        rows.append(row)
-
-    def length(i: int, j: int) -> int:
-        return j - (rows[i - 1] & ((1 << j) - 1)).bit_count() if i and j else 0
-
+    step = math.isqrt(len(a)) + 1
+
+    def following(row: int, lines: list) -> Iterator[int]:
+        for x in lines:
+            u = row & where.get(x, 0)
+            row = ((row + u) | (row - u)) & full
+            yield row
+
+    kept, row = [full], full
+    for i, row in enumerate(following(full, a), 1):
+        if i % step == 0:
+            kept.append(row)
     out, i, j = set(), len(a), len(b)
-    here = length(i, j)
+    here = j - row.bit_count()
+    first, rows = len(a) + 1, []  # rows[k] is the one after first + k lines
     while here:
-        if length(i - 1, j) == here:
+        if i - 1 < first:
+            block = (i - 1) // step
+            first, rows = block * step, [kept[block], *following(kept[block], a[block * step : i])]
+        up = j - (rows[i - 1 - first] & ((1 << j) - 1)).bit_count()
+        if up == here:
             i -= 1
-        elif length(i, j - 1) == here:
+        elif j - 1 - (rows[i - first] & ((1 << (j - 1)) - 1)).bit_count() == here:
             j -= 1
         else:
             i, j, here = i - 1, j - 1, here - 1
@@ -259,9 +313,8 @@ def extract_pages(df: DataFrame, *, id_col: str = "page_id", url_col: str = "url
     bounds: list[str] = []
     openers: list[str] = [""]
     if ranges > 1:
-        share = min(1.0, sample_keys / pages)
-        drawn = keys.where(F.abs(F.xxhash64("key") % 1_000_000) < int(share * 1_000_000) + 1).distinct()
-        sample = sorted(r[0] for r in drawn.limit(4 * sample_keys).collect())
+        drawn = keys.where(hash_below(F.col("key"), 2 * sample_keys / pages)).distinct()
+        sample = sorted(r[0] for r in drawn.orderBy(F.xxhash64("key"), "key").limit(sample_keys).collect())
         bounds = sorted({sample[i * len(sample) // ranges] for i in range(1, ranges)}) if sample else []
         openers = [""] * (len(bounds) + 1)
         for r in keys.mapInArrow(partial(_least, bounds=bounds), "slot int, key string").groupBy("slot").agg(F.min("key").alias("key")).collect():

@@ -55,8 +55,8 @@ def likeness(a: Column, b: Column) -> Column:
 
 def with_next(df: DataFrame, *, range_rows: int = 500) -> DataFrame:
     """doc_id, text, fingerprint -> the same, and next_text, next_fingerprint."""
-    # Rows are spread over ranges of -id; a null id counts as beyond the last.
-    at = F.coalesce(-F.col("doc_id"), F.lit((1 << 63) - 1))
+    # Rows are spread over ranges of -1 - id, which any id has; a null id counts as beyond the last.
+    at = F.coalesce(F.bitwise_not("doc_id"), F.lit((1 << 63) - 1))
     total, ends = df.agg(F.count(F.lit(1)), F.percentile_approx(at, [0.0, 1.0], 10_000)).first()
     if not total:
         return df.withColumns({"next_text": F.col("text"), "next_fingerprint": F.col("fingerprint")})
@@ -74,7 +74,7 @@ def with_next(df: DataFrame, *, range_rows: int = 500) -> DataFrame:
     placed = placed.withColumn("_p", F.explode(F.array_compact(F.array(*places))))
     placed = placed.select("doc_id", "text", "fingerprint", "_at", F.col("_p.range").alias("_range"), F.col("_p.ghost").alias("_ghost"))
     # ghosts follow all rows of their range; of several with one id the first by text is the next document
-    order = W.partitionBy("_range").orderBy(F.col("_ghost"), F.col("_at"), F.col("text").asc_nulls_first(), "fingerprint")
+    order = W.partitionBy("_range").orderBy(F.col("_ghost"), F.col("_at"), F.col("doc_id").isNull(), F.col("text").asc_nulls_first(), "fingerprint")
     after = placed.withColumns({"next_text": F.lead("text").over(order), "next_fingerprint": F.lead("fingerprint").over(order)})
     return after.where(~F.col("_ghost")).select("doc_id", "text", "fingerprint", "next_text", "next_fingerprint")
 
@@ -84,7 +84,7 @@ def _slot(cuts: list[int]) -> str:
     if not cuts:
         return "0"
     steps = [1 << k for k in reversed(range(len(cuts).bit_length()))]
-    held = f"array({','.join(f'{c}L' for c in cuts)})"
+    held = f"array({','.join(f"BIGINT('{c}')" for c in cuts)})"
     return f"aggregate(array({','.join(map(str, steps))}), 0, (p, s) -> IF(p + s <= {len(cuts)} AND get({held}, p + s - 1) <= _at, p + s, p))"
 
 

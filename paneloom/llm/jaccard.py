@@ -303,8 +303,8 @@ def link_documents(df: DataFrame, *, id_col: str = "doc_id", text_col: str = "te
     num, den = threshold
     docs, sets, equal, single = _classes(df, id_col, text_col, n)
     lists = _lists(single, sets, n, num, den)
-    pivots = lists.groupBy("token", "c").agg(F.max(F.struct("rank", (-F.col("doc_id")).alias("neg"), "n", "i")).alias("p"))
-    pivots = pivots.select("token", "c", (-F.col("p.neg")).alias("pivot"), F.col("p.n").alias("pn"), F.col("p.i").alias("pi"))
+    pivots = lists.groupBy("token", "c").agg(F.max(F.struct("rank", F.bitwise_not("doc_id").alias("neg"), "n", "i")).alias("p"))
+    pivots = pivots.select("token", "c", F.bitwise_not("p.neg").alias("pivot"), F.col("p.n").alias("pn"), F.col("p.i").alias("pi"))
     need = _needed(F.col("n"), F.col("pn"), num, den)
     fits = F.when(F.col("c") > 0, need <= F.col("c")).otherwise((F.col("n") - F.col("i") >= need) & (F.col("pn") - F.col("pi") >= need))
     stars = lists.join(pivots, ["token", "c"]).where((F.col("doc_id") != F.col("pivot")) & fits)

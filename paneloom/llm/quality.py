@@ -30,7 +30,7 @@ from pyspark.sql import types as T
 
 from paneloom.plans.shared import checked_broadcast, materialize
 
-from .common import bounded_batches, leave_cache, released
+from .common import bounded_batches, fresh, leave_cache, released
 
 N_FEATURES = 16
 #: p_quality from which a document is kept.
@@ -160,9 +160,10 @@ def with_quality(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id",
     model = fit(docs, labels, id_col=id_col, text_col=text_col, label_col=label_col, max_labelled=max_labelled)
     narrow = docs.select(host.cast("string").alias("_host"), path.cast("string").alias("_path"), F.col(text_col).alias("text"))
     sites, prior = posteriors(with_evidence(narrow, model).select("_host", "_path", "p_doc"))
-    sites = checked_broadcast(sites.withColumnsRenamed({"_host": "__h", "_path": "__p", "_n": "__n", "_k": "__k"}))
+    own = {c: fresh(docs.columns, f"_{c}") for c in ("_host", "_path", "_n", "_k")}
+    sites = checked_broadcast(sites.withColumnsRenamed(own))
     rows = with_evidence(docs.drop(*ADDED), model, text_col=text_col)
-    rows = rows.join(sites, host.cast("string").eqNullSafe(F.col("__h")) & path.cast("string").eqNullSafe(F.col("__p")), "left")
-    others = without_own(F.col("path_posterior"), F.col("__n"), F.col("__k"), F.col("p_doc"))
+    rows = rows.join(sites, host.cast("string").eqNullSafe(F.col(own["_host"])) & path.cast("string").eqNullSafe(F.col(own["_path"])), "left")
+    others = without_own(F.col("path_posterior"), F.col(own["_n"]), F.col(own["_k"]), F.col("p_doc"))
     z = _odds(F.col("p_doc")) + F.lit(site_weight) * (_odds(others) - _odds(F.lit(prior)))
-    return rows.withColumn("p_quality", F.lit(1.0) / (F.lit(1.0) + F.exp(-z))).drop("__h", "__p", "__n", "__k")
+    return rows.withColumn("p_quality", F.lit(1.0) / (F.lit(1.0) + F.exp(-z))).drop(*own.values())

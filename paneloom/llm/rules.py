@@ -26,8 +26,11 @@ from pyspark.sql import functions as F
 
 from paneloom.plans.shared import materialize
 
+from .common import fresh, hash_below
+
 _BLANK = r"\\x20\\x09-\\x0D"
 MEASURES = ("n_words", "word_chars", "n_symbols", "n_lines", "n_dup_lines", "n_repeat_words")
+ADDED = (*MEASURES, "base_failed", "failed_rule", "kept")
 
 
 @dataclass(frozen=True)
@@ -74,7 +77,8 @@ def measures_sql(text: str) -> str:
 
 
 def with_measures(df: DataFrame, text_col: str = "text") -> DataFrame:
-    return df.withColumn("_m", F.expr(measures_sql(f"coalesce(`{text_col}`, '')"))).withColumns({m: F.col(f"_m.{m}") for m in MEASURES}).drop("_m")
+    held = fresh(df.columns, "_m")
+    return df.withColumn(held, F.expr(measures_sql(f"coalesce(`{text_col}`, '')"))).withColumns({m: F.col(f"`{held}`.{m}") for m in MEASURES}).drop(held)
 
 
 def cascade_order(df: DataFrame, rules: tuple[Rule, ...] = RULES, *, id_col: str = "doc_id", text_col: str = "text", sample_rows: int = 2000, repeats: int = 2) -> list[Rule]:
@@ -82,8 +86,7 @@ def cascade_order(df: DataFrame, rules: tuple[Rule, ...] = RULES, *, id_col: str
     rows = df.count()
     if not rows:
         return list(rules)
-    share = min(1.0, sample_rows / rows)
-    drawn = F.abs(F.xxhash64(F.col(id_col), F.col(text_col)) % 1_000_000) < int(share * 1_000_000) + 1
+    drawn = hash_below(F.struct(id_col, text_col), sample_rows / rows)
     sample = df.where(drawn).select(F.col(id_col), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     sample = materialize(with_measures(sample, "text"), "sample")
 
@@ -123,7 +126,13 @@ def judge(df: DataFrame, rules: tuple[Rule, ...] = RULES, *, id_col: str = "doc_
     """`df` with MEASURES, base_failed, failed_rule (null: none; the first in the cascade's order) and kept."""
     order = cascade_order(df, rules, id_col=id_col, text_col=text_col, sample_rows=sample_rows)
     cases = " ".join(f"WHEN {r.fails} THEN '{r.name}'" for r in order)
-    measured = with_measures(df, text_col).withColumn("base_failed", F.expr(BASE_FAILED))
-    if text_col != "text":
-        cases = cases.replace("(text", f"(`{text_col}`")
+    if text_col != "text":  # the rules say `text`: the row stands beside it while they are judged
+        row = df.drop(*ADDED).select(F.struct("*").alias("__row"), F.col(f"`{text_col}`").alias("text"))
+        judged = judge_in_order(row, cases)
+        return judged.select("__row.*", *ADDED)
+    return judge_in_order(df, cases)
+
+
+def judge_in_order(df: DataFrame, cases: str) -> DataFrame:
+    measured = with_measures(df).withColumn("base_failed", F.expr(BASE_FAILED))
     return measured.withColumn("failed_rule", F.expr(f"CASE WHEN base_failed THEN 'base' {cases} END")).withColumn("kept", F.col("failed_rule").isNull())

@@ -7,6 +7,8 @@ import random
 import re
 import subprocess
 import sys
+import time
+import tracemalloc
 import unicodedata
 import zlib
 
@@ -812,3 +814,117 @@ def test_longest_common_subsequence():
 def test_entities_are_decoded_once():
     assert extraction.lines_of("<p>&amp;lt;b&amp;gt;</p>") == [("&lt;b&gt;", extraction.OTHER)]
     assert html.unescape("&amp;lt;") == "&lt;"
+
+
+def test_attributes_of_any_length():
+    for n in (10, 3900, 4100, 300_000):
+        for quote in "\"'":
+            page = f"<article><div data-x={quote}{'A' * n}> LEAK{quote} b={quote}>{quote}>real text</div></article>"
+            assert extraction.lines_of(page) == [("real text", extraction.MAIN)]
+
+
+def test_open_quotes_cost_no_more_than_the_page():
+    """Whatever quotes are left open, each part of a page is gone through a bounded number of times."""
+    for unit in ('"><p ', "'\"><p '", '<p a="', "<p a='>\"", '<p "> \' ', "<i \"'> "):
+        page = "<article><p " + unit * 60_000 + '"'
+        start = time.process_time()
+        extraction.lines_of(page)
+        assert time.process_time() - start < 20
+
+
+def test_tags_end_as_a_plain_reading_says():
+    r = random.Random(2)
+    for _ in range(400):
+        page = "".join(r.choices("<p> \"'=a/", k=r.randint(1, 40)))
+        tags = extraction._Tags(page)
+        for m in extraction._TOKEN.finditer(page):
+            if not m[2]:
+                continue
+            here, open_quote, at = m.end(), None, None
+            while here < len(page):
+                c = page[here]
+                if open_quote:
+                    open_quote = None if c == open_quote else open_quote
+                elif c in "\"'":
+                    open_quote = c
+                elif c == ">":
+                    at = here
+                    break
+                here += 1
+            if at is None:
+                at = page.find(">", m.end())
+            assert tags.end(m.end()) == (len(page) if at < 0 else at)
+
+
+def test_alignment_of_long_pages_in_bounded_memory():
+    a = [f"line {i}" for i in range(30_000)]
+    b = [x for i, x in enumerate(a) if i % 3] + ["other"] * 10_000
+    tracemalloc.start()
+    try:
+        places = extraction.shared_places(a, b)
+        peak = tracemalloc.get_traced_memory()[1]
+    finally:
+        tracemalloc.stop()
+    assert places == {i for i in range(len(a)) if i % 3}
+    assert peak < 60e6
+
+
+LEAST, MOST = -(2**63), 2**63 - 1
+
+
+def test_extreme_ids_and_clashing_names(spark):
+    texts = [" ".join(words(60, i)) for i in range(6)]
+    texts[5] = texts[0]
+    ids = [LEAST, MOST, None, 0, -1, LEAST + 1]
+    df = spark.createDataFrame(list(zip(ids, texts, ["en"] * 6, ["s"] * 6, [None] * 6)), DOCS)
+    for name in ("_m", "_n", "_k", "_host", "_path", "__n", "__h", "__p", "__k"):
+        df = df.withColumn(name, F.lit(name))
+    report = {r["doc_id"]: r for r in fingerprints.edited_report(df).collect()}
+    assert set(report) == set(ids)
+    order = [MOST, 0, -1, LEAST + 1, LEAST, None]
+    for i, d in enumerate(order):
+        text, after = (texts[ids.index(x)] for x in (d, order[(i + 1) % 6]))
+        cut = len(text) // 3
+        edited = text[: len(text) - cut] + after[:cut]
+        assert report[d]["edited_sha256"] == hashlib.sha256(edited.encode()).hexdigest()
+    linked = {r["doc_id"]: r["component_id"] for r in jaccard.link_documents(df, n=4, threshold=(85, 100)).collect()}
+    assert linked[LEAST] == linked[LEAST + 1] == LEAST and linked[MOST] == MOST
+    judged = rules.judge(df)
+    assert [c for c in judged.columns if c in df.columns] == df.columns and judged.count() == 6
+    assert {r["_m"] for r in judged.collect()} == {"_m"}
+    scored = quality.with_quality(df, spark.createDataFrame([(0, 1), (1, 0)], "doc_id long, quality int"))
+    assert scored.columns == [*df.columns, *quality.ADDED] and {r["__n"] for r in scored.collect()} == {"__n"}
+
+
+def test_rules_of_a_column_of_another_name(spark):
+    rule = rules.Rule("loud", "text LIKE '%!%' OR length( text) < 3")
+    body = " ".join(words(60, 3))
+    rows = [(1, body, "x"), (2, body + " !", "x"), (3, None, "!")]
+    named = spark.createDataFrame(rows, "doc_id long, body string, text string")
+    got = {r["doc_id"]: (r["kept"], r["failed_rule"], r["text"]) for r in rules.judge(named, (rule,), text_col="body").collect()}
+    assert got == {1: (True, None, "x"), 2: (False, "loud", "x"), 3: (False, "base", "!")}
+    assert rules.judge(named, (rule,), text_col="body").columns == ["doc_id", "body", "text", *rules.ADDED]
+
+
+def test_batches_are_bounded_from_no_limit(spark):
+    from paneloom.llm import common
+
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(key)
+    try:
+        for given, want in ((0, "1000"), (-1, "1000"), (10_000, "1000"), (300, "300")):
+            spark.conf.set(key, given)
+            common.bounded_batches(spark)
+            assert spark.conf.get(key) == want
+    finally:
+        spark.conf.set(key, before)
+
+
+def test_samples_stay_bounded(spark):
+    from paneloom.llm import common
+
+    ids = spark.range(200_000)
+    assert abs(ids.where(common.hash_below(F.col("id"), 1e-3)).count() - 200) < 80
+    assert ids.where(common.hash_below(F.col("id"), 1e-12)).count() <= 1
+    assert ids.where(common.hash_below(F.col("id"), 1.0)).count() == 200_000
+    assert ids.where(common.hash_below(F.col("id"), 0.0)).count() == 0
