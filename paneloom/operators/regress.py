@@ -17,6 +17,7 @@ from paneloom.functions.missing import known
 from paneloom.plans.shared import checked_broadcast, materialize
 
 from .multivariate import moment_sums
+from .sweep import Fit, RegressionTable, in_columns, sweep
 
 
 def _solver(k: int, constant: bool):
@@ -112,43 +113,18 @@ def regress(df: DataFrame, response: str, predictors: Sequence[str], weight: str
 def errors(df: DataFrame, response: str, predictors: Sequence[str], weight: str | None = None, *, constant: bool = True, by: Sequence[str] = (), name: str = "error") -> DataFrame:
     """`df` with the error of each row's forecast, sqrt(x' C x), C being the inverse of its group's moments times its residual
     variance. A missing predictor adds nothing."""
-    fits = fit(df, response, predictors, weight, constant=constant, by=by)
-    spread = regress(df, response, predictors, weight, constant=constant, by=by).select(*by, "residual_squares")
-    keyed = [t.withColumnsRenamed({b: f"_k{i}" for i, b in enumerate(by)}) for t in (fits.select(*by, "inverse"), spread)]
-    held = keyed[0].join(keyed[1].withColumnsRenamed({f"_k{i}": f"_l{i}" for i in range(len(by))}), _same("_k", "_l", len(by)))
-    held = checked_broadcast(materialize(held.select(*[f"_k{i}" for i in range(len(by))], "inverse", "residual_squares"), "errors"))
-    same = F.lit(True)
-    for i, b in enumerate(by):
-        same = same & F.col(b).eqNullSafe(F.col(f"_k{i}"))
-    x = [*([F.lit(1.0)] if constant else []), *[F.coalesce(known(p), F.lit(0.0)) for p in predictors]]
-    m, total = len(x), F.lit(0.0)
-    for i in range(m):
-        for j in range(m):
-            total = total + x[i] * x[j] * F.col("inverse")[i * m + j]
-    joined = df.join(held, same, "left")
-    return joined.withColumn(name, F.sqrt(total * F.col("residual_squares"))).drop("inverse", "residual_squares", *[f"_k{i}" for i in range(len(by))])
+    fitted = RegressionTable([Fit("fit", response, tuple(predictors))], weight, by, constant).update(df)
+    return fitted.predict(df, forecast=None, errors=name, residual_rows=df)
 
 
-def _same(left: str, right: str, n: int):
-    same = F.lit(True)
-    for i in range(n):
-        same = same & F.col(f"{left}{i}").eqNullSafe(F.col(f"{right}{i}"))
-    return same
-
-
-def loop(df: DataFrame, responses: Sequence[str], predictors: Sequence[str], weight: str | None = None, **options) -> DataFrame:
-    """One fit for each response, over all predictors."""
-    out = None
-    for r in responses:
-        one = regress(df, r, predictors, weight, **options).withColumn("response", F.lit(r))
-        out = one if out is None else out.unionByName(one)
-    return out
-
-
-def panel(df: DataFrame, response: str, predictors: Sequence[str], weight: str | None = None, **options) -> DataFrame:
-    """Fits on all predictors, then without the last, and so on; absent coefficients are NULL."""
-    out = None
-    for k in range(len(predictors), 0, -1):
-        one = regress(df, response, predictors[:k], weight, **options).withColumn("n_predictors", F.lit(k))
-        out = one if out is None else out.unionByName(one, allowMissingColumns=True)
-    return out
+def loop(df: DataFrame, responses: Sequence[str], predictors: Sequence[str], weight: str | None = None, *, constant: bool = True, by: Sequence[str] = (), redundancy: float = 1.0) -> DataFrame:
+    """A fit for each response over all predictors, all from one look at the moments and one at the residuals."""
+    fits = [Fit(r, r, tuple(predictors)) for r in responses]
+    return in_columns(sweep(df, fits, weight, constant=constant, by=by, redundancy=redundancy), fits, "response", by, constant=constant)
+
+
+def panel(df: DataFrame, response: str, predictors: Sequence[str], weight: str | None = None, *, constant: bool = True, by: Sequence[str] = (), redundancy: float = 1.0) -> DataFrame:
+    """Fits on all predictors, then without the last, and so on, from one look at each; absent coefficients are NULL."""
+    fits = [Fit(str(k), response, tuple(predictors[:k])) for k in range(len(predictors), 0, -1)]
+    out = in_columns(sweep(df, fits, weight, constant=constant, by=by, redundancy=redundancy), fits, "n_predictors", by, constant=constant)
+    return out.withColumn("n_predictors", F.col("n_predictors").cast("int"))

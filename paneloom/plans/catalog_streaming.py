@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from paneloom.operators import quantiles
+from paneloom.operators.sweep import Fit
 from paneloom.streaming import moments
 
 from .registry import query
@@ -66,10 +67,42 @@ def st4(spark, d):
     return got.select("event_type", "count", F.round("slope", 8).alias("slope"), F.round("intercept", 5).alias("intercept"))
 
 
-@query("st5_quantile_sketch")
+_FAR = "SELECT *, 1e8 + user_id AS x1, event_id % 97 AS x2, ln(value) AS x3, (1 + event_id % 3)::double AS w FROM events"
+
+
+@query(
+    "st4_regress_k3",
+    f"""WITH b AS (SELECT event_type AS g, w, x1 - avg(x1) OVER p AS x1, x2 - avg(x2) OVER p AS x2, x3 - avg(x3) OVER p AS x3, value AS y FROM ({_FAR}) WINDOW p AS (PARTITION BY event_type)),
+m AS (SELECT g, sum(w) AS sw, sum(w * x1) / sum(w) AS m1, sum(w * x2) / sum(w) AS m2, sum(w * x3) / sum(w) AS m3, sum(w * y) / sum(w) AS my, count(*) AS n FROM b GROUP BY g),
+s AS (SELECT g, any_value(n) AS n, sum(w * (x1 - m1) * (x1 - m1)) AS a, sum(w * (x1 - m1) * (x2 - m2)) AS b, sum(w * (x1 - m1) * (x3 - m3)) AS c, sum(w * (x2 - m2) * (x2 - m2)) AS d, sum(w * (x2 - m2) * (x3 - m3)) AS e, sum(w * (x3 - m3) * (x3 - m3)) AS f,
+ sum(w * (x1 - m1) * (y - my)) AS p, sum(w * (x2 - m2) * (y - my)) AS q, sum(w * (x3 - m3) * (y - my)) AS r FROM b JOIN m USING (g) GROUP BY g),
+t AS (SELECT *, a * (d * f - e * e) - b * (b * f - c * e) + c * (b * e - c * d) AS det FROM s)
+SELECT g AS event_type, n AS count, round((p * (d * f - e * e) - b * (q * f - e * r) + c * (q * e - d * r)) / det, 6) AS x1, round((a * (q * f - e * r) - p * (b * f - c * e) + c * (b * r - c * q)) / det, 6) AS x2, round((a * (d * r - e * q) - b * (b * r - c * q) + p * (b * e - c * d)) / det, 5) AS x3 FROM t""",
+)
+def st4_k3(spark, d):
+    """Three predictors, one of them far from 0, weighted."""
+    ev = _events(spark, d).withColumns({"x1": 1e8 + F.col("user_id"), "x2": (F.col("event_id") % 97).cast("double"), "x3": F.ln("value"), "w": (1 + F.col("event_id") % 3).cast("double")})
+    got = moments.grow_regression(ev, [Fit("y", "value", ("x1", "x2", "x3"))], "w", ["event_type"])
+    b = F.col("coefficients")
+    return got.select("event_type", "count", F.round(b[1], 6).alias("x1"), F.round(b[2], 6).alias("x2"), F.round(b[3], 5).alias("x3"))
+
+
+_RANKS = (0.05, 0.5, 0.95)
+
+
+@query(
+    "st5_quantile_sketch",
+    """WITH q AS (SELECT unnest([0.05, 0.5, 0.95]) AS q), e AS (SELECT event_type, count(*) AS n FROM events GROUP BY 1)
+SELECT event_type, n, q::double AS q, true AS near FROM e, q""",
+)
 def st5(spark, d):
-    got = moments.quantile_sketches(table(spark, d, "events"), "value", ["event_type"])
-    return got.select("event_type", F.length("sketch").alias("bytes"))
+    """Quantiles from the streamed sketch; each must have a rank within 2 % of the one asked for among all values."""
+    held = moments.run_to_end(moments.quantile_sketches(_events(spark, d), "value", ["event_type"], 400))
+    got = moments.sketched_quantiles(held, _RANKS).select("event_type", F.col("count").alias("n"), F.explode(F.arrays_zip(F.array(*map(F.lit, _RANKS)).alias("q"), F.col("quantiles").alias("x"))).alias("_z"))
+    got = got.select("event_type", "n", F.col("_z.q").alias("q"), F.col("_z.x").alias("x"))
+    ev = table(spark, d, "events").select("event_type", "value")
+    ranked = ev.join(F.broadcast(got), "event_type").groupBy("event_type", "n", "q").agg(F.avg((F.col("value") < F.col("x")).cast("double")).alias("below"), F.avg((F.col("value") <= F.col("x")).cast("double")).alias("upto"))
+    return ranked.select("event_type", "n", "q", ((F.col("below") <= F.col("q") + 0.02) & (F.col("upto") >= F.col("q") - 0.02)).alias("near"))
 
 
 @query("st5_exact_quantiles", "SELECT event_type, count(*) AS n, round(median(value), 9) AS median FROM events GROUP BY 1")

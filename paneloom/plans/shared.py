@@ -41,6 +41,12 @@ def _delete_at_end(spark: SparkSession, path: str) -> None:
     system.deleteOnExit(p)
 
 
+def written_later(spark: SparkSession, path: str) -> None:
+    """Have a folder that something else writes deleted like a materialized table."""
+    _delete_at_end(spark, path)
+    _written.append(path)
+
+
 def materialize(df: DataFrame, name: str = "t") -> DataFrame:
     """Write `df` as Parquet to the shared folder and read it back: every executor can read it, whoever is lost."""
     spark = df.sparkSession
