@@ -90,22 +90,28 @@ def convert(value: str):
     return {"True": True, "False": False, "None": None}.get(value, value)
 
 
-def args2dict(args: list[str], preserve_commas: bool = False) -> dict:
+def _read(value: str, preserve_commas: bool):
+    """A typed value, or a list of them where commas part it."""
+    return [convert(x) for x in value.split(",")] if "," in value and not preserve_commas else convert(value)
+
+
+def args2dict(args: list[str] | str, preserve_commas: bool = False) -> dict:
     """['k=v', 'k=a,b', 'a=k=v'] -> typed values, lists and nested dicts."""
     out: dict = {}
-    for arg in args:
+    for arg in [args] if isinstance(args, str) else args:
         key, _, rest = arg.partition("=")
-        inner, eq, value = rest.partition("=")
-        read = (lambda v: v) if preserve_commas else (lambda v: [convert(x) for x in v.split(",")] if "," in v else convert(v))
-        if eq:
-            out.setdefault(key, {})[inner] = read(value)
+        inner, nested, value = rest.partition("=")
+        if nested:
+            out.setdefault(key, {})[inner] = _read(value, preserve_commas)
         else:
-            out[key] = read(rest) if not preserve_commas else convert(rest)
+            out[key] = _read(rest, preserve_commas)
     return out
 
 
-def args2listdict(args: list[str], preserve_commas: bool = False) -> tuple[list, dict]:
-    return [convert(a) for a in args if "=" not in a], args2dict([a for a in args if "=" in a], preserve_commas)
+def args2listdict(args: list[str] | str, preserve_commas: bool = False) -> tuple[list, dict]:
+    """Words without '=' as a list, typed like the values of the others."""
+    args = [args] if isinstance(args, str) else args
+    return [_read(a, preserve_commas) for a in args if "=" not in a], args2dict([a for a in args if "=" in a], preserve_commas)
 
 
 def lines2dict(lines: list[str]):

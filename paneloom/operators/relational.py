@@ -85,8 +85,13 @@ def slice_rows(df: DataFrame, order: Sequence[Column], start: int | None = None,
 
 
 def unique_first(df: DataFrame, keys: Sequence[str], order: Sequence[Column]) -> DataFrame:
-    """The first row of each key in order."""
-    return df.withColumn("_n", F.row_number().over(W.partitionBy(*keys).orderBy(*order))).where("_n = 1").drop("_n")
+    """The first row of each key in order: an aggregate with partial minima, so a hot key is no task's own. Ascending, or
+    descending numbers by `-column`."""
+    rest = [c for c in df.columns if c not in keys]
+    if not rest:
+        return df.select(*df.columns).distinct()
+    got = df.groupBy(*keys).agg(F.min_by(F.struct(*rest), F.struct(*[c.alias(f"_o{i}") for i, c in enumerate(order)])).alias("_row"))
+    return got.select(*[F.col(c) if c in keys else F.col(f"_row.{c}").alias(c) for c in df.columns])
 
 
 def sorted_known(df: DataFrame, key: str, reverse: bool = False, ties: Sequence[Column] = ()) -> DataFrame:
@@ -116,7 +121,8 @@ def output(df: DataFrame, *, order: Sequence[Column], fields: Sequence[str] | No
         rows = slice_rows(rows, now, *sliced)
     rows = where_values(rows, select_values, skip_values)
     if unique:
-        rows = unique_first(rows, unique, now)
+        at = [F.col("_own"), *([] if sort is None else [known(sort)])][::-1]
+        rows = unique_first(rows, unique, [-c if reverse else c for c in at])
     return project(rows.orderBy(*now).drop("_own"), fields, exclude, rename)
 
 

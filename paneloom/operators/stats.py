@@ -182,11 +182,12 @@ def column_summary(df: DataFrame, spec: Sequence[str], weight: str | None = None
 def gini(df: DataFrame, count: str, income: str, by: Sequence[str] = ()) -> DataFrame:
     """Gini coefficient of groups of `count` people with `income` each."""
     from paneloom.plans.ranking import running
+    from paneloom.plans.shared import checked_broadcast, materialize
 
     base = df.where(valid(income, count)).select(*by, known(count).alias("_n"), known(income).alias("_m"))
     cum = running(base, by, [F.col("_m")], {"_upto": F.col("_n")})
     total = base.groupBy(*by).agg(F.sum("_n").alias("_p"), F.sum(F.col("_n") * F.col("_m")).alias("_s"))
-    joined = cum.join(F.broadcast(total), list(by)) if by else cum.crossJoin(F.broadcast(total))
+    joined = cum.join(checked_broadcast(materialize(total, "totals")), list(by)) if by else cum.crossJoin(F.broadcast(total))
     above = F.col("_p") - F.col("_upto") + F.col("_n") / 2
     return joined.groupBy(*by).agg((1 - 2 * F.sum(F.col("_n") * F.col("_m") / F.col("_s") * above / F.col("_p"))).alias("gini"))
 

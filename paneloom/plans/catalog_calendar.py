@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from paneloom.functions import dates
-from paneloom.operators import neighbors, sampling, sets, spatial
+from paneloom.operators import neighbors, sampling, sets, spatial, userdefined
 from paneloom.operators.calendar import Calendar, calendar_from
 
 from .catalog_stats import NINE, sql_quantiles
@@ -289,3 +289,32 @@ def z1(spark, d):
 @query("z6_table_function", "SELECT event_id, unnest(range(event_id % 3 + 1)) AS k FROM events")
 def z6(spark, d):
     return table(spark, d, "events").select("event_id", F.explode(F.sequence(F.lit(0).cast("long"), F.col("event_id") % 3)).alias("k"))
+
+
+@query(
+    "z6_table_function_of_parts",
+    """WITH g AS (SELECT user_id, value, ts, event_id, CASE WHEN ts < lag(ts) OVER (PARTITION BY user_id ORDER BY ts, event_id) + INTERVAL 6 HOUR THEN 0 ELSE 1 END AS n FROM events),
+s AS (SELECT *, sum(n) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS k FROM g)
+SELECT user_id, CAST(k - 1 AS BIGINT) AS visit, count(*) AS events, max(value) AS most FROM s GROUP BY user_id, k""",
+)
+def z6_parts(spark, d):
+    """Visits of each user, yielded one by one as their events come in order of time."""
+
+    class Visits:
+        def __init__(self):
+            self.user, self.last, self.visit, self.n, self.most = None, None, 0, 0, 0.0
+
+        def eval(self, row):
+            if self.n and row["us"] - self.last >= 6 * 3600 * 1_000_000:
+                yield self.user, self.visit, self.n, self.most
+                self.visit, self.n, self.most = self.visit + 1, 0, 0.0
+            self.user, self.last, self.n = row["user_id"], row["us"], self.n + 1
+            self.most = max(self.most, row["value"]) if self.n > 1 else row["value"]
+
+        def terminate(self):
+            if self.n:
+                yield self.user, self.visit, self.n, self.most
+
+    visits = userdefined.table_function(Visits, "user_id long, visit long, events long, most double")
+    ev = table(spark, d, "events").select("user_id", F.unix_micros(F.col("ts").cast("timestamp")).alias("us"), "event_id", "value")
+    return visits(ev, ["user_id"], ["us", "event_id"])

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from paneloom.operators import quantiles, stats
+from paneloom.operators import quantiles, stats, userdefined
 
 from .registry import query
 from .tables import table
@@ -243,3 +243,30 @@ def a36(spark, d):
 def z5(spark, d):
     orders = table(spark, d, "orders")
     return orders.groupBy("o_orderstatus").agg(*[F.round(stats.AGGREGATES[s]("o_totalprice", None), 4).alias(s) for s in ("mean", "std_dev")])
+
+
+@query(
+    "z5_aggregate_of_own_state",
+    """WITH m AS (SELECT event_type, avg(value) AS mu, stddev_pop(value) AS s FROM events GROUP BY 1)
+SELECT event_type, count(*) AS n, round(sum(power(value - mu, 3)) / count(*) / power(any_value(s), 3), 6) AS skewness FROM events JOIN m USING (event_type) GROUP BY 1""",
+)
+def z5_own(spark, d):
+    """Skewness, by states of count, mean and sums of second and third powers that are merged."""
+
+    def merge(a, b):
+        n = a[0] + b[0]
+        if not a[0] or not b[0]:
+            return a if a[0] else b
+        d, m2, m3 = b[1] - a[1], a[2] + b[2], a[3] + b[3]
+        m3 += d**3 * a[0] * b[0] * (a[0] - b[0]) / n**2 + 3 * d * (a[0] * b[2] - b[0] * a[2]) / n
+        return n, a[1] + d * b[0] / n, m2 + d * d * a[0] * b[0] / n, m3
+
+    def step(state, row):
+        return state if row["value"] is None else merge(state, (1, row["value"], 0.0, 0.0))
+
+    def end(state):
+        n, _, m2, m3 = state
+        return {"n": n, "skewness": round(m3 / n / (m2 / n) ** 1.5, 6) if n and m2 else None}
+
+    skewness = userdefined.Aggregate(lambda: (0, 0.0, 0.0, 0.0), step, merge, end)
+    return userdefined.aggregate(table(spark, d, "events"), ["event_type"], ["value"], skewness, "n long, skewness double")

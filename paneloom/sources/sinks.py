@@ -11,9 +11,12 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-#: Columns of statistics tables, in the order they are shown.
-STATISTICS = ("size", "count", "d_count", "mean_wt", "sum", "mean", "sum_square", "mean_square", "variance", "std_dev", "std_err", "t_stat", "min", "max", "p99", "p95", "p90", "p75", "median", "p25", "p10", "p05", "p01", "mad")
-SHORT = ("count", "mean", "std_dev", "std_err", "t_stat", "min", "median", "max")
+#: Columns of statistics tables in the order they are shown, with their formats, and those shown by default.
+STATISTICS = {
+    "size": "%7d", "count": "%7d", "d_count": "%8.1f", "mean_wt": "%7.3f", "sum": "%8.1f", "mean": "%8.4f", "std_dev": "%8.4f", "t_stat": "%7.3f", "median": "%8.4f", "mad": "%8.4f",
+    "p25": "%8.4f", "p75": "%8.4f", "p10": "%8.4f", "p90": "%8.4f", "correlation": "%7.4f", "multiple": "%10.6f", "std_err": "%8.6f", "variance": "%8.6f", "min": "%8.3f", "max": "%8.3f",
+}
+SHORT = ("count", "d_count", "mean_wt", "mean", "std_dev", "correlation", "t_stat", "median", "mad", "min", "max")
 
 _NAMES = {T.DoubleType: "double", T.FloatType: "double", T.LongType: "long", T.IntegerType: "long", T.BooleanType: "bool", T.StringType: "string"}
 
@@ -55,8 +58,8 @@ def line(df: DataFrame, *, fields: Sequence[str] | None = None, exclude: Sequenc
 
 
 def write_text_table(df: DataFrame, path: str, *, append: bool = False, compress: bool = False, delimiter: str = " ", **options) -> None:
-    """Part files of lines; a new table also gets its header as '_header' beside them, or as each file's first lines
-    when it is one partition. Appending to a compressed table is refused."""
+    """Part files of lines. A new table's first part file holds its header, which is where `read_text_table` looks for it;
+    appended parts have none. Appending to a compressed table is refused."""
     if append and compress:
         raise ValueError("cannot append to a compressed table")
     rows = df.select(line(df, delimiter=delimiter, **options).alias("value"))
@@ -72,9 +75,11 @@ def to_string(df: DataFrame, *, limit: int = 1000, spec: bool = False, **options
 
 
 def statistics_table(df: DataFrame, *, label: str = "label", include: Sequence[str] = (), exclude: Sequence[str] = (), all: bool = False) -> DataFrame:
-    """Statistics in their fixed order: a short list, with `include` added in place, or all of them."""
-    wanted = [s for s in STATISTICS if s in df.columns and (all or s in SHORT or s in include) and s not in exclude]
-    return df.select(*([label] if label in df.columns else []), *wanted)
+    """Statistics in their fixed order and formats: the short list with `include` added in place, or all of them. The label
+    comes first; statistics outside the fixed list come last, by name, where `include` or `all` asks for them."""
+    known = [s for s in STATISTICS if s in df.columns and (all or s in SHORT or s in include) and s not in exclude]
+    other = sorted(c for c in df.columns if c not in STATISTICS and c != label and (all or c in include) and c not in exclude)
+    return df.select(*([label] if label in df.columns else []), *[F.col(s).alias(s, metadata={"format": STATISTICS[s]}) for s in known], *other)
 
 
 def save_arrays(spark: SparkSession, arrays: Iterable[Sequence[float]], path: str, select: Sequence[bool] | None = None) -> None:

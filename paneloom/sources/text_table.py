@@ -1,7 +1,10 @@
 """Text tables: an optional header of '#fields', '#types', '#formats', '#separator' lines, then one row for each line.
 
-The header is read on the driver from the first lines; rows are split, filtered and typed in the scan's own projection.
-Compressed files (.gz) are read as they are.
+The header is the block of lines that begin with '#' at the head of the first file, however long; such lines further down are
+comments. Only the first split of that file is looked at for it, by one task that stops where the block ends. Rows are split,
+filtered and typed in the scan's own projection, file splits in parallel. Compressed files (.gz) are read as they are, also
+where only the name without .gz is given. Spark's own text reader is used, and no Python one, as it reads any store and cuts
+files at line ends.
 """
 
 from __future__ import annotations
@@ -49,6 +52,39 @@ def schema_of(spec: Sequence[Field | tuple]) -> T.StructType:
     return T.StructType([(f if isinstance(f, Field) else Field(*f)).spark() for f in spec])
 
 
+def found_path(spark: SparkSession, path: str) -> str | None:
+    """The path, or the compressed file beside a missing bare one; None if there is neither."""
+    for name in (path, f"{path}.gz"):
+        p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(name)
+        matches = p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).globStatus(p)
+        if matches is not None and len(matches):
+            return name
+    return None
+
+
+def leading_block(spark: SparkSession, path: str) -> list[str]:
+    """The lines at the head of the first file, by name, that begin with '#'."""
+    files = sorted(spark.read.text(path).inputFiles())
+    if not files:
+        return []
+    first = spark.read.text(files[0]).where(F.col("_metadata.file_block_start") == 0).select("value")
+
+    def head(batches):
+        import pyarrow as pa
+
+        for b in batches:
+            lines = []
+            for line in b.column(0).to_pylist():
+                if not line.startswith("#"):
+                    break
+                lines.append(line)
+            yield pa.RecordBatch.from_arrays([pa.array(lines, pa.string())], ["value"])
+            if len(lines) < len(b):
+                return
+
+    return [r[0] for r in first.mapInArrow(head, "value string").collect()]
+
+
 def read_header(lines: Iterable[str]) -> tuple[list[Field], str | None]:
     """Fields and separator from the leading '#' lines; lists of unequal length are an error."""
     parts: dict[str, list[str]] = {}
@@ -73,11 +109,13 @@ def read_text_table(spark: SparkSession, path: str, spec: Sequence[Field | tuple
     """A typed table. `separator` is a regular expression (default: white space); values are filtered before typing."""
     if select_fields is not None and skip_fields is not None:
         raise ValueError("give select_fields or skip_fields, not both")
-    lines = spark.read.text(path)
+    found = found_path(spark, path)
+    if found is None:
+        raise FileNotFoundError(path)
+    lines = spark.read.text(found)
     if spec is None:
-        head = [r[0] for r in lines.where(F.col("value").startswith("#")).limit(16).collect()]
-        spec, found = read_header(head)
-        separator = separator or (re.escape(found) if found else None)
+        spec, own = read_header(leading_block(spark, found))
+        separator = re.escape(own) if own else separator
     fields = [f if isinstance(f, Field) else Field(*f) for f in spec]
     names = [f.name for f in fields]
     rows = lines.where(~F.col("value").startswith("#") & (F.trim("value") != ""))
