@@ -15,21 +15,21 @@ such window covers it.
    reference only where there is no other. So equal windows have equal anchors, wherever they stand, and a window that
    reaches out of a common passage has an anchor of its own. Only anchors that two documents share go on (counted with
    partial sums). The smallest document of a window never loses it to the reference, so it is always among them.
-4. Segments. A document is cut into the stretches of words whose windows one shared anchor owns. Equal segments are
-   grouped by a 128-bit digest: each but the one of smallest id is covered whole, since that document has all its windows.
-   So copies come down to one text for each context.
-5. Shards. What is left are the different segments around one anchor. They are dealt to shards by anchor; a shard is
-   bounded in words, and one suffix automaton over its segments decides on their windows as that of the reference does.
-   What is shared by few grows with the input, so these shards are built in the task that streams their segments rather
-   than broadcast.
-6. An anchor with more than `shard_rows` different segments (a passage in many contexts, too rare for the reference) would
-   fill a shard by itself. Its windows are grouped by a 128-bit digest with the smallest document instead, which has
-   partial sums and no bound on the group: the exact way for what no shard may hold.
-
-Steps 2 and 5 compare words; steps 4 and 6 compare 128-bit digests of words.
-
-Defined results: words are runs of anything but space and \\t to \\r; a null text has none; a null id counts as larger than
-all; rows of equal id are never deduplicated against one another; an empty table gives no rows.
+4. Segments. A document is cut into the stretches of words whose windows one shared anchor owns. Equal segments of an anchor
+   are collapsed to one by a 128-bit digest: its owner, the one of smallest id, stands for its copies.
+5. Shards. The different segments of the anchors that two documents share are dealt to shards by anchor (those of an anchor
+   with one text by document, where neighbours are one text again); a shard is bounded in words and bytes, and one suffix automaton over its segments decides on all their windows as that of the reference does:
+   for a segment's owner by the smaller documents before it, for its copies by those and the owner. What a copy loses is
+   what the automaton says of the text that it was collapsed to. What is shared by few grows with the input, so these shards
+   are built in the task that streams their segments rather than broadcast.
+6. An anchor with more than `shard_rows` different segments (a passage in many contexts, too rare for the reference), or more
+   than `shard_bytes` of them, would fill a shard by itself. Its windows are grouped by a 128-bit digest with the smallest
+   document instead, which has partial sums and no bound on the group: the exact way for what no shard may hold.
+
+Steps 2 and 5 compare words; the collapsing of step 4 and step 6 compare 128-bit digests of words.
+
+Defined results: words are runs of anything but space and \\t to \\r; a null text has none; a null id counts as the largest, 2^63
+- 1, and is not told from it; rows of equal id are never deduplicated against one another; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -51,6 +51,8 @@ from .common import bounded_batches, leave_cache, released
 
 _ODD = np.uint64(0x9E3779B97F4A7C15)
 _NO_ID = (1 << 63) - 1
+#: Words of a document whose segments without another text are dealt together.
+_BESIDE = 5000
 #: Mean length of word up to which a stretch may be in the reference.
 _LONG = 32
 
@@ -271,8 +273,9 @@ class SuffixAutomaton:
         return covered_starts(self.flat(), words, doc, window)
 
 
-def covered_starts(automaton: tuple, words: list, doc: int, window: int) -> list[int]:
-    """Starts of the windows of `words` that occur in a sequence of smaller id."""
+def covered_starts(automaton: tuple, words: list, doc: int, window: int, own: list[int] | None = None) -> list[int]:
+    """Starts of the windows of `words` that occur in a sequence of smaller id. To `own` are added those that occur in one of
+    smaller or equal id: what a copy of larger id loses."""
     number, go, link, length, first = automaton
     size = len(number)
     v, n, out = 0, 0, []
@@ -291,8 +294,11 @@ def covered_starts(automaton: tuple, words: list, doc: int, window: int) -> list
         while v and length[link[v]] >= window:
             v = link[v]
             n = length[v]
-        if n >= window and first[v] < doc:
-            out.append(i - window + 1)
+        if n >= window and first[v] <= doc:
+            if first[v] < doc:
+                out.append(i - window + 1)
+            if own is not None:
+                own.append(i - window + 1)
     return out
 
 
@@ -307,18 +313,44 @@ def _runs(starts: list[int], window: int) -> list[tuple[int, int]]:
     return [(a, b) for a, b in out]
 
 
+def _joined(pdf: pd.DataFrame, window: int) -> Iterator[tuple[list, list]]:
+    """Texts of a shard, in order of document, with the rows and word offsets of the segments in each: segments that follow one
+    another in a document, and of whose anchors there is no other text, are one text again."""
+    rows = list(pdf.itertuples(index=False))
+    at = 0
+    while at < len(rows):
+        words, parts, last = rows[at].words.split(b" "), [(rows[at], 0)], rows[at]
+        at += 1
+        while at < len(rows) and last.pure and rows[at].pure and (last.doc, last.tag, last.first + last.n - window + 1) == (rows[at].doc, rows[at].tag, rows[at].first):
+            last = rows[at]
+            parts.append((last, len(words) - window + 1))
+            words += last.words.split(b" ")[window - 1 :]
+            at += 1
+        yield words, parts
+
+
 def _shard(pdf: pd.DataFrame, window: int) -> pd.DataFrame:
-    pdf = pdf.sort_values("doc", kind="stable")
+    """Spans of the segments' owners (copies false), and of the segments as their copies have them (from a segment's start)."""
+    texts = list(_joined(pdf.sort_values(["doc", "tag", "first"], kind="stable"), window))
     automaton = SuffixAutomaton()
-    texts = [w.split(b" ") for w in pdf["words"]]
-    for words, doc in zip(texts, pdf["doc"]):
-        automaton.add(words, doc)
+    for words, parts in texts:
+        automaton.add(words, parts[0][0].doc)
     automaton.settle()
-    flat, rows = automaton.flat(), []
-    for words, doc, tag, first, lowest in zip(texts, pdf["doc"], pdf["tag"], pdf["first"], pdf["lowest"]):
-        if lowest < doc:
-            rows += [(doc, tag, first + a, first + b) for a, b in _runs(covered_starts(flat, words, doc, window), window)]
-    return pd.DataFrame(rows, columns=["doc", "tag", "a", "b"])
+    flat, out = automaton.flat(), []
+    for words, parts in texts:
+        if all(r.lowest >= r.doc == r.top for r, _ in parts):
+            continue
+        own: list[int] = []
+        lost = np.array(covered_starts(flat, words, parts[0][0].doc, window, own), np.int64)
+        held = np.array(own, np.int64)
+        for r, offset in parts:
+            for copies, starts in ((False, lost), (True, held)):
+                if copies and r.doc == r.top:
+                    continue
+                some = starts[np.searchsorted(starts, offset) : np.searchsorted(starts, offset + r.n - window, "right")] - offset
+                place = 0 if copies else r.first
+                out += [(r.anchor, r.g1, r.g2, copies, r.doc, r.tag, place + a, place + b) for a, b in _runs(some.tolist(), window)]
+    return pd.DataFrame(out, columns=["anchor", "g1", "g2", "copies", "doc", "tag", "a", "b"])
 
 
 def _windows(batches: Iterator[pa.RecordBatch], window: int) -> Iterator[pa.RecordBatch]:
@@ -333,7 +365,7 @@ def _windows(batches: Iterator[pa.RecordBatch], window: int) -> Iterator[pa.Reco
             yield pa.RecordBatch.from_arrays([pa.array(g[:, 0].copy()), pa.array(g[:, 1].copy()), pa.array(np.full(n, doc)), pa.array(np.full(n, tag)), pa.array(np.arange(first, first + n, dtype=np.int32))], names=names)
 
 
-def repeated_spans(df: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", window: int = 50, gram: int = 10, shard_words: int = 60_000, shard_rows: int = 1000, rate: int = 16, least: int = 4, most: int = 1500) -> DataFrame:
+def repeated_spans(df: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", window: int = 50, gram: int = 10, shard_words: int = 60_000, shard_rows: int = 1000, shard_bytes: int = 2 << 20, rate: int = 16, least: int = 4, most: int = 1500) -> DataFrame:
     """doc, tag, spans: for each document with repeated words, their spans [a, b) (word positions, unordered). `tag` is xxhash64 of the text."""
     bounded_batches(df.sparkSession)
     docs = df.select(F.coalesce(F.col(id_col).cast("long"), F.lit(_NO_ID)).alias("doc"), F.col(text_col).cast("string").alias("text")).withColumn("tag", F.xxhash64("text"))
@@ -350,27 +382,34 @@ def repeated_spans(df: DataFrame, *, id_col: str = "doc_id", text_col: str = "te
     segments = chosen.mapInArrow(partial(_segments, window=window, gram=gram, held=held), "anchor long, doc long, tag long, first int, n int, g1 long, g2 long, words binary")
     segments = materialize(segments, "segments")
 
-    kinds = materialize(segments.groupBy("anchor", "g1", "g2").agg(F.min("doc").alias("owner"), F.max("doc").alias("top")), "kinds")
-    by_anchor = kinds.groupBy("anchor").agg(F.count(F.lit(1)).alias("kinds"), F.min("owner").alias("lowest"), F.max("top").alias("highest"))
-    by_anchor = materialize(by_anchor, "by_anchor")
-    repeated = kinds.where("owner < top").select("anchor", "g1", "g2", "owner")
     keys = ["anchor", "g1", "g2"]
-    light = segments.drop("words")
-    whole = light.join(materialize(repeated, "repeated").hint("merge"), keys).where("doc > owner").select("doc", "tag", F.col("first").alias("a"), (F.col("first") + F.col("n")).alias("b"))
-
-    mixed = materialize(by_anchor.where("kinds > 1 AND lowest < highest"), "mixed")
-    owners = kinds.join(mixed.hint("merge"), "anchor").select(*keys, F.col("owner").alias("doc"), "kinds", "lowest")
-    contexts = segments.join(materialize(owners, "owners").hint("merge"), [*keys, "doc"]).drop("g1", "g2")
-    contexts = materialize(contexts, "contexts")
-    small, large = contexts.where(F.col("kinds") <= shard_rows), contexts.where(F.col("kinds") > shard_rows)
-    words = small.agg(F.sum("n")).first()[0] or 0
-    shards = max(1, int(words // shard_words) + 1)
-    dealt = small.withColumn("shard", F.pmod(F.xxhash64("anchor"), F.lit(shards)))
-    found = dealt.groupBy("shard").applyInPandas(partial(_shard, window=window), "doc long, tag long, a int, b int")
+    kinds = segments.groupBy(*keys).agg(F.min("doc").alias("owner"), F.max("doc").alias("top"), F.max(F.octet_length("words")).alias("bytes"))
+    kinds = materialize(kinds, "kinds")
+    by_anchor = kinds.groupBy("anchor").agg(F.count(F.lit(1)).alias("kinds"), F.sum("bytes").alias("held"), F.min("owner").alias("lowest"), F.max("top").alias("highest"))
+    by_anchor = by_anchor.where("lowest < highest").withColumns({"alone": (F.col("kinds") > shard_rows) | (F.col("held") > shard_bytes), "pure": F.col("kinds") == 1})
+    by_anchor = materialize(by_anchor.drop("highest", "kinds", "held"), "by_anchor")
+    owners = kinds.join(by_anchor.hint("merge"), "anchor").select(*keys, F.col("owner").alias("doc"), "top", "lowest", "alone", "pure")
+    owners = materialize(owners, "owners")
+    contexts = materialize(segments.join(owners.hint("merge"), [*keys, "doc"]), "contexts")
+    small, large = contexts.where("NOT alone"), contexts.where("alone")
+    words, size = small.agg(F.sum("n"), F.sum(F.octet_length("words"))).first()
+    shards = max(1, int((words or 0) // shard_words) + 1, int((size or 0) // shard_bytes) + 1)
+    # what has no other text need only meet what stands beside it in its document
+    key = F.when(F.col("pure"), F.xxhash64("doc", "tag", F.floor(F.col("first") / _BESIDE))).otherwise(F.xxhash64("anchor"))
+    dealt = small.withColumn("shard", F.pmod(key, F.lit(shards)))
+    schema = "anchor long, g1 long, g2 long, copies boolean, doc long, tag long, a int, b int"
+    verdicts = materialize(dealt.groupBy("shard").applyInPandas(partial(_shard, window=window), schema), "verdicts")
+    found = verdicts.where("NOT copies").select("doc", "tag", "a", "b")
+    # a copy has its segment's spans at its own place; of segments that no shard may hold a copy is covered whole
+    light = segments.select(*keys, "doc", "tag", "first", "n")
+    of_copies = verdicts.where("copies").select(*keys, F.col("doc").alias("owner"), "a", "b")
+    copies = light.join(of_copies.hint("merge"), keys).where("doc > owner").select("doc", "tag", (F.col("first") + F.col("a")).alias("a"), (F.col("first") + F.col("b")).alias("b"))
+    alone = owners.where("alone AND doc < top").select(*keys, F.col("doc").alias("owner"))
+    whole = light.join(alone.hint("merge"), keys).where("doc > owner").select("doc", "tag", F.col("first").alias("a"), (F.col("first") + F.col("n")).alias("b"))
     single = materialize(large.select("words", "doc", "tag", "first").mapInArrow(partial(_windows, window=window), "g1 long, g2 long, doc long, tag long, a int"), "windows")
     lowest = single.groupBy("g1", "g2").agg(F.min("doc").alias("lo"), F.max("doc").alias("hi")).where("lo < hi").select("g1", "g2", "lo")
     odd = single.join(lowest, ["g1", "g2"]).where("lo < doc").select("doc", "tag", "a", (F.col("a") + F.lit(window)).alias("b"))
-    spans = common.unionByName(whole).unionByName(found).unionByName(odd)
+    spans = common.unionByName(found).unionByName(copies).unionByName(whole).unionByName(odd)
     return materialize(spans.groupBy("doc", "tag").agg(F.collect_set(F.struct("a", "b")).alias("spans")), "spans")
 
 
