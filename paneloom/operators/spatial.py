@@ -109,7 +109,8 @@ def nearest(df: DataFrame, id_col: str, features: str, k: int, *, power: float =
 
 
 def knn_stats(df: DataFrame, id_col: str, response: str, distances: DataFrame, k: int, *, weight: str | None = None, cutoff: float | None = None, reciprocal: tuple[float, float] | None = None) -> DataFrame:
-    """For each row: count of neighbours, mean distance, weighted mean and deviation of their responses."""
+    """For each row: count of neighbours, mean distance, weighted mean of their responses. `neighbors.neighbour_statistics` gives
+    all statistics of both, and the neighbours."""
     own = df.select(F.col(id_col).alias("j"), known(response).alias("_y"), (known(weight) if weight else F.lit(1.0)).alias("_w"))
     near = knn(distances, k, cutoff).join(own, "j")
     w = F.col("_w") * (reciprocal_weights("d", *reciprocal) if reciprocal else F.lit(1.0))
@@ -148,54 +149,92 @@ def point_in_polygon(x, y, polygon: Sequence[tuple[float, float]]) -> Column:
     return crossings % 2 == 1
 
 
-class DensityPeaks:
-    """Centers of two-dimensional density: a histogram, smoothed by a disc or square, whose maxima are taken one by one,
-    each masking its surroundings. The histogram is an aggregate; its grid has bins x bins cells, so the rest is local."""
+def density_window(shape: Sequence[float], window: tuple[str, float] | str, bins: int, circular: bool) -> tuple[np.ndarray, np.ndarray]:
+    """A smoothing window over grid cells, and which of its cells count; its mean over these is 1.
+
+    A side below 1 is a share of the bins; sides are odd numbers of cells. `window` is 'boxcar' or ('gaussian', width), the
+    width in cells or below 1 as a share of the side. As with periodic windows, a gaussian's middle lies half a cell past
+    that of its side. `circular` keeps the cells of the ellipse inside.
+    """
+    sides = [int(s * bins) if s < 1 else int(s) for s in shape]
+    sides = [s + 1 - s % 2 for s in sides]
+    kind, width = (window, 0.0) if isinstance(window, str) else window
+    if kind == "boxcar":
+        along = [np.ones(s) for s in sides]
+    elif kind == "gaussian":
+        widths = [int(width * s) if width < 1 else width for s in sides]
+        if min(widths) <= 0:
+            raise ValueError(f"a gaussian of width {width} is no cell wide on sides of {sides}")
+        along = [np.exp(-0.5 * ((np.arange(s) - s / 2) / w) ** 2) for s, w in zip(sides, widths, strict=True)]
+    else:
+        raise ValueError(f"unknown window {kind}")
+    weight = np.outer(along[1], along[0])
+    mask = np.ones(weight.shape, bool)
+    if circular:
+        far = [np.linspace(-1, 1, n) if n > 1 else np.zeros(1) for n in weight.shape]
+        mask = far[0][:, None] ** 2 + far[1][None, :] ** 2 <= 1
+    weight = np.where(mask, weight, 0.0)
+    return weight * mask.sum() / weight.sum(), mask
+
+
+def dense_centers(counts: np.ndarray, weight: np.ndarray, mask: np.ndarray, k: int | None, least: float) -> list[tuple[int, int, float, float]]:
+    """Cells of the densest places one after another: row, column, smoothed count, and the count in cells that became dense.
+
+    Places whose window fits in the grid are smoothed by convolution over the cells that no earlier center has taken, and are
+    centers only if no earlier one took them. The last center is the first whose own count is at most `least`.
+    """
+    size, half = weight.shape, [(s - 1) // 2 for s in weight.shape]
+    taken = np.zeros(counts.shape, bool)
+    limit = counts.size - mask.sum()
+    out: list[tuple[int, int, float, float]] = []
+    if any(n < s for n, s in zip(counts.shape, size, strict=True)):
+        return out
+    turned = weight[::-1, ::-1]
+    while not out or (len(out) < (k or counts.size) and out[-1][3] > least and taken.sum() < limit):
+        free = np.where(taken, 0, counts)
+        smooth = np.einsum("ijuv,uv->ij", np.lib.stride_tricks.sliding_window_view(free, size), turned)
+        middle = taken[half[0] : half[0] + smooth.shape[0], half[1] : half[1] + smooth.shape[1]]
+        open_ = np.where(middle, -np.inf, smooth)
+        i, j = np.unravel_index(open_.argmax(), open_.shape)
+        if middle[i, j]:
+            break
+        before = taken.copy()
+        taken[i : i + size[0], j : j + size[1]] |= mask
+        out.append((int(i) + half[0], int(j) + half[1], float(smooth[i, j]), float(counts[taken & ~before].sum())))
+    return out
 
-    def __init__(self, k: int, *, min_count: float = 0, bins: int = 100, window: float = 0.1, shape: str = "disc", circular: bool = False):
-        self.k, self.min_count, self.bins, self.window, self.shape, self.circular = k, min_count, bins, window, shape, circular
 
-    def kernel(self) -> np.ndarray:
-        r = max(1, int(round(self.window * self.bins / 2)))
-        y, x = np.mgrid[-r : r + 1, -r : r + 1]
-        mask = (x * x + y * y <= r * r) if self.shape == "disc" else np.ones_like(x, bool)
-        weight = np.where(mask, np.exp(-2.0 * (x * x + y * y) / (r * r)), 0.0)
-        return weight / weight[mask].mean()
+class DensityPeaks:
+    """Centers of two-dimensional density. The histogram is an aggregate with partial counts; its grid has bins x bins cells, so
+    what is smoothed and searched on the driver is bounded by `bins`, whatever the rows. `min_count` below 1 is a share of
+    the rows."""
+
+    def __init__(self, k: int | None = 100, *, min_count: float = 0.0005, bins: int = 100, window: tuple[str, float] | str = ("gaussian", 0.3), shape: Sequence[float] = (0.1, 0.1), circular: bool = True):
+        self.k, self.min_count, self.bins = k, min_count, bins
+        self.weight, self.mask = density_window(shape, window, bins, circular)
 
     def fit(self, df: DataFrame, x: str, y: str, range: tuple | None = None) -> DensityPeaks:
+        """Rows outside `range`, or without a coordinate, do not count; a last bin holds its upper end."""
         a, b = known(x), known(y)
         rows = df.where(a.isNotNull() & b.isNotNull())
-        if range is None:
-            lo_x, hi_x, lo_y, hi_y = rows.agg(F.min(a), F.max(a), F.min(b), F.max(b)).first()
-        else:
-            (lo_x, hi_x), (lo_y, hi_y) = range
-        self.centers: list[tuple[float, float, float]] = []
+        (lo_x, hi_x), (lo_y, hi_y) = range or [v[:2] for v in zip(*[iter(rows.agg(F.min(a), F.max(a), F.min(b), F.max(b)).first())] * 2, strict=True)]
+        self.centers: list[tuple[float, float, float, float]] = []
+        self.grid = np.zeros((self.bins, self.bins))
         if lo_x is None:
             return self
+        # a side of no extent is a unit around its value
+        (lo_x, hi_x), (lo_y, hi_y) = ((lo - 0.5, hi + 0.5) if lo == hi else (lo, hi) for lo, hi in ((lo_x, hi_x), (lo_y, hi_y)))
 
         def cell(v: Column, lo: float, hi: float) -> Column:
-            return F.least(F.floor((v - lo) / ((hi - lo) or 1.0) * self.bins), F.lit(self.bins - 1)).cast("int")
+            return F.least(F.floor((v - lo) / (hi - lo) * self.bins), F.lit(self.bins - 1)).cast("int")
 
         inside = rows.where((a >= lo_x) & (a <= hi_x) & (b >= lo_y) & (b <= hi_y))
-        grid = np.zeros((self.bins, self.bins))
         for r in inside.groupBy(cell(a, lo_x, hi_x).alias("i"), cell(b, lo_y, hi_y).alias("j")).agg(F.count(F.lit(1)).alias("n")).collect():
-            grid[r["i"], r["j"]] = r["n"]
-        kernel = self.kernel()
-        r = kernel.shape[0] // 2
-        smooth = np.zeros_like(grid)
-        padded = np.pad(grid, r, mode="wrap" if self.circular else "constant")
-        for u, v in np.argwhere(kernel > 0):
-            smooth += kernel[u, v] * padded[u : u + self.bins, v : v + self.bins]
-        for _ in builtins_range(self.k):
-            i, j = np.unravel_index(smooth.argmax(), smooth.shape)
-            if smooth[i, j] <= max(self.min_count, 0):
-                break
-            self.centers.append((lo_x + (i + 0.5) * (hi_x - lo_x) / self.bins, lo_y + (j + 0.5) * (hi_y - lo_y) / self.bins, float(smooth[i, j])))
-            smooth[max(0, i - r) : i + r + 1, max(0, j - r) : j + r + 1][kernel[max(0, r - i) : r + self.bins - i, max(0, r - j) : r + self.bins - j] > 0] = 0
+            self.grid[r["i"], r["j"]] = r["n"]
+        least = self.min_count if self.min_count >= 1 else self.grid.sum() * self.min_count
+        for i, j, weight, count in dense_centers(self.grid, self.weight, self.mask, self.k, least):
+            self.centers.append((lo_x + (i + 0.5) * (hi_x - lo_x) / self.bins, lo_y + (j + 0.5) * (hi_y - lo_y) / self.bins, weight, count))
         return self
 
     def table(self, spark) -> DataFrame:
-        return spark.createDataFrame([(i, *map(float, c)) for i, c in enumerate(self.centers)], "place int, x double, y double, density double")
-
-
-builtins_range = range
+        return spark.createDataFrame([(i, *map(float, c)) for i, c in enumerate(self.centers)], "place int, x double, y double, density double, count double")

@@ -192,7 +192,7 @@ def n5(spark, d):
 @query("n6_density")
 def n6(spark, d):
     rows = table(spark, d, "lineitem").select("l_quantity", (F.col("l_extendedprice") / 1000).alias("price"))
-    return spatial.DensityPeaks(4, bins=50).fit(rows, "l_quantity", "price").table(spark)
+    return spatial.DensityPeaks(4, bins=50, shape=(0.2, 0.1)).fit(rows, "l_quantity", "price").table(spark)
 
 
 @query("y1_sample")

@@ -5,6 +5,7 @@ import pickle
 import random
 import sqlite3
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -171,7 +172,7 @@ def test_intervals_touching(spark):
 
 def test_density_finds_the_crowd(spark):
     df = spark.range(400).select((F.col("id") % 20).cast("double").alias("x"), F.when(F.col("id") < 300, F.lit(5.0)).otherwise(F.col("id") % 17).alias("y"))
-    center = spatial.DensityPeaks(2, bins=20).fit(df, "x", "y").centers[0]
+    center = spatial.DensityPeaks(2, bins=20, shape=(5, 5)).fit(df, "x", "y").centers[0]
     assert abs(center[1] - 5) < 1.5
 
 
@@ -186,3 +187,55 @@ def test_stream_equals_batch(spark, tmp_path):
         mean = sum(x) / len(x)
         assert got[k]["count"] == len(x) and got[k]["mean"] == pytest.approx(mean)
         assert got[k]["variance"] == pytest.approx(sum((v - mean) ** 2 for v in x) / len(x))
+
+
+def plain_centers(counts, weight, mask, k, least):
+    """Each window written out cell by cell."""
+    h, v = weight.shape
+    taken, out = np.zeros(counts.shape, bool), []
+    while True:
+        best = None
+        for i in range(counts.shape[0] - h + 1):
+            for j in range(counts.shape[1] - v + 1):
+                if out and taken[i + h // 2, j + v // 2]:
+                    continue
+                total = sum(weight[h - 1 - a, v - 1 - b] * counts[i + a, j + b] for a in range(h) for b in range(v) if not taken[i + a, j + b])
+                if best is None or total > best[0] + 1e-9:
+                    best = (total, i, j)
+        if best is None:
+            return out
+        total, i, j = best
+        new = [(i + a, j + b) for a in range(h) for b in range(v) if mask[a, b] and not taken[i + a, j + b]]
+        for cell in new:
+            taken[cell] = True
+        out.append((i + h // 2, j + v // 2, total, float(sum(counts[c] for c in new))))
+        if len(out) >= k or out[-1][3] <= least or taken.sum() >= counts.size - mask.sum():
+            return out
+
+
+@pytest.mark.parametrize("circular", [True, False])
+@pytest.mark.parametrize("window,shape", [(("gaussian", 0.3), (0.3, 0.45)), (("gaussian", 2.0), (3, 5)), ("boxcar", (4, 3))])
+def test_density_against_plain_windows(spark, window, shape, circular):
+    r = np.random.default_rng(1)
+    xy = np.vstack([r.normal(size=(150, 2)), r.normal(size=(80, 2)) * 0.3 + 4])
+    df = spark.createDataFrame([(float(a), float(b)) for a, b in xy] + [(None, 1.0), (float("nan"), 2.0)], "x double, y double")
+    got = spatial.DensityPeaks(6, bins=14, window=window, shape=shape, circular=circular).fit(df, "x", "y")
+    assert got.weight[got.mask].mean() == pytest.approx(1) and all(s % 2 for s in got.weight.shape)
+    counts = np.histogram2d(xy[:, 0], xy[:, 1], bins=14)[0]
+    assert (got.grid == counts).all()
+    want = plain_centers(counts, got.weight, got.mask, 6, 230 * 0.0005)
+    found = spatial.dense_centers(counts, got.weight, got.mask, 6, 230 * 0.0005)
+    assert [f[:2] for f in found] == [w[:2] for w in want]
+    assert [x for f in found for x in f[2:]] == pytest.approx([x for w in want for x in w[2:]])
+    assert got.table(spark).count() == len(want)
+
+
+def test_density_windows():
+    weight, mask = spatial.density_window((0.1, 0.1), ("gaussian", 0.3), 100, True)
+    assert weight.shape == (11, 11) and weight[0, 0] == 0 and not mask[0, 0] and mask[5, 5]
+    line = np.exp(-0.5 * ((np.arange(11) - 5.5) / 3) ** 2)
+    assert weight[5] / weight[5, 5] == pytest.approx(line / line[5])
+    with pytest.raises(ValueError):
+        spatial.density_window((3, 3), ("gaussian", 0.1), 100, True)
+    with pytest.raises(ValueError):
+        spatial.density_window((3, 3), "hann", 100, True)
