@@ -1,13 +1,15 @@
 """Language identification by interpolated Kneser-Ney character models.
 
-A text is its words (runs of letters, lower case), each closed by an end mark and opened by start marks, so a word's
+A text is its words (runs of letters, lower case), as UTF-16 units (a letter beyond the first 65,536 code points is two), each
+closed by an end mark and opened by start marks, so a word's
 characters are modelled given at most `order - 1` before them. Counts of the highest order are taken over all learning
 texts in parallel and summed by language and n-gram (each task sends its distinct n-grams); lower orders count distinct
 left neighbours, as Kneser-Ney asks, by further aggregates on those.
 
 The model is sorted arrays of n-gram codes (four 16-bit units in one 64-bit integer) with a row of log probabilities, one
 for each language, already interpolated; unseen n-grams fall back through sorted arrays of contexts with their weights.
-It is broadcast while the distinct pairs of language and n-gram are at most `max_grams`. Beyond, the order and the
+It is broadcast while the distinct pairs of language and n-gram are at most `max_grams`, and the cells of its arrays (n-grams
+and contexts of all orders, by languages) at most `max_cells`, which languages of many scripts reach first. Beyond, the order and the
 probabilities are the same but stay in tables: the n-grams that the texts ask for get their probabilities order by order
 in joins. Those that make up at least one in `max_grams / languages` of all asked for are broadcast, and at most that many
 can be; the rest are joined to their documents, where no n-gram is frequent. Entropies agree to single precision.
@@ -232,6 +234,15 @@ def count_grams(learn: DataFrame, order: int) -> dict[int, DataFrame]:
     return seen
 
 
+def model_cells(seen: dict[int, DataFrame]) -> int:
+    """Cells of the arrays of `kneser_ney`: a row for each n-gram and context of each order, a column for each language."""
+    rows = 0
+    for table in seen.values():
+        grams = table.select("gram").distinct()
+        rows += grams.count() + grams.select(F.shiftrightunsigned("gram", 16)).distinct().count()
+    return rows * seen[1].select("lang").distinct().count()
+
+
 def _calibration(learn: DataFrame, rows: int) -> DataFrame:
     sample = learn.orderBy(F.xxhash64(F.lit("calibration"), "doc_id"), "doc_id").select("doc_id", "lang").limit(rows)
     return F.broadcast(materialize(sample.select("doc_id").distinct(), "calibration"))
@@ -368,12 +379,14 @@ def _predicted(batches: Iterator[pa.RecordBatch], model) -> Iterator[pa.RecordBa
         yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(pred, pa.string()), pa.array(score, pa.float64()), pa.array(h, pa.float64(), from_pandas=True), pa.array(ok, pa.bool_())], names=names)
 
 
-def identify(df: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", order: int = 4, max_grams: int = 4_000_000, calibration_rows: int = 4000) -> DataFrame:
+def identify(df: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", order: int = 4, max_grams: int = 4_000_000, max_cells: int = 16_000_000, calibration_rows: int = 4000) -> DataFrame:
     """doc_id, held_out, lang_pred, score, entropy, accepted for each row; learns from rows not held out."""
+    if not 1 <= order <= 4:
+        raise ValueError("a code holds 1 to 4 units")
     base = df.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text"), F.col(lang_col).cast("string").alias("lang"), held_out(F.col(id_col)).alias("held_out"))
     learn = base.where("NOT held_out AND text IS NOT NULL AND lang IS NOT NULL").select("doc_id", "text", "lang")
     seen = count_grams(learn, order)
-    if seen[order].count() > max_grams:
+    if seen[order].count() > max_grams or model_cells(seen) > max_cells:
         return _by_joins(base, learn, seen, max_grams, calibration_rows)
     model = train(learn, seen, calibration_rows=calibration_rows)
     rows = base.select(F.col("doc_id").cast("long").alias("doc_id"), "held_out", "text")

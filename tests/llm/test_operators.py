@@ -460,21 +460,32 @@ def test_language(spark, empty, order):
     assert {r["lang_pred"] for r in language.identify(nothing).collect()} == {"und"}
 
 
-@pytest.mark.parametrize("max_grams", [1, 60])
-def test_language_keeps_its_order_beyond_the_broadcast(spark, max_grams):
+@pytest.mark.parametrize("bounds", [{"max_grams": 1}, {"max_grams": 60}, {"max_cells": 1000}])
+def test_language_keeps_its_order_beyond_the_broadcast(spark, bounds):
     alphabets = {"aa": "abcde", "bb": "defgh", "cc": "éüßñø"}
     rows = [(i, " ".join(words(20, i, alphabets[lang])), lang, "s", 0) for i, lang in enumerate(list(alphabets) * 20)]
     rows += [(1000, None, "aa", "s", 0), (1001, "12 !!", "bb", "s", 0), (1002, "", None, "s", 0), (1003, "abcxyz Ω", None, "s", 0), rows[2]]
     df = spark.createDataFrame(rows, DOCS).repartition(3)
     key = lambda r: (r["doc_id"], r["score"])
     whole = sorted(language.identify(df).collect(), key=key)
-    tables = sorted(language.identify(df, max_grams=max_grams).collect(), key=key)
+    tables = sorted(language.identify(df, **bounds).collect(), key=key)
     assert len(whole) == len(tables) == len(rows)
     for a, b in zip(whole, tables):
         assert [a[c] for c in ("doc_id", "held_out", "lang_pred", "accepted")] == [b[c] for c in ("doc_id", "held_out", "lang_pred", "accepted")]
         assert b["score"] == pytest.approx(a["score"], abs=1e-4) and b["entropy"] == (a["entropy"] and pytest.approx(a["entropy"], rel=1e-5))
 
 
+def test_language_counts_the_cells_of_its_arrays(spark):
+    rows = [(i, " ".join(words(8, i, a)), lang) for i, (lang, a) in enumerate([("aa", "abc"), ("bb", "\u0430\u0431\u0432"), ("cc", "\u03b1\u03b2\u03b3")] * 4)]
+    learn = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    seen = language.count_grams(learn, 3)
+    model = language.train(learn, seen)
+    assert language.model_cells(seen) == sum(logs.size + weights.size for _, logs, _, weights in model.tables)
+    for order in (0, 5):
+        with pytest.raises(ValueError):
+            language.identify(learn.withColumn("source", F.lit("s")), order=order)
+
+
 def brute_entropies(learn, texts, order):
     """Interpolated Kneser-Ney straight from its definition, with dictionaries: cross-entropy per character by language."""
     tops = collections.defaultdict(collections.Counter)
