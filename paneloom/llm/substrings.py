@@ -269,13 +269,37 @@ class SuffixAutomaton:
         go = {v * n + number[w]: u for v, moves in enumerate(self.next) for w, u in moves.items()}
         return number, go, self.link, self.length, self.first
 
-    def covered(self, words: list, doc: int, window: int) -> list[int]:
-        return covered_starts(self.flat(), words, doc, window)
-
-
-def covered_starts(automaton: tuple, words: list, doc: int, window: int, own: list[int] | None = None) -> list[int]:
-    """Starts of the windows of `words` that occur in a sequence of smaller id. To `own` are added those that occur in one of
-    smaller or equal id: what a copy of larger id loses."""
+    def covered(self, words: list, doc: int, window: int) -> tuple[list[int], list[int]]:
+        """Starts of the windows of `words` that occur in a sequence of smaller id, and of those that occur in one of smaller or
+        equal id: what a copy of larger id loses. For an automaton used once, where it was built."""
+        nxt, link, length, first = self.next, self.link, self.length, self.first
+        v, n, at = 0, 0, -window
+        less: list[int] = []
+        upto: list[int] = []
+        for word in words:
+            at += 1
+            to = nxt[v].get(word)
+            while to is None and v:
+                v = link[v]
+                n = length[v]
+                to = nxt[v].get(word)
+            if to is None:
+                n = 0
+                continue
+            v, n = to, n + 1
+            if n >= window:
+                while length[link[v]] >= window:
+                    v = link[v]
+                    n = length[v]
+                if first[v] <= doc:
+                    upto.append(at)
+                    if first[v] < doc:
+                        less.append(at)
+        return less, upto
+
+
+def covered_starts(automaton: tuple, words: list, doc: int, window: int) -> list[int]:
+    """Starts of the windows of `words` that occur in a sequence of smaller id."""
     number, go, link, length, first = automaton
     size = len(number)
     v, n, out = 0, 0, []
@@ -294,11 +318,8 @@ def covered_starts(automaton: tuple, words: list, doc: int, window: int, own: li
         while v and length[link[v]] >= window:
             v = link[v]
             n = length[v]
-        if n >= window and first[v] <= doc:
-            if first[v] < doc:
-                out.append(i - window + 1)
-            if own is not None:
-                own.append(i - window + 1)
+        if n >= window and first[v] < doc:
+            out.append(i - window + 1)
     return out
 
 
@@ -336,13 +357,11 @@ def _shard(pdf: pd.DataFrame, window: int) -> pd.DataFrame:
     for words, parts in texts:
         automaton.add(words, parts[0][0].doc)
     automaton.settle()
-    flat, out = automaton.flat(), []
+    out = []
     for words, parts in texts:
         if all(r.lowest >= r.doc == r.top for r, _ in parts):
             continue
-        own: list[int] = []
-        lost = np.array(covered_starts(flat, words, parts[0][0].doc, window, own), np.int64)
-        held = np.array(own, np.int64)
+        lost, held = (np.array(x, np.int64) for x in automaton.covered(words, parts[0][0].doc, window))
         for r, offset in parts:
             for copies, starts in ((False, lost), (True, held)):
                 if copies and r.doc == r.top:
