@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from paneloom.operators import spectral, windows
+from paneloom.operators import rolling, spectral, windows
 from paneloom.operators.relational import ordinal
 
 from .registry import query
@@ -63,7 +63,8 @@ def w4(spark, d):
 
 @query("w6_rolling_stats", _rolling(50, 25))
 def w6(spark, d):
-    return windows.rolling_stats(table(spark, d, "events").select("event_id", "value"), "event_id", _agg(), size=50, overlap=2)
+    got = rolling.rolling_summary(table(spark, d, "events"), "event_id", "value", size=50, overlap=2, fit_edges=False, full=False)
+    return got.select("window", F.col("size").alias("n"), F.round("mean", 6).alias("mean"), F.col("max").alias("hi"))
 
 
 @query(
@@ -73,7 +74,8 @@ SELECT w AS window, round(avg(x), 6) AS x, round(avg(y), 6) AS y FROM (SELECT un
 )
 def w7(spark, d):
     ev = table(spark, d, "events").select("event_id", F.col("value").alias("x"), F.col("user_id").alias("y"))
-    return windows.nearest_stats(ev, "x", "event_id", [F.round(F.avg("x"), 6).alias("x"), F.round(F.avg("y"), 6).alias("y")], size=100, overlap=2)
+    x, y = rolling.nearest_summary(ev, "x", "y", "event_id", size=100, overlap=2, fit_edges=False, full=False)
+    return x.select("window", F.round("mean", 6).alias("x")).join(y.select("window", F.round("mean", 6).alias("y")), "window")
 
 
 @query(
@@ -84,8 +86,8 @@ SELECT round(x, 5) AS x, round(y, 5) AS y, round(y - 2 * e, 5) AS lo, round(y +
 )
 def w8(spark, d):
     ev = table(spark, d, "events").select("event_id", F.col("value").alias("x"), F.col("user_id").alias("y"))
-    e = F.stddev_pop("y") / F.sqrt(F.count("y"))
-    got = windows.nearest_stats(ev, "x", "event_id", [F.avg("x").alias("x"), F.avg("y").alias("y"), e.alias("e")], size=200, overlap=2)
+    x, y = rolling.nearest_summary(ev, "x", "y", "event_id", size=200, overlap=2, fit_edges=False, full=False)
+    got = x.select("window", F.col("mean").alias("x")).join(y.select("window", F.col("mean").alias("y"), F.col("std_err").alias("e")), "window")
     return got.select(F.round("x", 5).alias("x"), F.round("y", 5).alias("y"), F.round(F.col("y") - 2 * F.col("e"), 5).alias("lo"), F.round(F.col("y") + 2 * F.col("e"), 5).alias("hi"))
 
 
