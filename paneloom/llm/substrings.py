@@ -421,7 +421,8 @@ def repeated_spans(df: DataFrame, *, id_col: str = "doc_id", text_col: str = "te
     found = verdicts.where("NOT copies").select("doc", "tag", "a", "b")
     # a copy has its segment's spans at its own place; of segments that no shard may hold a copy is covered whole
     light = segments.select(*keys, "doc", "tag", "first", "n")
-    of_copies = verdicts.where("copies").select(*keys, F.col("doc").alias("owner"), "a", "b")
+    # (once for each segment, however often its owner repeats it)
+    of_copies = materialize(verdicts.where("copies").select(*keys, F.col("doc").alias("owner"), "a", "b").distinct(), "of_copies")
     copies = light.join(of_copies.hint("merge"), keys).where("doc > owner").select("doc", "tag", (F.col("first") + F.col("a")).alias("a"), (F.col("first") + F.col("b")).alias("b"))
     alone = owners.where("alone AND doc < top").select(*keys, F.col("doc").alias("owner"))
     whole = light.join(alone.hint("merge"), keys).where("doc > owner").select("doc", "tag", F.col("first").alias("a"), (F.col("first") + F.col("n")).alias("b"))
