@@ -8,6 +8,7 @@ from functools import partial
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -28,12 +29,81 @@ def minkowski(a: Column, b: Column, power: float = 2.0, weights: Sequence[float]
     return F.pow(F.aggregate(scaled, F.lit(0.0), lambda s, d: s + F.pow(d, F.lit(float(power)))), F.lit(1.0 / power))
 
 
-def distance_matrix(df: DataFrame, id_col: str, features: str, *, power: float = 2.0, weights: Sequence[float] | None = None) -> DataFrame:
-    """All pairs i, j (both ways), d. The result is quadratic by definition; the smaller side of the join is blocks of rows."""
-    a = df.select(F.col(id_col).alias("i"), F.col(features).alias("_a"))
-    b = df.select(F.col(id_col).alias("j"), F.col(features).alias("_b"))
-    half = a.crossJoin(b).where("i < j").select("i", "j", minkowski(F.col("_a"), F.col("_b"), power, weights).alias("d"))
-    return half.withColumn("_p", F.explode(F.array(F.struct("i", "j"), F.struct(F.col("j").alias("i"), F.col("i").alias("j"))))).select("_p.i", "_p.j", "d")
+#: Rows of a block of the distance matrix, rows of it for which distances are held at once, and most parts of a side.
+_MATRIX_ROWS, _MATRIX_STRIP, _MATRIX_PARTS = 1024, 128, 64
+
+
+def _strip(x: np.ndarray, y: np.ndarray, power: float) -> np.ndarray:
+    """Distances of all columns of x from all columns of y (a row for each feature), summed feature by feature."""
+    out, step = np.zeros((x.shape[1], y.shape[1])), np.empty((x.shape[1], y.shape[1]))
+    for f in range(x.shape[0]):
+        np.subtract(x[f][:, None], y[f], out=step)
+        if power == 2:
+            np.multiply(step, step, out=step)
+        else:
+            np.power(np.abs(step, out=step), power, out=step)
+        out += step
+    return np.sqrt(out, out=out) if power == 2 else np.power(out, 1.0 / power, out=out)
+
+
+def _matrix_blocks(batches: Iterator[pa.RecordBatch], rows: int, scale: np.ndarray | None) -> Iterator[pa.RecordBatch]:
+    """Blocks of ids, of their features by column, and of the number of features: -1 where some are missing."""
+    names = ["ids", "x", "n"]
+    for b in batches:
+        for at in range(0, len(b), rows):
+            some = b.slice(at, rows)
+            features = some.column("x").to_pylist()
+            n = np.array([-1 if f is None or None in f or (scale is not None and len(f) != len(scale)) else len(f) for f in features], np.int32)
+            x = np.zeros((max(int(n.max()), 0), len(n)))
+            for k in np.flatnonzero(n > 0):
+                x[: n[k], k] = features[k] if scale is None else np.array(features[k], float) * scale
+            own = some.column("i")
+            ids = pa.ListArray.from_arrays(pa.array([0, len(own)], pa.int32()), own)
+            yield pa.RecordBatch.from_arrays([ids, pa.array([x.tobytes()], pa.binary()), pa.array([n.tobytes()], pa.binary())], names)
+
+
+def _matrix_cells(batches: Iterator[pa.RecordBatch], power: float, digits: int | None) -> Iterator[pa.RecordBatch]:
+    """All pairs of two blocks, both ways; of one block with itself, each of its rows with all others."""
+    names = ["i", "j", "d"]
+    for b in batches:
+        for r in range(len(b)):
+            i, j = (b.column(c)[r].values for c in ("a_ids", "b_ids"))
+            n, m = (np.frombuffer(b.column(c)[r].as_py(), np.int32) for c in ("a_n", "b_n"))
+            x, y = (np.frombuffer(b.column(c)[r].as_py(), np.float64).reshape(-1, len(k)) for c, k in (("a_x", n), ("b_x", m)))
+            width = min(len(x), len(y))  # what is longer in one of the blocks has no equal in the other
+            same = b.column("a")[r].as_py() == b.column("b")[r].as_py()
+            for at in range(0, len(n), _MATRIX_STRIP):
+                own = n[at : at + _MATRIX_STRIP]
+                d = _strip(x[:width, at : at + _MATRIX_STRIP], y[:width], power).ravel()
+                if digits is not None:
+                    d = np.floor(d * 10.0**digits + 0.5) / 10.0**digits
+                missing = ((own[:, None] != m) | (own[:, None] < 0)).ravel()
+                left = i.take(pa.array(np.repeat(np.arange(at, at + len(own), dtype=np.int32), len(m))))
+                right = j.take(pa.array(np.tile(np.arange(len(m), dtype=np.int32), len(own))))
+                cells = pa.RecordBatch.from_arrays([left, right, pa.array(d, mask=missing if missing.any() else None)], names)
+                if same or pc.any(pc.is_in(i, j)).as_py():
+                    cells = cells.filter(pc.not_equal(left, right))
+                yield cells
+                if not same:
+                    yield pa.RecordBatch.from_arrays([cells.column("j"), cells.column("i"), cells.column("d")], names)
+
+
+def distance_matrix(df: DataFrame, id_col: str, features: str, *, power: float = 2.0, weights: Sequence[float] | None = None, digits: int | None = None, block: int = _MATRIX_ROWS) -> DataFrame:
+    """All pairs i, j (both ways), d, rounded half up to `digits` if given; NULL where features are missing or not as many.
+
+    The result is quadratic by definition. Blocks of rows meet in a product of parts that is neither broadcast nor shuffled
+    as pairs; of two blocks one order is kept, by turns, so that all tasks have like shares, and gives both directions. A
+    task holds two parts' blocks and distances of `_MATRIX_STRIP` rows from a block.
+    """
+    scale = None if weights is None else np.array(weights, float) / float(sum(weights))
+    rows = df.where(F.col(id_col).isNotNull()).select(F.col(id_col).alias("i"), F.col(features).cast("array<double>").alias("x"))
+    kind = rows.schema["i"].dataType.simpleString()
+    blocks = rows.mapInArrow(partial(_matrix_blocks, rows=block, scale=scale), f"ids array<{kind}>, x binary, n binary")
+    blocks = materialize(blocks.withColumn("at", F.monotonically_increasing_id()), "blocks")
+    parts = max(1, min(blocks.count(), _MATRIX_PARTS))
+    a, b = (blocks.repartitionByRange(parts, "at").select(F.col("at").alias(s), *[F.col(c).alias(f"{s}_{c}") for c in ("ids", "x", "n")]) for s in "ab")
+    once = (F.col("a") == F.col("b")) | ((F.col("a") < F.col("b")) == ((F.col("a") + F.col("b")) % 2 == 0))
+    return a.join(b.hint("shuffle_replicate_nl"), once).mapInArrow(partial(_matrix_cells, power=power, digits=digits), f"i {kind}, j {kind}, d double")
 
 
 def knn(distances: DataFrame, k: int, cutoff: float | None = None) -> DataFrame:

@@ -134,7 +134,7 @@ _VEC = "embeddings"
 
 @query("n1_minkowski", f"SELECT a.vec_id AS i, b.vec_id AS j, round(sqrt(list_sum(list_transform(list_zip(a.embedding, b.embedding), lambda p: (p[1]::double - p[2]::double) * (p[1]::double - p[2]::double)))), 5) AS d FROM (SELECT * FROM {_VEC}) a, (SELECT * FROM {_VEC}) b WHERE a.vec_id <> b.vec_id")
 def n1(spark, d):
-    return spatial.distance_matrix(table(spark, d, "embeddings"), "vec_id", "embedding").select("i", "j", F.round("d", 5).alias("d"))
+    return spatial.distance_matrix(table(spark, d, "embeddings"), "vec_id", "embedding", digits=5)
 
 
 _NEAR = f"""WITH v AS (SELECT * FROM {_VEC}), m AS (SELECT a.vec_id AS i, b.vec_id AS j, b.label AS y, sqrt(list_sum(list_transform(list_zip(a.embedding, b.embedding), lambda p: (p[1]::double - p[2]::double) * (p[1]::double - p[2]::double)))) AS d FROM v a, v b WHERE a.vec_id <> b.vec_id AND a.vec_id % 20 = 0),

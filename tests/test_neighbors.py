@@ -4,7 +4,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from paneloom.operators import neighbors
+from paneloom.operators import neighbors, spatial
 
 
 def points(kind, n=260, width=6):
@@ -107,3 +107,24 @@ def test_statistics(spark):
                     break
                 before = d
             assert r["d_median"] == pytest.approx(want)
+
+
+@pytest.mark.parametrize("options", [{}, {"power": 1.0, "weights": [1, 2, 3, 0, 1, 1]}, {"power": 3.0}])
+def test_distance_matrix_in_blocks(spark, options):
+    """All pairs both ways from blocks that meet in a product: no broadcast, nothing shuffled as pairs."""
+    x = points("noise", 61).round(4)
+    rows = [(i * 3, v.tolist()) for i, v in enumerate(x)] + [(-1, None), (-2, [None] * 6), (-3, [1.0, 2.0])]
+    df = spark.createDataFrame(rows, "k long, v array<float>").repartition(3)
+    got = spatial.distance_matrix(df, "k", "v", block=7, digits=5, **options)
+    plan = got._jdf.queryExecution().toString()
+    assert "CartesianProduct" in plan and "BroadcastNestedLoopJoin" not in plan
+    found = {(r["i"], r["j"]): r["d"] for r in got.collect()}
+    assert got.count() == len(found) == len(rows) * (len(rows) - 1)
+    power, weights = options.get("power", 2.0), options.get("weights")
+    z = np.array([r[1] for r in rows[:-3]], np.float32).astype(float) * (1 if weights is None else np.array(weights) / sum(weights))
+    d = (np.abs(z[:, None] - z) ** power).sum(2) ** (1 / power)
+    for (i, j), v in found.items():
+        if i < 0 or j < 0:
+            assert v is None
+        else:
+            assert abs(v - d[i // 3, j // 3]) <= 5.1e-6 and v == round(v, 5)
