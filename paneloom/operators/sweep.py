@@ -46,7 +46,9 @@ def shifted_sums(df: DataFrame, variables: Sequence[str], weight: str | None = N
     """by, the sums of `moment_sums`, and h<i>, the means around which group by group they are taken."""
     values = [known(v) for v in variables]
     rows = df.select(*by, *[v.alias(f"_v{i}") for i, v in enumerate(values)], (F.lit(1.0) if weight is None else known(weight).cast("double")).alias("_w"))
-    means = materialize(rows.groupBy(*by).agg(*[F.coalesce(F.avg(f"_v{i}"), F.lit(0.0)).alias(f"h{i}") for i in range(len(values))]), "means")
+    # an infinite value must stay in the sums, where it leaves a group without coefficients: less an infinite mean it is missing
+    finite = [F.when(F.abs(F.avg(f"_v{i}")) < float("inf"), F.avg(f"_v{i}")) for i in range(len(values))]
+    means = materialize(rows.groupBy(*by).agg(*[F.coalesce(m, F.lit(0.0)).alias(f"h{i}") for i, m in enumerate(finite)]), "means")
     k = range(len(values))
     moved = _beside(rows, means, by).withColumns({f"_v{i}": F.col(f"_v{i}") - F.col(f"h{i}") for i in k})
     return moved.groupBy(*by).agg(*moment_sums([f"_v{i}" for i in k], "_w"), *[F.max(f"h{i}").alias(f"h{i}") for i in k])
