@@ -9,7 +9,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from paneloom.functions.missing import col, known
-from paneloom.plans.ranking import ONE_WINDOW_BYTES, estimated_bytes, global_ordinal
+from paneloom.plans.ranking import ONE_WINDOW_BYTES, beyond_one_window, global_ordinal
 
 
 def project(df: DataFrame, fields: Sequence[str] | None = None, exclude: Sequence[str] = (), rename: dict[str, str] | None = None) -> DataFrame:
@@ -64,7 +64,7 @@ def flatten_plane(x: Column) -> Column:
 
 def ordinal(df: DataFrame, order: Sequence[Column], name: str = "pos") -> DataFrame:
     """0-based position in the order: one window for a small table, ranges and offsets for a large one."""
-    if estimated_bytes(df) > ONE_WINDOW_BYTES:
+    if beyond_one_window(df, ONE_WINDOW_BYTES):
         return global_ordinal(df, order, name)
     return df.withColumn(name, (F.row_number().over(W.orderBy(*order)) - 1).cast("long"))
 

@@ -1,6 +1,6 @@
 """Ordinals and running sums over a whole table, or over groups of any size, without a one-task window.
 
-Tables that Catalyst estimates as small use one window. Larger ones are range-partitioned by group and order; each range
+Tables whose rows are small in all, counted where Catalyst's estimate is small, use one window. Larger ones are range-partitioned by group and order; each range
 is summed, the sums of the ranges (one row for each range and group) give the offsets, and a window runs inside a range.
 """
 
@@ -15,14 +15,27 @@ from pyspark.sql import functions as F
 from .shared import checked_broadcast, materialize
 
 _LOW = (1 << 33) - 1
-#: Estimated bytes up to which one window (per group) is used: what one task sorts in memory.
+#: Bytes up to which one window (per group) is used: what one task sorts in memory.
 ONE_WINDOW_BYTES = 64 << 20
+#: Bytes of the files read up to which rows are not counted.
+_FEW_BYTES = 256 << 10
 
 
 def estimated_bytes(df: DataFrame) -> int:
     return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
 
 
+def beyond_one_window(df: DataFrame, most: int) -> bool:
+    """Whether the rows may take more than `most` bytes. Catalyst's estimate is a share of compressed files, often a tenth of
+    what their rows take or less; so where it is small the rows are counted, each of its columns' usual width."""
+    if estimated_bytes(df) > most:
+        return True
+    leaves = df._jdf.queryExecution().optimizedPlan().collectLeaves()
+    if sum(int(str(leaves.apply(i).stats().sizeInBytes())) for i in range(leaves.size())) <= _FEW_BYTES:
+        return False
+    return df.count() * (df._jdf.schema().defaultSize() + 8) > most
+
+
 def global_ordinal(df: DataFrame, order: Sequence[Column], name: str = "pos") -> DataFrame:
     """0-based position of each row in the order given, by range partitions and their offsets.
 
@@ -30,20 +43,21 @@ def global_ordinal(df: DataFrame, order: Sequence[Column], name: str = "pos") ->
     """
     spark = df.sparkSession
     sliced = df.repartitionByRange(*order).sortWithinPartitions(*order)
-    sliced = materialize(sliced.withColumns({"_slice": F.spark_partition_id(), "_at": F.monotonically_increasing_id().bitwiseAND(F.lit(_LOW))}), "ranked")
-    counts = sorted((r["_slice"], r["n"]) for r in sliced.groupBy("_slice").agg(F.count(F.lit(1)).alias("n")).collect())
+    sliced = materialize(sliced.withColumns({"_in_slice": F.spark_partition_id(), "_place_in_slice": F.monotonically_increasing_id().bitwiseAND(F.lit(_LOW))}), "ranked")
+    counts = sorted((r["_in_slice"], r["n"]) for r in sliced.groupBy("_in_slice").agg(F.count(F.lit(1)).alias("n")).collect())
     offsets, total = [], 0
     for part, n in counts:
         offsets.append((part, total))
         total += n
-    starts = spark.createDataFrame(offsets or [(0, 0)], "_slice int, _start long")
-    return sliced.join(F.broadcast(starts), "_slice").withColumn(name, F.col("_start") + F.col("_at")).drop("_slice", "_at", "_start")
+    starts = spark.createDataFrame(offsets or [(0, 0)], "_in_slice int, _slice_start long")
+    placed = sliced.join(F.broadcast(starts), "_in_slice")
+    return placed.select(*[F.col(f"`{c}`") for c in df.columns if c != name], (F.col("_slice_start") + F.col("_place_in_slice")).alias(name))
 
 
 def running(df: DataFrame, by: Sequence[str], order: Sequence[Column], sums: dict[str, Column], *, distributed: bool | None = None) -> DataFrame:
     """`df` with, for each name, the sum of its column over the group's rows up to this one in the order given."""
     if distributed is None:
-        distributed = estimated_bytes(df) > ONE_WINDOW_BYTES
+        distributed = beyond_one_window(df, ONE_WINDOW_BYTES)
     w = W.partitionBy(*by).orderBy(*order).rowsBetween(W.unboundedPreceding, 0)
     if not distributed:
         return df.withColumns({name: F.sum(c).over(w) for name, c in sums.items()})
@@ -65,7 +79,7 @@ def running(df: DataFrame, by: Sequence[str], order: Sequence[Column], sums: dic
 def running_last(df: DataFrame, by: Sequence[str], order: Sequence[str], value: str, *, distributed: bool | None = None) -> DataFrame:
     """`df` with `value` filled by the last one that is not NULL in the group's rows up to this one in the order given."""
     if distributed is None:
-        distributed = estimated_bytes(df) > ONE_WINDOW_BYTES
+        distributed = beyond_one_window(df, ONE_WINDOW_BYTES)
     if not distributed:
         return df.withColumn(value, F.last(value, ignorenulls=True).over(W.partitionBy(*by).orderBy(*order).rowsBetween(W.unboundedPreceding, 0)))
     keys = [F.col(c).asc_nulls_first() for c in (*by, *order)]
