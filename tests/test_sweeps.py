@@ -175,3 +175,14 @@ def test_rows_are_counted_where_files_are_small(spark, tmp_path):
         assert got.columns == ["k", "a", name]
         assert got.where(F.col("k") != F.col(name)).count() == 0 and got.count() == n
     assert "Window" in ordinal(df.limit(1000).select("k", "a"), [F.col("k")], "_at")._jdf.queryExecution().toString()
+
+
+def test_intervals_over_one_slot_are_shared_by_tasks(spark):
+    """1,000 intervals over 4,000 others, all in one slot of starts, are no task's own; nor is a pair lost or doubled."""
+    a = spark.range(1000).select(F.col("id").alias("idx"), (-1.0 - F.col("id")).alias("lo"), F.lit(1e9).alias("hi"))
+    b = spark.range(4000).select(F.col("id").alias("idx"), F.col("id").cast("double").alias("lo"), (F.col("id") + 0.5).alias("hi"))
+    for options in ({}, {"part_pairs": 1 << 16}):
+        got = joins.intersect_intervals(a, b, **options)
+        shares = [r["count"] for r in got.groupBy(F.spark_partition_id()).count().collect()]
+        assert sum(shares) == 4_000_000 == got.select("i", "j").distinct().count()
+    assert max(shares) < 2_000_000
