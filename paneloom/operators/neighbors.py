@@ -34,7 +34,7 @@ from paneloom.plans.shared import materialize
 from .quantiles import PERCENTILES, percentile_name
 from .stats import full_summary
 
-SAMPLE_BYTES, CENTER_BYTES, MOST_CELLS, BLOCK_ROWS = 16 << 20, 8 << 20, 4096, 2048
+SAMPLE_BYTES, CENTER_BYTES, MOST_CELLS, BLOCK_ROWS = 4 << 20, 2 << 20, 4096, 2048
 #: Most rows of a batch of queries for which distances to all centers, or to a block, are held.
 _QUERY_ROWS = 1024
 #: What rounding may add to a bound, as a share of it.
@@ -130,10 +130,19 @@ def build_index(df: DataFrame, id_col: str, features: str, *, power: float = 2.0
         none = spark.createDataFrame([], "cell int, ids binary, x binary, n int, low double, high double")
         return CellIndex(none, np.zeros((1, width)), np.zeros(1), np.zeros(1), np.zeros(1), power, scale)
     wanted = max(1, min(n, SAMPLE_BYTES // (8 * width)))
-    # twice the share is drawn by a hash of the id, of which the first by that hash are taken
+    # twice the share is drawn by a hash of the id, of which the first by that hash are taken; they come packed as bytes
     low = int(-(2**63) + min(1.0, 2 * wanted / n) * (2**64 - 1))
-    drawn = whole.where(F.xxhash64("i") <= F.lit(min(low, 2**63 - 1))).orderBy(F.xxhash64("i"), "i").limit(wanted)
-    sample = np.array([r["x"] for r in drawn.select("x").collect()], float).reshape(-1, width)
+    drawn = whole.select(F.xxhash64("i").alias("h"), "i", "x").where(F.col("h") <= F.lit(min(low, 2**63 - 1)))
+
+    def as_bytes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            cells = (b.column("h").to_numpy(), b.column("i").to_numpy(), _features(b.column("x")))
+            yield pa.RecordBatch.from_arrays([pa.array([c.tobytes()], pa.binary()) for c in cells], ["h", "i", "x"])
+
+    packs = drawn.mapInArrow(as_bytes, "h binary, i binary, x binary").collect()
+    hashes, ids = (np.concatenate([np.frombuffer(r[c], np.int64) for r in packs]) for c in ("h", "i"))
+    sample = np.concatenate([np.frombuffer(r["x"], np.float64).reshape(-1, width) for r in packs])[np.lexsort((ids, hashes))[:wanted]]
+    del packs
     sample = sample if scale is None else sample * scale
     cells = max(1, min(cells or int(np.ceil(np.sqrt(n))), MOST_CELLS, CENTER_BYTES // (8 * width), max(1, len(sample) // 4)))
     centers = fit_centers(sample, cells, power)
@@ -232,7 +241,8 @@ def _look(index: CellIndex, asked: DataFrame, k: int) -> DataFrame:
                     held = 0
         yield from emit()
 
-    rows = index.blocks.select("cell", F.col("ids").alias("row_ids"), F.col("x").alias("row_x"), "low", "high")
+    # neither side may be broadcast: what is asked is taken for as small as the queries, but holds each once for every cell
+    rows = index.blocks.select("cell", F.col("ids").alias("row_ids"), F.col("x").alias("row_x"), "low", "high").hint("merge")
     return asked.join(rows, "cell").drop("cell").mapInArrow(search, _FOUND)
 
 

@@ -64,6 +64,16 @@ def test_cells_spare_most_rows(spark):
     assert pairs < 0.3 * len(x) ** 2
 
 
+def test_what_is_asked_is_not_broadcast(spark):
+    """Queries are few, but each is asked of many cells: that goes by a shuffle, not through the driver."""
+    df = frame(spark, points("noise"))
+    index = neighbors.build_index(df, "k", "v")
+    for first in (True, False):
+        asked = neighbors._scaled(df, "k", "v").withColumn("bound", F.lit(9.0))
+        plan = neighbors._look(index, neighbors._asked(index, asked, 5, first), 5)._jdf.queryExecution().toString()
+        assert "SortMergeJoin" in plan and "BroadcastHashJoin" not in plan
+
+
 def test_search_of_few_rows(spark):
     one = spark.createDataFrame([(1, [0.0, 0.0])], "k long, v array<double>")
     none = one.where("false")
