@@ -11,6 +11,11 @@ the second look: at all other cells, and of these the shells, that can hold some
 packed too, and packs of queries meet blocks of rows in a join on the cell. So nothing is approximate, and how much is skipped
 depends on how well the rows fall into cells; a task keeps k rows for each query.
 
+Where bounds leave many cells for each query (vectors that are no clouds), the second look writes no query once for each
+cell. Queries lie in blocks, in order of their cells, and these meet the blocks of rows in a product of parts, of which
+pairs are taken where a query of the block can find something. What is shuffled is then each side once and k rows for
+each query and part of the rows.
+
 Distances are Minkowski's after features are scaled by their share of the weights. For powers below 1, which have no triangle
 inequality, all cells are looked at. Rows with missing features are nobody's neighbours and have none. Ids are integers
 and unique; ties go by id.
@@ -37,6 +42,10 @@ from .stats import full_summary
 SAMPLE_BYTES, CENTER_BYTES, MOST_CELLS, BLOCK_ROWS = 4 << 20, 2 << 20, 4096, 2048
 #: Most rows of a batch of queries for which distances to all centers, or to a block, are held.
 _QUERY_ROWS = 1024
+#: Cells left for each query, on average, beyond which blocks of queries and of rows meet in a product.
+_SHUFFLED_CELLS = 4
+#: Bytes of features in a part of the rows of that product, and distances that a task computes, at about the most.
+_PART_BYTES, _TASK_PAIRS = 32 << 20, 1 << 30
 #: What rounding may add to a bound, as a share of it.
 _SLACK = 1e-9
 _FOUND = "i long, j long, d double"
@@ -76,6 +85,33 @@ def _closest(i: np.ndarray, x: np.ndarray, j: np.ndarray, y: np.ndarray, k: int,
     return i[a[keep]], j[c[keep]], d[keep]
 
 
+def _within(i: np.ndarray, x: np.ndarray, j: np.ndarray, y: np.ndarray, k: int, power: float, bound: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Places a, c in x and y of pairs no further apart than the bound of x, and their distances. Where these are many, of each
+    x only those that can be among its k nearest."""
+    if power == 2:
+        xx, yy = (x * x).sum(axis=1), (y * y).sum(axis=1)
+        near = x @ (-2 * y.T)
+        near += yy
+        limit = bound * bound * (1 + _SLACK) + 8 * np.finfo(float).eps * (x.shape[1] + 8) * (xx + yy.max()) - xx
+    else:
+        near, limit = _distances(x, y, power), bound * (1 + _SLACK)
+    a, c = np.nonzero(near <= limit[:, None])
+    if len(a) > 8 * (k + 1) * len(i) and k + 1 < len(j):
+        # a row may be itself among its k + 1 nearest
+        kth = np.partition(near, k, axis=1)[:, k]
+        spare = 16 * np.finfo(float).eps * (x.shape[1] + 8) * (xx + yy.max()) if power == 2 else _SLACK * kth
+        a, c = np.nonzero(near <= np.minimum(limit, kth + spare)[:, None])
+    other = i[a] != j[c]
+    a, c = a[other], c[other]
+    d = np.zeros(len(a))
+    for f in range(x.shape[1]):
+        step = np.abs(x[a, f] - y[c, f])
+        d += step * step if power == 2 else step**power
+    d = np.sqrt(d) if power == 2 else d ** (1.0 / power)
+    keep = d <= bound[a]
+    return a[keep], c[keep], d[keep]
+
+
 def fit_centers(sample: np.ndarray, cells: int, power: float, rounds: int = 8, seed: int = 7) -> np.ndarray:
     """Centers by a few rounds of k-means; a cell left empty keeps its center."""
     r = np.random.default_rng(seed)
@@ -282,19 +318,114 @@ def _asked(index: CellIndex, queries: DataFrame, k: int, first: bool) -> DataFra
     return queries.mapInArrow(ask, "cell int, ids binary, x binary, bound binary, away binary")
 
 
+def _by_cell(index: CellIndex, queries: DataFrame) -> DataFrame:
+    """Queries i, x in order of their nearest center, so that a batch of them asks few cells first."""
+    sent = queries.sparkSession.sparkContext.broadcast((index.centers, index.rows, index.scale))
+    power = index.power
+
+    def placed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        centers, rows, scale = sent.value
+        for b in batches if rows.any() else ():
+            for at in range(0, len(b), 4096):
+                some = b.slice(at, 4096)
+                x = _features(some.column("x"))
+                own, d = _cells(x if scale is None else x * scale, centers, power)
+                yield pa.RecordBatch.from_arrays([pa.array(own.astype(np.int32)), pa.array(d), some.column("i"), some.column("x")], ["cell", "d", "i", "x"])
+
+    found = materialize(queries.mapInArrow(placed, "cell int, d double, i long, x array<double>"), "placed")
+    return found.repartitionByRange("cell", "d", "i").sortWithinPartitions("cell", "d", "i").select("i", "x")
+
+
+def _query_blocks(index: CellIndex, queries: DataFrame) -> DataFrame:
+    """Blocks of queries i, x, bound: ids, x, bound (packed), cells (a byte for each cell, 1 where the bounds leave it to be
+    looked at) and asked, how often a query of the block is left a cell."""
+    sent = queries.sparkSession.sparkContext.broadcast((index.centers, index.rows, index.low, index.high, index.scale))
+    power = index.power
+
+    def blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        centers, rows, low, high, scale = sent.value
+        for b in batches if rows.any() else ():
+            for at in range(0, len(b), _QUERY_ROWS):
+                some = b.slice(at, _QUERY_ROWS)
+                x, bound = _features(some.column("x")), some.column("bound").to_numpy()
+                x = x if scale is None else x * scale
+                away = _distances(x, centers, power)
+                least = np.maximum(away - high, low - away) if power >= 1 else np.zeros(away.shape)
+                wanted = (least <= (bound * (1 + _SLACK))[:, None] + _SLACK * (away + np.abs(high))) & (rows > 0)
+                row = [some.column("i").to_numpy().tobytes(), x.tobytes(), bound.tobytes(), wanted.any(axis=0).astype(np.uint8).tobytes()]
+                yield pa.RecordBatch.from_arrays([*(pa.array([v], pa.binary()) for v in row), pa.array([int(wanted.sum())])], ["ids", "x", "bound", "cells", "asked"])
+
+    return queries.mapInArrow(blocks, "ids binary, x binary, bound binary, cells binary, asked long")
+
+
+def _meet(index: CellIndex, blocks: DataFrame, k: int, queries: int) -> DataFrame:
+    """i, j, d: the k nearest rows of each query, no further than its bound, among each part of the rows. `blocks`: those of
+    the queries, which meet all rows in a product of parts; rows of a block of queries come one after another."""
+    power, rows = index.power, int(index.rows.sum())
+    sent = blocks.sparkSession.sparkContext.broadcast(index.centers)
+
+    def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        centers = sent.value
+        of, ids, x, bound, best = None, None, None, None, None
+
+        def emit() -> Iterator[pa.RecordBatch]:
+            if best is not None and len(best[0]):
+                yield pa.RecordBatch.from_arrays([pa.array(ids[best[0]]), pa.array(best[1]), pa.array(best[2])], ["i", "j", "d"])
+
+        for b in batches:
+            for r in range(len(b)):
+                if (at := b.column("at")[r].as_py()) != of:
+                    yield from emit()
+                    of, ids = at, np.frombuffer(b.column("ids")[r].as_py(), np.int64)
+                    x, bound = np.frombuffer(b.column("x")[r].as_py(), np.float64).reshape(len(ids), -1), np.frombuffer(b.column("bound")[r].as_py(), np.float64).copy()
+                    best = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)
+                j = np.frombuffer(b.column("row_ids")[r].as_py(), np.int64)
+                y = np.frombuffer(b.column("row_x")[r].as_py(), np.float64).reshape(len(j), -1)
+                low, high = b.column("low")[r].as_py(), b.column("high")[r].as_py()
+                away = _distances(x, centers[b.column("cell")[r].as_py()][None], power)[:, 0]
+                least = np.maximum(away - high, low - away) if power >= 1 else np.zeros(len(ids))
+                here = np.flatnonzero(least <= bound * (1 + _SLACK) + _SLACK * (away + high))
+                if not len(here):
+                    continue
+                a, c, d = _within(ids[here], x[here], j, y, k, power, bound[here])
+                if not len(a):
+                    continue
+                q, n, m = (np.concatenate(v) for v in zip(best, (here[a], j[c], d), strict=True))
+                order = np.lexsort((n, m, q))
+                q, n, m = q[order], n[order], m[order]
+                place = np.arange(len(q)) - np.searchsorted(q, np.arange(len(ids)))[q]
+                full = place == k - 1
+                bound[q[full]] = np.minimum(bound[q[full]], m[full])
+                best = q[place < k], n[place < k], m[place < k]
+        yield from emit()
+
+    parts = max(1, -(-rows * index.centers.shape[1] * 8 // _PART_BYTES))
+    tasks = max(blocks.sparkSession.sparkContext.defaultParallelism, -(-queries * rows // _TASK_PAIRS))
+    asking = blocks.select(F.monotonically_increasing_id().alias("at"), "ids", "x", "bound", "cells").repartition(max(1, -(-tasks // parts)), "at")
+    held = index.blocks.select("cell", F.col("ids").alias("row_ids"), F.col("x").alias("row_x"), "low", "high").repartition(parts)
+    wanted = F.expr("substring(cells, cell + 1, 1) = X'01'")
+    return asking.join(held.hint("shuffle_replicate_nl"), wanted).drop("cells").mapInArrow(search, _FOUND)
+
+
 def search(index: CellIndex, queries: DataFrame, id_col: str, features: str, k: int, *, cutoff: float | None = None) -> DataFrame:
     """The k nearest indexed rows of each query but itself, no further than the cutoff: i, j, d, place from 1."""
     if k < 1:
         raise ValueError("k is at least 1")
     far = np.inf if cutoff is None else float(cutoff)
-    asked = materialize(_scaled(queries, id_col, features), "queries")
+    asked = materialize(_by_cell(index, _scaled(queries, id_col, features)), "queries")
     near = materialize(_look(index, _asked(index, asked, k, True), k), "near")
     best = W.partitionBy("i").orderBy("d", "j")
     near = near.withColumn("place", F.row_number().over(best)).where(F.col("place") <= k)
     kth = near.groupBy("i").agg(F.when(F.count(F.lit(1)) == k, F.max("d")).alias("kth"))
     bounded = asked.join(kth, "i", "left").select("i", "x", F.least(F.coalesce("kth", F.lit(float("inf"))), F.lit(far)).alias("bound"))
-    more = _look(index, _asked(index, bounded, k, False), k)
-    found = near.select("i", "j", "d").unionByName(more).where(F.col("d") <= F.lit(far))
+    blocks = materialize(_query_blocks(index, bounded), "asked")
+    left, n = blocks.agg(F.sum("asked"), F.sum(F.octet_length("ids") / 8).cast("long")).first()
+    if (left or 0) <= _SHUFFLED_CELLS * (n or 0):
+        more = _look(index, _asked(index, bounded, k, False), k)
+        found = near.select("i", "j", "d").unionByName(more)
+    else:
+        found = _meet(index, blocks, k, n)  # which finds again what the first look found
+    found = found.where(F.col("d") <= F.lit(far))
     return found.withColumn("place", F.row_number().over(best)).where(F.col("place") <= k)
 
 

@@ -138,3 +138,38 @@ def test_distance_matrix_in_blocks(spark, options):
             assert v is None
         else:
             assert abs(v - d[i // 3, j // 3]) <= 5.1e-6 and v == round(v, 5)
+
+
+@pytest.mark.parametrize("kind", ["clouds", "one crowd", "noise"])
+@pytest.mark.parametrize("options", [{}, {"power": 1.0}, {"power": 3.0, "weights": [1, 2, 3, 0, 1, 1]}, {"power": 0.5}, {"cutoff": 1.5, "block_rows": 7}, {"k": 300}])
+def test_search_by_a_product_of_blocks(spark, kind, options, monkeypatch):
+    """The second look by blocks of queries and of rows in several parts finds what the one by cells does."""
+    monkeypatch.setattr(neighbors, "_SHUFFLED_CELLS", -1)
+    monkeypatch.setattr(neighbors, "_QUERY_ROWS", 37)
+    monkeypatch.setattr(neighbors, "_PART_BYTES", 4096)
+    test_search(spark, kind, options)
+
+
+def test_queries_of_many_cells_are_not_written_for_each(spark, monkeypatch):
+    """In noise every query is left nearly all cells: it is kept once, in a block."""
+    df = frame(spark, points("noise", 1000, 24))
+    index = neighbors.build_index(df, "k", "v")
+    called = []
+    look = neighbors._look
+    monkeypatch.setattr(neighbors, "_look", lambda *a: called.append(1) or look(*a))
+    got = neighbors.search(index, df, "k", "v", 5)
+    assert called == [1] and got.count() == 5000
+    assert "CartesianProduct" in got._jdf.queryExecution().toString()
+
+
+def test_all_vectors_have_full_statistics(spark):
+    """n2_knn_full asks for the neighbours of every row of its table."""
+    from paneloom.plans import registry
+
+    sf = "/root/testdata/sf0.001"
+    vectors = spark.read.parquet(f"{sf}/embeddings.parquet").orderBy("vec_id").collect()
+    got = {r["vec_id"]: r["neighbours"] for r in registry.queries()["n2_knn_full"](spark, sf).collect()}
+    x = np.array([r["embedding"] for r in vectors], float)
+    near = nearest_of(x, 2.0, None, 12, None)
+    assert got == {r["vec_id"]: ",".join(str(vectors[j]["vec_id"]) for j, _ in near[p]) for p, r in enumerate(vectors)}
+    assert "% 20" not in registry.oracles()["n2_knn_full"]
