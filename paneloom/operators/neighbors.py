@@ -366,11 +366,23 @@ def _meet(index: CellIndex, blocks: DataFrame, k: int, queries: int) -> DataFram
 
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         centers = sent.value
-        of, ids, x, bound, best = None, None, None, None, None
+        of, ids, x, bound = None, np.zeros(0, np.int64), None, None
+        best: list[tuple] = []  # (place of the query, j, d) of what was found, of which merge() leaves k a query
+
+        def merge() -> None:
+            q, n, m = (np.concatenate(v) for v in zip(*best, strict=True))
+            order = np.lexsort((n, m, q))
+            q, n, m = q[order], n[order], m[order]
+            place = np.arange(len(q)) - np.searchsorted(q, np.arange(len(ids)))[q]
+            full = place == k - 1
+            bound[q[full]] = np.minimum(bound[q[full]], m[full])
+            best[:] = [(q[place < k], n[place < k], m[place < k])]
 
         def emit() -> Iterator[pa.RecordBatch]:
-            if best is not None and len(best[0]):
-                yield pa.RecordBatch.from_arrays([pa.array(ids[best[0]]), pa.array(best[1]), pa.array(best[2])], ["i", "j", "d"])
+            if best:
+                merge()
+                q, n, m = best.pop()
+                yield pa.RecordBatch.from_arrays([pa.array(ids[q]), pa.array(n), pa.array(m)], ["i", "j", "d"])
 
         for b in batches:
             for r in range(len(b)):
@@ -378,7 +390,6 @@ def _meet(index: CellIndex, blocks: DataFrame, k: int, queries: int) -> DataFram
                     yield from emit()
                     of, ids = at, np.frombuffer(b.column("ids")[r].as_py(), np.int64)
                     x, bound = np.frombuffer(b.column("x")[r].as_py(), np.float64).reshape(len(ids), -1), np.frombuffer(b.column("bound")[r].as_py(), np.float64).copy()
-                    best = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)
                 j = np.frombuffer(b.column("row_ids")[r].as_py(), np.int64)
                 y = np.frombuffer(b.column("row_x")[r].as_py(), np.float64).reshape(len(j), -1)
                 low, high = b.column("low")[r].as_py(), b.column("high")[r].as_py()
@@ -388,15 +399,11 @@ def _meet(index: CellIndex, blocks: DataFrame, k: int, queries: int) -> DataFram
                 if not len(here):
                     continue
                 a, c, d = _within(ids[here], x[here], j, y, k, power, bound[here])
-                if not len(a):
-                    continue
-                q, n, m = (np.concatenate(v) for v in zip(best, (here[a], j[c], d), strict=True))
-                order = np.lexsort((n, m, q))
-                q, n, m = q[order], n[order], m[order]
-                place = np.arange(len(q)) - np.searchsorted(q, np.arange(len(ids)))[q]
-                full = place == k - 1
-                bound[q[full]] = np.minimum(bound[q[full]], m[full])
-                best = q[place < k], n[place < k], m[place < k]
+                if len(a):
+                    best.append((here[a], j[c], d))
+                # as many again as are kept: then a bound has something to gain
+                if sum(len(v[0]) for v in best[1:]) > k * len(ids):
+                    merge()
         yield from emit()
 
     parts = max(1, -(-rows * index.centers.shape[1] * 8 // _PART_BYTES))

@@ -137,14 +137,14 @@ def n1(spark, d):
     return spatial.distance_matrix(table(spark, d, "embeddings"), "vec_id", "embedding", digits=5)
 
 
-_NEAR = f"""WITH v AS (SELECT * FROM {_VEC}), m AS (SELECT a.vec_id AS i, b.vec_id AS j, b.label AS y, sqrt(list_sum(list_transform(list_zip(a.embedding, b.embedding), lambda p: (p[1]::double - p[2]::double) * (p[1]::double - p[2]::double)))) AS d FROM v a, v b WHERE a.vec_id <> b.vec_id{{asked}}),
+_NEAR = f"""WITH v AS (SELECT * FROM {_VEC}), m AS (SELECT a.vec_id AS i, b.vec_id AS j, b.label AS y, sqrt(list_sum(list_transform(list_zip(a.embedding, b.embedding), lambda p: (p[1]::double - p[2]::double) * (p[1]::double - p[2]::double)))) AS d FROM v a, v b WHERE a.vec_id <> b.vec_id),
 k AS (SELECT *, row_number() OVER (PARTITION BY i ORDER BY d, j) AS r FROM m QUALIFY r <= {{k}})"""
 
 
-@query("n2_knn_stats", _NEAR.format(k=5, asked=" AND a.vec_id % 20 = 0") + " SELECT i, count(*) AS neighbours, round(avg(d), 5) AS mean_distance, round(avg(y), 5) AS mean FROM k GROUP BY i")
+@query("n2_knn_stats", _NEAR.format(k=5) + " SELECT i, count(*) AS neighbours, round(avg(d), 5) AS mean_distance, round(avg(y), 5) AS mean FROM k GROUP BY i")
 def n2(spark, d):
     vec = table(spark, d, "embeddings")
-    near = neighbors.search(neighbors.build_index(vec, "vec_id", "embedding"), vec.where("vec_id % 20 = 0"), "vec_id", "embedding", 5)
+    near = neighbors.search(neighbors.build_index(vec, "vec_id", "embedding"), vec, "vec_id", "embedding", 5)
     got = near.join(vec.select(F.col("vec_id").alias("j"), "label"), "j").groupBy("i")
     return got.agg(F.count("j").alias("neighbours"), F.round(F.avg("d"), 5).alias("mean_distance"), F.round(F.avg("label"), 5).alias("mean"))
 
@@ -154,7 +154,7 @@ _NINE_OF = {p: ", ".join(f"round({n}, 5) AS {p}_{n}" for n in NINE) for p in "dy
 
 @query(
     "n2_knn_full",
-    _NEAR.format(k=12, asked="")
+    _NEAR.format(k=12)
     + f""", w AS (SELECT i, j, r, d, y::double AS y, (1 + j % 3) / (1 + 0.5 * d) AS w FROM k),
 dq AS (SELECT i, {_NINE_OF["d"]} FROM ({sql_quantiles("d", "w", "w", "i", NINE)})), yq AS (SELECT i, {_NINE_OF["y"]} FROM ({sql_quantiles("y", "w", "w", "i", NINE)})),
 s AS (SELECT i, string_agg(j::varchar, ',' ORDER BY r) AS neighbours, count(*) AS d_count, round(sum(w * d) / sum(w), 5) AS d_mean, round(sum(w * y) / sum(w), 5) AS y_mean FROM w GROUP BY i)

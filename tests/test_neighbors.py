@@ -173,3 +173,16 @@ def test_all_vectors_have_full_statistics(spark):
     near = nearest_of(x, 2.0, None, 12, None)
     assert got == {r["vec_id"]: ",".join(str(vectors[j]["vec_id"]) for j, _ in near[p]) for p, r in enumerate(vectors)}
     assert "% 20" not in registry.oracles()["n2_knn_full"]
+
+
+def test_all_vectors_have_means_of_their_neighbours(spark):
+    """n2_knn_stats asks for the neighbours of every row of its table."""
+    from paneloom.plans import registry
+
+    sf = "/root/testdata/sf0.001"
+    vectors = spark.read.parquet(f"{sf}/embeddings.parquet").orderBy("vec_id").collect()
+    got = {r["i"]: (r["neighbours"], r["mean_distance"], r["mean"]) for r in registry.queries()["n2_knn_stats"](spark, sf).collect()}
+    near = nearest_of(np.array([r["embedding"] for r in vectors], float), 2.0, None, 5, None)
+    assert len(got) == len(vectors) and "% 20" not in registry.oracles()["n2_knn_stats"]
+    for p, r in enumerate(vectors):
+        assert got[r["vec_id"]] == (5, pytest.approx(np.mean([d for _, d in near[p]]), abs=1e-5), pytest.approx(np.mean([vectors[j]["label"] for j, _ in near[p]]), abs=1e-5))
