@@ -186,3 +186,23 @@ def test_intervals_over_one_slot_are_shared_by_tasks(spark):
         shares = [r["count"] for r in got.groupBy(F.spark_partition_id()).count().collect()]
         assert sum(shares) == 4_000_000 == got.select("i", "j").distinct().count()
     assert max(shares) < 2_000_000
+
+
+def test_what_intervals_shuffle_grows_with_the_lists(spark, monkeypatch):
+    """Pieces of intervals and copies of slots are no more rows than the lists have, though pairs grow with their product."""
+    for rows in (1_000, 1_000_000, 60_000_000, 300_000_000):
+        for pairs in (0, rows, rows * rows // 8_000, rows * rows // 4):
+            slot, part = joins._slots_and_parts(rows, pairs)
+            assert pairs <= rows * slot and pairs * slot <= rows * part
+            assert (slot, part) == (4096, 1 << 20) or pairs > 256 * rows
+    assert joins._slots_and_parts(0, 0) == (4096, 1 << 20)
+    monkeypatch.setattr(joins, "_SLOT", 4)
+    monkeypatch.setattr(joins, "_PART_PAIRS", 16)
+    written, materialize = {}, joins.materialize
+    monkeypatch.setattr(joins, "materialize", lambda df, name: written.setdefault(name, materialize(df, name)))
+    a = spark.range(100).select(F.col("id").alias("idx"), (-1.0 - F.col("id")).alias("lo"), F.lit(1e9).alias("hi"))
+    b = spark.range(300).select(F.col("id").alias("idx"), F.col("id").cast("double").alias("lo"), (F.col("id") + 0.5).alias("hi"))
+    got = joins.intersect_intervals(a, b)
+    assert got.count() == 30_000 == got.select("i", "j").distinct().count()
+    loads = written["loads"].agg(F.count(F.lit(1)).alias("slots"), F.sum("_parts").alias("parts")).first()
+    assert loads["slots"] * 100 <= 400 and loads["parts"] * 128 <= 2 * 400
