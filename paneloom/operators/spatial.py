@@ -31,6 +31,14 @@ def minkowski(a: Column, b: Column, power: float = 2.0, weights: Sequence[float]
 
 #: Rows of a block of the distance matrix, rows of it for which distances are held at once, and most parts of a side.
 _MATRIX_ROWS, _MATRIX_STRIP, _MATRIX_PARTS = 1024, 128, 64
+#: Pairs after which the same ones follow the other way: so near that a file's compressor finds their distances again.
+_MATRIX_TURN = 128
+
+
+def _by_turns(n: int) -> np.ndarray:
+    """Order of 2 * n rows, of which the second n are the first ones the other way: turns of the first, each before its other."""
+    at = np.arange(n)
+    return np.argsort(np.concatenate([at // _MATRIX_TURN * 2, at // _MATRIX_TURN * 2 + 1]), kind="stable").astype(np.int32)
 
 
 def _strip(x: np.ndarray, y: np.ndarray, power: float) -> np.ndarray:
@@ -65,9 +73,11 @@ def _matrix_blocks(batches: Iterator[pa.RecordBatch], rows: int, scale: np.ndarr
 def _matrix_cells(batches: Iterator[pa.RecordBatch], power: float, digits: int | None) -> Iterator[pa.RecordBatch]:
     """All pairs of two blocks, both ways; of one block with itself, each of its rows with all others."""
     names = ["i", "j", "d"]
+    turns: dict[int, np.ndarray] = {}
     for b in batches:
         for r in range(len(b)):
             i, j = (b.column(c)[r].values for c in ("a_ids", "b_ids"))
+            both, shared = pa.concat_arrays([i, j]), pc.any(pc.is_in(i, j)).as_py()
             n, m = (np.frombuffer(b.column(c)[r].as_py(), np.int32) for c in ("a_n", "b_n"))
             x, y = (np.frombuffer(b.column(c)[r].as_py(), np.float64).reshape(-1, len(k)) for c, k in (("a_x", n), ("b_x", m)))
             width = min(len(x), len(y))  # what is longer in one of the blocks has no equal in the other
@@ -78,14 +88,18 @@ def _matrix_cells(batches: Iterator[pa.RecordBatch], power: float, digits: int |
                 if digits is not None:
                     d = np.floor(d * 10.0**digits + 0.5) / 10.0**digits
                 missing = ((own[:, None] != m) | (own[:, None] < 0)).ravel()
-                left = i.take(pa.array(np.repeat(np.arange(at, at + len(own), dtype=np.int32), len(m))))
-                right = j.take(pa.array(np.tile(np.arange(len(m), dtype=np.int32), len(own))))
-                cells = pa.RecordBatch.from_arrays([left, right, pa.array(d, mask=missing if missing.any() else None)], names)
-                if same or pc.any(pc.is_in(i, j)).as_py():
-                    cells = cells.filter(pc.not_equal(left, right))
-                yield cells
+                left = np.repeat(np.arange(at, at + len(own), dtype=np.int32), len(m))
+                right = np.tile(np.arange(len(m), dtype=np.int32), len(own))
+                ids = i
                 if not same:
-                    yield pa.RecordBatch.from_arrays([cells.column("j"), cells.column("i"), cells.column("d")], names)
+                    if len(d) not in turns:
+                        turns[len(d)] = _by_turns(len(d))
+                    order, ids, right = turns[len(d)], both, right + np.int32(len(n))
+                    left, right = np.concatenate([left, right])[order], np.concatenate([right, left])[order]
+                    d, missing = np.concatenate([d, d])[order], np.concatenate([missing, missing])[order]
+                left, right = ids.take(pa.array(left)), ids.take(pa.array(right))
+                cells = pa.RecordBatch.from_arrays([left, right, pa.array(d, mask=missing if missing.any() else None)], names)
+                yield cells.filter(pc.not_equal(left, right)) if same or shared else cells
 
 
 def distance_matrix(df: DataFrame, id_col: str, features: str, *, power: float = 2.0, weights: Sequence[float] | None = None, digits: int | None = None, block: int = _MATRIX_ROWS) -> DataFrame:

@@ -186,3 +186,12 @@ def test_all_vectors_have_means_of_their_neighbours(spark):
     assert len(got) == len(vectors) and "% 20" not in registry.oracles()["n2_knn_stats"]
     for p, r in enumerate(vectors):
         assert got[r["vec_id"]] == (5, pytest.approx(np.mean([d for _, d in near[p]]), abs=1e-5), pytest.approx(np.mean([vectors[j]["label"] for j, _ in near[p]]), abs=1e-5))
+
+
+def test_both_ways_of_a_pair_are_near_each_other(spark):
+    """Rows of two blocks come in short turns of both ways, so that a file holds their distances about once."""
+    x = points("noise", 120).round(4)
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "k long, v array<double>").coalesce(1)
+    at = {(r["i"], r["j"]): p for p, r in enumerate(spatial.distance_matrix(df, "k", "v", block=60).collect())}
+    assert len(at) == 120 * 119
+    assert all(abs(p - at[j, i]) <= 128 for (i, j), p in at.items() if i // 60 != j // 60)
